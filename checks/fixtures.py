@@ -7,13 +7,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.operators import intervals as iv
-from turnlake.scan import Ordered, needs_split, running_sum
+from turnlake.plans.session_analysis import SessionAnalysis
+from turnlake.scan import Ordered, needs_split, running_sum, settled
 
 ACTIVITIES = ("Shadow Art", "Paper Circuits", "Bridge Building", "Sound Lab")
 QUESTION_LEXICON = ("is", "der", "de", "es")
 
 
+def loudness(tiles: DataFrame) -> DataFrame:
+    return tiles.withColumn("rms_db", F.lit(-60.0) + (F.col("session_id") * 13 + F.col("segment_ix") * 7) % 50)
+
+
 class Corpus:
     """Lazily derived tables over one data folder. ``split`` is decided once, from counts."""
 
@@ -41,6 +45,9 @@ class Corpus:
 
     @cached_property
     def turns(self) -> DataFrame:
+        return settled(self._turns())
+
+    def _turns(self) -> DataFrame:
         spoken = self.utterances.filter(F.col("role") != "system").withColumn(
             "speaker", F.when(F.col("role") == "assistant", "T")
             .otherwise(F.concat(F.lit("S"), (F.col("turn") % 2 + 1).cast("string"))))
@@ -86,7 +93,7 @@ class Corpus:
 
     @cached_property
     def recordings(self) -> DataFrame:
-        return self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec")).select(
+        return settled(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
             "session_id", "actual_sec", F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
 
     @cached_property
@@ -111,19 +118,16 @@ class Corpus:
                      F.when(sid % 5 >= 2, 73.5).alias("longitude"),
                      F.lit("somewhere").alias("address")).alias("photo"))
 
-    def spans(self) -> DataFrame:
-        return iv.clip_and_union(self.turns, self.recordings, self.split)
-
-    @cached_property
-    def timeline(self) -> DataFrame:
-        tiles = iv.tile(self.spans(), self.recordings, self.split)
-        loud = F.lit(-60.0) + (F.col("session_id") * 13 + F.col("segment_ix") * 7) % 50
-        return iv.classify(tiles.withColumn("rms_db", loud)).withColumn("flatness", F.lit(0.25))
-
-    @cached_property
-    def main(self) -> DataFrame:
-        return iv.main_speaker(self.turns)
-
     @cached_property
-    def labelled(self) -> DataFrame:
-        return iv.split_by_speaker(self.timeline, self.turns, self.main, self.split)
+    def analysis(self) -> SessionAnalysis:
+        return self.analyse()
+
+    def analyse(self, minutes: float | None = None, loudness_path: bool = False) -> SessionAnalysis:
+        """All sessions; with ``loudness_path`` every seventeenth one has no turns."""
+        turns = self.turns
+        if loudness_path:
+            turns = turns.filter(F.col("session_id") % 17 != 0)
+        return SessionAnalysis(
+            sessions=self.sessions, recordings=self.recordings, turns=turns, segments=self.spoken_segments,
+            transcripts=self.transcripts, measure=loudness, voice=self.turns if loudness_path else None,
+            lexicon=QUESTION_LEXICON, minutes=minutes, split=self.split)

@@ -20,17 +20,17 @@ def round_even(value: Column, digits: int) -> Column:
     """Round half to even on the exact binary value, as Python's ``round`` does.
 
     ``round`` and ``bround`` look at the shortest decimal text instead, so 2.675 ties there
-    although the stored number lies below the tie. Splitting the value at single precision
-    keeps both products exact, so the comparison with one half is exact too.
+    although the stored number lies below the tie. Here the scaled value is rounded; only
+    where scaling lands on a tie does its rounding error decide, which splitting the value
+    at single precision gives exactly.
     """
     scale = F.lit(float(10 ** digits))
-    value = value.cast("double")
+    scaled = value * scale
     head = value.cast("float").cast("double")
-    big, small = head * scale, (value - head) * scale
-    whole = F.floor(big + small).cast("double")
-    above = ((big - whole) - 0.5) + small
-    up = (above > 0) | ((above == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
-    return (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    error = (head * scale - scaled) + (value - head) * scale
+    nearest = F.when((scaled - F.floor(scaled) != 0.5) | (error == 0), F.rint(scaled)).otherwise(
+        F.floor(scaled) + F.when(error > 0, 1.0).otherwise(0.0))
+    return nearest / scale
 
 
 def whole_text(value: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake.config import ARTEFACT_PATTERNS, DEVANAGARI, QUESTION_WORDS
 
@@ -35,7 +36,7 @@ def is_question(text: Column, lexicon: Sequence[str] = QUESTION_WORDS) -> Column
     return marked | text.rlike(rf"(?U)(?:^|\s)(?:{alternatives})(?=\s|$)")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s).casefold(), na_action="ignore")
 
@@ -85,7 +86,7 @@ def repetition_rate(text: Column, n: int = 4) -> Column:
     return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _gzip_size(text: pd.Series) -> pd.Series:
     import gzip
     return text.map(lambda s: len(gzip.compress((s or "").encode("utf-8"))))

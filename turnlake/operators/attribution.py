@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.scan import checkpointed, needs_split
+from turnlake.scan import settled, needs_split
 
 ROUNDS = 40
 
@@ -48,7 +48,7 @@ def _centres_by_rounds(loud: DataFrame) -> DataFrame:
     Equal loudness values are counted once first, so later passes read the counts only. Only
     the number of centres that moved comes back to the driver.
     """
-    values = checkpointed(loud.groupBy("session_id", "rms_db").agg(F.count(F.lit(1)).alias("n")))
+    values = settled(loud.groupBy("session_id", "rms_db").agg(F.count(F.lit(1)).alias("n")))
     centres = values.groupBy("session_id").agg(F.min("rms_db").alias("low"), F.max("rms_db").alias("high"))
     out = centres.select("session_id", F.col("low").alias("cut_low"), F.col("high").alias("cut_high"),
                          "low", "high")
@@ -63,7 +63,7 @@ def _centres_by_rounds(loud: DataFrame) -> DataFrame:
             "session_id", "low", "high").agg(
             _moved(mean_of(near_low), F.col("low")).alias("new_low"),
             _moved(mean_of(~near_low), F.col("high")).alias("new_high"))
-        out = checkpointed(step.select(
+        out = settled(step.select(
             "session_id", F.col("low").alias("cut_low"), F.col("high").alias("cut_high"),
             F.col("new_low").alias("low"), F.col("new_high").alias("high")))
         if out.filter((F.col("cut_low") != F.col("low")) | (F.col("cut_high") != F.col("high"))).isEmpty():

@@ -15,13 +15,6 @@ from turnlake.scan import Ordered, Running, following_min, running_max, running_
 SESSION = ["session_id"]
 
 
-def mark_teacher(turns: DataFrame, main: DataFrame) -> DataFrame:
-    """Turns of sessions with a main speaker, flagged by whether that speaker talks."""
-    return turns.join(main.select("session_id", "main_speaker"), "session_id").select(
-        "session_id", "turn_ix", "start", "end",
-        (F.col("speaker") == F.col("main_speaker")).alias("is_teacher"))
-
-
 def first_owner(segments: DataFrame, marked: DataFrame) -> DataFrame:
     """The first teacher turn, in start order, overlapping each non-empty segment.
 
@@ -30,12 +23,11 @@ def first_owner(segments: DataFrame, marked: DataFrame) -> DataFrame:
     """
     spoken = segments.filter(F.col("text") != "").select(
         "session_id", "seg_ix", "text", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    teacher = marked.filter("is_teacher").select("session_id", "turn_ix", "start", "end")
+    teacher = marked.filter("role = 'teacher'").select("session_id", "turn_ix", "start", "end", "run")
     pairs = overlap_join(spoken, teacher, SESSION, ("s_start", "s_end"), ("start", "end"))
     owner = pairs.groupBy("session_id", "seg_ix", "text", "s_end").agg(
-        F.min(F.struct("start", "turn_ix", "end")).alias("o"))
-    return owner.select("session_id", "seg_ix", "text", "s_end", F.col("o.turn_ix").alias("turn_ix"),
-                        F.col("o.start").alias("start"), F.col("o.end").alias("end"))
+        F.min(F.struct("start", "turn_ix", "end", "run")).alias("o"))
+    return owner.select("session_id", "seg_ix", "text", "s_end", "o.turn_ix", "o.start", "o.end", "o.run")
 
 
 def questions(segments: DataFrame, marked: DataFrame,
@@ -46,30 +38,24 @@ def questions(segments: DataFrame, marked: DataFrame,
     segments is; nothing needs collecting.
     """
     owned = first_owner(segments, marked)
-    return (owned.groupBy("session_id", "turn_ix", "start", "end")
+    return (owned.groupBy("session_id", "turn_ix", "start", "end", "run")
             .agg(F.bool_or(is_question(F.col("text"), lexicon)).alias("asks"),
                  F.max("s_end").alias("span_end"))
             .filter("asks").drop("asks"))
 
 
-def question_ends(asked: DataFrame, marked: DataFrame, split: bool | None = None) -> DataFrame:
+def question_ends(asked: DataFrame, marked: DataFrame) -> DataFrame:
     """When the teacher stopped: the run of teacher turns from the question on, while the
     words of the question last. Candidates are only turns starting inside that time."""
-    runs = Ordered(marked, SESSION, ["start", "turn_ix"], split).with_columns(
-        run=running_sum(F.when(F.col("is_teacher"), 0).otherwise(1))).df
-    teacher = runs.filter("is_teacher").select(
-        "session_id", "run", F.col("turn_ix").alias("n_ix"),
-        F.col("start").alias("n_start"), F.col("end").alias("n_end"))
-    own = asked.join(teacher.select("session_id", F.col("n_ix").alias("turn_ix"), "run"),
-                     ["session_id", "turn_ix"])
-    near = in_buckets(own, "start", "span_end").join(
-        teacher.withColumn("_bucket", F.floor(F.col("n_start") / BUCKET_SEC)),
-        ["session_id", "run", "_bucket"])
+    keys = ["session_id", "turn_ix", "start", "span_end"]
+    teacher = marked.filter("role = 'teacher'").select(
+        "session_id", "run", F.floor(F.col("start") / BUCKET_SEC).alias("_bucket"),
+        F.col("turn_ix").alias("n_ix"), F.col("start").alias("n_start"), F.col("end").alias("n_end"))
+    near = in_buckets(asked, "start", "span_end").join(teacher, ["session_id", "run", "_bucket"])
     later = near.filter((F.col("n_start") < F.col("span_end")) & (
         F.struct("n_start", "n_ix") > F.struct("start", "turn_ix")))
-    reach = later.groupBy("session_id", "turn_ix").agg(F.max("n_end").alias("reach"))
-    return asked.join(reach, ["session_id", "turn_ix"], "left").withColumn(
-        "q_end", F.greatest("end", "reach")).drop("reach")
+    ends = later.select(*keys, "n_end").unionByName(asked.select(*keys, F.col("end").alias("n_end")))
+    return ends.groupBy(*keys).agg(F.max("n_end").alias("q_end"))
 
 
 def answers(ended: DataFrame, marked: DataFrame, split: bool | None = None,
@@ -82,7 +68,7 @@ def answers(ended: DataFrame, marked: DataFrame, split: bool | None = None,
     """
     asked = ended.select("session_id", F.col("q_end").alias("at"), F.lit(0).alias("kind"), "turn_ix",
                          F.lit(None).cast("double").alias("until"), "start", "span_end")
-    others = marked.filter(~F.col("is_teacher")).select(
+    others = marked.filter("role = 'student'").select(
         "session_id", F.col("start").alias("at"), F.lit(1).alias("kind"), "turn_ix",
         F.col("end").alias("until"), F.lit(None).cast("double").alias("start"),
         F.lit(None).cast("double").alias("span_end"))
@@ -101,29 +87,21 @@ def answers(ended: DataFrame, marked: DataFrame, split: bool | None = None,
         answered.alias("answered"), wait.alias("wait"))
 
 
-def discourse(turns: DataFrame, segments: DataFrame, main: DataFrame,
+def discourse(marked: DataFrame, segments: DataFrame,
               lexicon: Sequence[str] = QUESTION_WORDS, split: bool | None = None,
               t: Thresholds = DEFAULTS) -> DataFrame:
-    """One row per question, with its answer and wait."""
-    marked = mark_teacher(turns, main)
-    return answers(question_ends(questions(segments, marked, lexicon), marked, split), marked, split, t)
+    """One row per question, with its answer and wait. ``marked`` comes from ``mark_roles``."""
+    return answers(question_ends(questions(segments, marked, lexicon), marked), marked, split, t)
 
 
-def turn_source(turns: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Turns where diarization gave any, else the attributed speech rows as turns."""
-    with_turns = turns.select("session_id").distinct()
+def pseudo_turns(labelled: DataFrame, split: bool | None = None) -> DataFrame:
+    """Attributed speech rows as turns, for sessions without any: the roles are the speakers."""
     speech = labelled.filter((F.col("kind") == "speech") & F.col("role").isNotNull())
-    pseudo = (speech.join(with_turns, "session_id", "left_anti")
-              .select("session_id", F.floor(F.col("start") * 1_000_000).alias("turn_ix"),
-                      "start", "end", F.col("role").alias("speaker")))
-    return turns.select("session_id", "turn_ix", "start", "end", "speaker").unionByName(pseudo)
-
-
-def source_speaker(main: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Main speaker per session; on the loudness path the label is the role itself."""
-    rest = labelled.select("session_id").distinct().join(main, "session_id", "left_anti")
-    return main.select("session_id", "main_speaker").unionByName(
-        rest.select("session_id", F.lit("teacher").alias("main_speaker")))
+    student = F.when(F.col("role") == "student", 1).otherwise(0)
+    return Ordered(speech, SESSION, ["start"], split).with_columns(
+        turn_ix=running_sum(F.lit(1)), run=running_sum(student)).df.select(
+        "session_id", F.col("turn_ix").cast("int").alias("turn_ix"), "start", "end",
+        F.col("role").alias("speaker"), "role", "run")
 
 
 def median_by_session(rows: DataFrame, value: str, tiebreak: str,
@@ -146,8 +124,9 @@ def median_by_session(rows: DataFrame, value: str, tiebreak: str,
 
 def discourse_totals(asked: DataFrame, split: bool | None = None) -> DataFrame:
     """Questions, responses, waits and the median wait per session."""
-    counts = asked.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("questions"),
-        F.count_if("answered").alias("responses"),
-        F.count("wait").alias("waits"))
-    return counts.join(median_by_session(asked, "wait", "turn_ix", split), "session_id", "left")
+    counts = [F.count(F.lit(1)).alias("questions"), F.count_if("answered").alias("responses"),
+              F.count("wait").alias("waits")]
+    if not split:
+        return asked.groupBy("session_id").agg(*counts, F.median("wait").alias("median"))
+    return asked.groupBy("session_id").agg(*counts).join(
+        median_by_session(asked, "wait", "turn_ix", split), "session_id", "left")

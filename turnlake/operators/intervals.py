@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import DEFAULTS, Thresholds
@@ -77,14 +77,16 @@ def classify(tiles: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- overlap winners
-def _candidates(spans: DataFrame, turns: DataFrame) -> DataFrame:
+def _candidates(spans: DataFrame, turns: DataFrame, how: str = "inner") -> DataFrame:
     right = turns.select("session_id", "turn_ix", "speaker",
                          F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    pairs = overlap_join(spans, right, SESSION, ("start", "end"), ("t_start", "t_end"))
+    pairs = overlap_join(spans, right, SESSION, ("start", "end"), ("t_start", "t_end"), how=how)
     overlap = F.least("end", "t_end") - F.greatest("start", "t_start")
     length = F.col("t_end") - F.col("t_start")
-    return (pairs.withColumn("overlap", overlap).filter(F.col("overlap") > 0)
-            .withColumn("containment", F.when(length > 0, F.col("overlap") / length).otherwise(1.0)))
+    pairs = pairs.withColumn("overlap", overlap)
+    if how == "inner":
+        pairs = pairs.filter(F.col("overlap") > 0)
+    return pairs.withColumn("containment", F.when(length > 0, F.col("overlap") / length).otherwise(1.0))
 
 
 def _first_most_contained() -> Column:
@@ -109,10 +111,8 @@ def speaker_for_spans(spans: DataFrame, turns: DataFrame, span_key: list[str],
              .agg(F.max(_first_most_contained()).alias("best"),
                   F.min("overlap").alias("low"), F.max("overlap").alias("high")))
     # Four cells are enough to see whether the tied run at the top stays within one tolerance.
-    top = Ordered(cells, keys, ["cell"], split=False)
-    from pyspark.sql import Window
     down = Window.partitionBy(*keys).orderBy(F.col("cell").desc())
-    ranked = (top.df.withColumn("n", F.row_number().over(down)).filter(F.col("n") <= 4)
+    ranked = (cells.withColumn("n", F.row_number().over(down)).filter(F.col("n") <= 4)
               .withColumn("_gap", F.lag("low").over(down) - F.col("high"))
               .withColumn("_run", F.sum(F.when(F.col("_gap") > tol, 1).otherwise(0)).over(down))
               .filter(F.col("_run") == 0))
@@ -145,7 +145,6 @@ def main_speaker(turns: DataFrame) -> DataFrame:
 
     The first-seen speaker wins a tie. ``row_number() <= 2`` is pruned before the shuffle.
     """
-    from pyspark.sql import Window
     totals = turns.groupBy("session_id", "speaker").agg(
         F.sum(F.col("end") - F.col("start")).alias("sec"), F.min("turn_ix").alias("first_ix"))
     rank = Window.partitionBy("session_id").orderBy(F.col("sec").desc(), F.col("first_ix"))
@@ -208,16 +207,16 @@ def cut_at_turn_edges(timeline: DataFrame, turns: DataFrame, split: bool | None
 
 
 def speaker_of_pieces(pieces: DataFrame, turns: DataFrame) -> DataFrame:
-    """Who speaks in each piece cut by ``cut_at_turn_edges``.
+    """Who speaks in each piece cut by ``cut_at_turn_edges``; null where nobody does.
 
     No turn edge lies inside a piece, so every overlapping turn covers it completely and all
     overlaps are equal: the winner is the most contained turn, the earlier one on a tie. One
     partial aggregation decides it.
     """
-    best = (_candidates(pieces, turns).groupBy("session_id", "segment_ix", "start", "end")
-            .agg(F.max(_first_most_contained()).alias("best")))
-    return pieces.join(best, ["session_id", "segment_ix", "start", "end"], "left").select(
-        "session_id", "segment_ix", "start", "end", F.col("best.speaker").alias("speaker"))
+    keys = ["session_id", "segment_ix", "start", "end"]
+    found = _candidates(pieces.select(*keys), turns, "left")
+    best = F.max(F.when(F.col("turn_ix").isNotNull(), _first_most_contained()))
+    return found.groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.speaker").alias("speaker"))
 
 
 def merge_adjacent(pieces: DataFrame, split: bool | None = None,
@@ -243,32 +242,66 @@ def merge_adjacent(pieces: DataFrame, split: bool | None = None,
 def restretch(timeline: DataFrame, merged: DataFrame, split: bool | None = None) -> DataFrame:
     """Stretch merged pieces over the holes slivers left, so a segment's pieces tile it again.
 
-    A speech segment without a piece becomes one unattributed piece. Merging a second time
-    would change nothing: neighbours already differ in role, and stretching only lengthens
-    pieces, so no unattributed one becomes short enough to be absorbed.
+    Tiles and pieces go on one clock, a tile right before its pieces. A piece starts with its
+    tile or where it is, and ends with the next piece or its tile; a tile without pieces stays
+    as it is, unattributed. Merging a second time would change nothing: neighbours already
+    differ in role, and stretching only lengthens pieces, so no unattributed one becomes short
+    enough to be absorbed.
     """
-    near = Ordered(merged, ["session_id", "segment_ix"], ["start"], split).with_columns(
-        _before=previous(F.col("start")), _after=following(F.col("start"))).df
-    near = near.withColumnRenamed("start", "p_start").drop("end")
-    rows = timeline.join(near, ["session_id", "segment_ix"], "left")
-    return (rows.withColumn("start", F.when(F.col("_before").isNull(), F.col("start"))
-                            .otherwise(F.col("p_start")))
-            .withColumn("end", F.coalesce("_after", "end"))
-            .drop("p_start", "_before", "_after"))
+    tile_columns = [c for c in timeline.columns if c != "session_id"]
+    tiles = timeline.select(
+        "session_id", "start", F.lit(0).alias("piece"), F.struct(*tile_columns).alias("tile"),
+        F.lit(None).cast("string").alias("role"))
+    pieces = merged.select("session_id", "start", F.lit(1).alias("piece"),
+                           F.lit(None).cast(tiles.schema["tile"].dataType).alias("tile"), "role")
+    at = F.struct("piece", "start")
+    clock = Ordered(tiles.unionByName(pieces), SESSION, ["start", "piece"], split).with_columns(
+        _before=previous(at), _after=following(at), _tile=last_value(F.col("tile"), inclusive=True))
+    is_piece, more = F.col("piece") == 1, F.coalesce(F.col("_after.piece") == 1, F.lit(False))
+    others = [c for c in tile_columns if c not in ("start", "end")]
+    return clock.df.filter(is_piece | ~more).select(
+        "session_id",
+        F.when(is_piece & (F.col("_before.piece") == 1), F.col("start")).otherwise(F.col("_tile.start")).alias("start"),
+        F.when(is_piece & more, F.col("_after.start")).otherwise(F.col("_tile.end")).alias("end"),
+        *[F.col(f"_tile.{c}").alias(c) for c in others], "role")
+
+
+def mark_roles(turns: DataFrame, main: DataFrame, split: bool | None = None) -> DataFrame:
+    """Turns with the role of their speaker and the number of student turns before them.
+
+    Consecutive teacher turns share that number, which makes it the id of their run.
+    """
+    roles = turns.join(main.select("session_id", "main_speaker"), "session_id").select(
+        "session_id", "turn_ix", "start", "end", "speaker",
+        collapse_role(F.col("speaker"), F.col("main_speaker")).alias("role"))
+    return Ordered(roles, SESSION, ["start", "turn_ix"], split).with_columns(
+        run=running_sum(F.when(F.col("role") == "student", 1).otherwise(0))).df
+
+
+def clear_lead_confidence(main: DataFrame) -> DataFrame:
+    """Confidence where every speech segment is covered, as when it was built from the turns."""
+    return main.select("session_id", (0.5 + 0.5 * F.col("margin")).alias("confidence"))
+
+
+def split_by_role(timeline: DataFrame, marked: DataFrame, conf: DataFrame,
+                  split: bool | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The labelled timeline: speech cut at speaker changes, roles attached, tiling kept.
+
+    ``marked`` comes from ``mark_roles``, ``conf`` gives each session's confidence.
+    """
+    voices = marked.select("session_id", "turn_ix", "start", "end", F.col("role").alias("speaker"))
+    pieces = speaker_of_pieces(cut_at_turn_edges(timeline, voices, split, t), voices)
+    merged = merge_adjacent(pieces.withColumnRenamed("speaker", "role"), split, t)
+    out = restretch(timeline, merged, split).join(conf.select("session_id", "confidence"), "session_id", "left")
+    return out.withColumn("role_conf", F.when(F.col("role").isNotNull(), F.col("confidence"))).drop(
+        "confidence", "segment_ix")
 
 
 def split_by_speaker(timeline: DataFrame, turns: DataFrame, main: DataFrame,
                      split: bool | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
-    """The labelled timeline: speech cut at speaker changes, roles attached, tiling kept."""
-    pieces = speaker_of_pieces(cut_at_turn_edges(timeline, turns, split, t), turns)
-    labelled = pieces.join(main.select("session_id", "main_speaker"), "session_id", "left")
-    labelled = labelled.select("session_id", "segment_ix", "start", "end",
-                               collapse_role(F.col("speaker"), F.col("main_speaker")).alias("role"))
-    out = restretch(timeline, merge_adjacent(labelled, split, t), split)
-    conf = coverage_confidence(timeline, turns, main).select("session_id", "confidence")
-    out = out.join(conf, "session_id", "left")
-    return out.withColumn("role_conf", F.when(F.col("role").isNotNull(), F.col("confidence"))
-                          ).drop("confidence", "segment_ix")
+    """``split_by_role`` from plain turns, with confidence from measured coverage."""
+    return split_by_role(timeline, mark_roles(turns, main, split),
+                         coverage_confidence(timeline, turns, main), split, t)
 
 
 def numbered(rows: DataFrame, split: bool | None = None, name: str = "seg_no") -> DataFrame:

@@ -210,15 +210,30 @@ def metric_rows(values: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return values.select("session_id", F.inline(F.array(*rows)))
 
 
-def lost_students(turns: DataFrame, main: DataFrame, labelled: DataFrame,
-                  t: Thresholds = DEFAULTS) -> DataFrame:
+def lost_students(marked: DataFrame, labelled: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Sessions where turns hold other voices but the timeline has no student time."""
-    other = turns.join(main, "session_id").groupBy("session_id").agg(F.sum(
-        F.when(F.col("speaker") != F.col("main_speaker"), F.col("end") - F.col("start")).otherwise(0.0)
-    ).alias("other_sec"))
-    student = labelled.groupBy("session_id").agg(F.sum(
-        F.when(F.col("role") == "student", F.col("end") - F.col("start")).otherwise(0.0)).alias("student_sec"))
-    return other.join(student, "session_id", "left").select(
-        "session_id", "other_sec", "student_sec",
-        ((F.col("other_sec") >= t.min_other_speaker_sec)
-         & (F.coalesce("student_sec", F.lit(0.0)) <= 0)).alias("lost"))
+    def student_sec(name: str) -> Column:
+        return F.sum(F.when(F.col("role") == "student", F.col("end") - F.col("start")).otherwise(0.0)).alias(name)
+
+    rows = marked.groupBy("session_id").agg(student_sec("other_sec")).join(
+        labelled.groupBy("session_id").agg(student_sec("student_sec")), "session_id", "left")
+    return rows.withColumn("lost", (F.col("other_sec") >= t.min_other_speaker_sec)
+                           & (F.coalesce("student_sec", F.lit(0.0)) <= 0))
+
+
+def speech_profile(timeline: DataFrame, recordings: DataFrame, split: bool | None = None) -> DataFrame:
+    """Speech share, spans per minute, median span, and mean loudness per session.
+
+    Loudness is averaged as amplitude over the timeline rows and turned back into dB.
+    """
+    from turnlake.operators.discourse import median_by_session
+    sec = F.col("end") - F.col("start")
+    sums = timeline.groupBy("session_id").agg(
+        F.sum(F.when(is_speech(), sec)).alias("speech"), F.count_if(is_speech()).alias("n"),
+        F.avg(F.pow(F.lit(10.0), F.col("rms_db") / 20.0)).alias("level"))
+    spans = timeline.filter(is_speech()).withColumn("sec", sec)
+    return (recordings.select("session_id", "actual_sec").join(sums, "session_id")
+            .join(median_by_session(spans, "sec", "segment_ix", split), "session_id", "left")
+            .select("session_id", (100.0 * F.coalesce("speech", F.lit(0.0)) / F.col("actual_sec")).alias("speech_percent"),
+                    (60.0 * F.col("n") / F.col("actual_sec")).alias("spans_per_minute"),
+                    F.coalesce("median", F.lit(0.0)).alias("median_span"), (20.0 * F.log10("level")).alias("loudness_db")))

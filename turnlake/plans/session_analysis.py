@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.config import DEFAULTS, QUESTION_WORDS, Thresholds
 from turnlake.operators import attribution, corpus, discourse, insight, intervals, metrics, report
-from turnlake.scan import needs_split
-
-
-def _shared(df: DataFrame) -> DataFrame:
-    """Keep a table several branches read; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from turnlake.scan import needs_split, settled
 
 
 @dataclass
 class SessionAnalysis:
     """All sessions at once. Each table is declared once and built on first use.
 
-    ``loudness`` maps tiles to (session_id, segment_ix, rms_db). ``voice`` gives speech spans
-    of sessions without turns (session_id, start, end). Sessions without turns take the
+    Tables several branches read (turns with roles, the labelled timeline, the values) are
+    written to the shared folder and read from there.
+
+    ``measure`` adds ``rms_db`` to the tiles, usually ``intervals.with_loudness`` over a table
+    of measurements. ``voice`` gives speech spans of sessions without turns. Sessions without turns take the
     loudness path, sessions without transcript keep the acoustic metrics: both are ordinary
     joins, so one job covers every kind of session.
     """
@@ -35,8 +32,7 @@ class SessionAnalysis:
     turns: DataFrame
     segments: DataFrame
     transcripts: DataFrame
-    loudness: DataFrame | None = None
-    rms_of: object = None
+    measure: Callable[[DataFrame], DataFrame]
     voice: DataFrame | None = None
     lexicon: Sequence[str] = QUESTION_WORDS
     minutes: float | None = None
@@ -50,51 +46,51 @@ class SessionAnalysis:
             self.recordings = intervals.window_recordings(self.recordings, edge)
             self.turns = intervals.window_turns(self.turns, edge)
             self.segments = intervals.window_turns(self.segments, edge)
-        self.turns = _shared(self.turns)
         if self.split is None:
             self.split = needs_split(self.turns, ["session_id"])
 
     @cached_property
     def main(self) -> DataFrame:
-        return _shared(intervals.main_speaker(self.turns))
+        return settled(intervals.main_speaker(self.turns))
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        return settled(intervals.mark_roles(self.turns, self.main, self.split))
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return corpus.build_corpus(self.sessions, self.full_recordings, split=None)
+        return corpus.build_corpus(self.sessions, self.full_recordings)
 
     @cached_property
     def timeline(self) -> DataFrame:
         """Tiles by kind; spans come from turns where there are any, else from ``voice``."""
-        spans = self.turns.select("session_id", "start", "end")
+        spans = self.marked.select("session_id", "start", "end")
         if self.voice is not None:
-            rest = self.voice.join(self.turns.select("session_id").distinct(), "session_id", "left_anti")
+            rest = self.voice.join(spans.select("session_id").distinct(), "session_id", "left_anti")
             spans = spans.unionByName(rest.select("session_id", "start", "end"))
         merged = intervals.clip_and_union(spans, self.recordings, self.split)
         tiles = intervals.tile(merged, self.recordings, self.split)
-        if self.rms_of is not None:
-            tiles = tiles.withColumn("rms_db", self.rms_of)
-        else:
-            tiles = intervals.with_loudness(tiles, self.loudness)
-        return _shared(intervals.classify(tiles, self.thresholds))
+        return settled(intervals.classify(self.measure(tiles), self.thresholds))
 
     @cached_property
     def labelled(self) -> DataFrame:
-        by_turns = intervals.split_by_speaker(self.timeline, self.turns, self.main, self.split, self.thresholds)
-        if self.voice is None:
-            return _shared(by_turns)
-        known = self.main.select("session_id")
-        quiet = self.timeline.join(known, "session_id", "left_anti")
-        by_loudness = attribution.roles_from_loudness(quiet, self.split).drop("segment_ix")
-        with_turns = by_turns.join(known, "session_id", "left_semi")
-        return _shared(with_turns.unionByName(by_loudness))
+        # Speech tiles are unions of turns, so every one of them is covered.
+        conf = intervals.clear_lead_confidence(self.main)
+        rows = intervals.split_by_role(self.timeline, self.marked, conf, self.split, self.thresholds)
+        if self.voice is not None:
+            known = self.marked.select("session_id").distinct()
+            quiet = self.timeline.join(known, "session_id", "left_anti")
+            by_loudness = attribution.roles_from_loudness(quiet, self.split).drop("segment_ix")
+            rows = rows.join(known, "session_id", "left_semi").unionByName(by_loudness)
+        return settled(rows)
 
     @cached_property
     def discourse(self) -> DataFrame:
-        turns, main = self.turns, self.main.select("session_id", "main_speaker")
+        marked = self.marked
         if self.voice is not None:
-            turns = discourse.turn_source(self.turns, self.labelled)
-            main = discourse.source_speaker(self.main, self.labelled)
-        return _shared(discourse.discourse(turns, self.segments, main, self.lexicon, self.split, self.thresholds))
+            rest = self.labelled.join(marked.select("session_id").distinct(), "session_id", "left_anti")
+            marked = marked.unionByName(discourse.pseudo_turns(rest, self.split))
+        return discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -107,7 +103,7 @@ class SessionAnalysis:
 
     @cached_property
     def values(self) -> DataFrame:
-        return _shared(metrics.metric_values(self.facts, self.thresholds))
+        return settled(metrics.metric_values(self.facts, self.thresholds))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -123,14 +119,8 @@ class SessionAnalysis:
 
     @cached_property
     def documents(self) -> DataFrame:
-        lost = metrics.lost_students(self.turns, self.main, self.labelled, self.thresholds)
-        values = self.values.join(self.main.select("session_id", F.lit(True).alias("from_turns")),
-                                  "session_id", "left")
+        lost = metrics.lost_students(self.marked, self.labelled, self.thresholds)
+        known = self.marked.select("session_id").distinct().withColumn("from_turns", F.lit(True))
+        values = self.values.join(known, "session_id", "left")
         return report.result_documents(self.corpus, values, self.metrics, self.published_timeline,
                                        self.insight, self.transcripts, lost)
-
-    def release(self) -> None:
-        """Drop the shared tables once the outputs are written."""
-        for name in ("turns", "main", "timeline", "labelled", "discourse", "values"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()

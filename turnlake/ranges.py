@@ -32,15 +32,18 @@ def in_buckets(df: DataFrame, start: str, end: str, width: float = BUCKET_SEC,
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
                  left_span: tuple[str, str], right_span: tuple[str, str],
-                 width: float = BUCKET_SEC) -> DataFrame:
-    """Inner pairs with left.start < right.end and left.end > right.start.
+                 width: float = BUCKET_SEC, how: str = "inner") -> DataFrame:
+    """Pairs with left.start < right.end and left.end > right.start.
 
-    Column names of the two sides must differ except for ``on``.
+    Column names of the two sides must differ except for ``on``. With ``how="left"`` a left
+    row comes back without a partner at least once per bucket that holds none, so callers
+    aggregate over the left row.
     """
     (ls, le), (rs, re) = left_span, right_span
-    pairs = in_buckets(left, ls, le, width).join(
-        in_buckets(right, rs, re, width), [*on, "_bucket"])
-    return pairs.filter(
-        (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
-        & (F.col("_bucket") == _bucket(F.greatest(ls, rs), width))
-    ).drop("_bucket")
+    copies = in_buckets(right, rs, re, width, "_r_bucket").withColumnsRenamed({k: f"_r_{k}" for k in on})
+    meets = ((F.col("_bucket") == F.col("_r_bucket")) & (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
+             & (F.col("_bucket") == _bucket(F.greatest(ls, rs), width)))
+    for k in on:
+        meets = (F.col(k) == F.col(f"_r_{k}")) & meets
+    pairs = in_buckets(left, ls, le, width).join(copies, meets, how)
+    return pairs.drop("_bucket", "_r_bucket", *[f"_r_{k}" for k in on])

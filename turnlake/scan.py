@@ -10,12 +10,13 @@ large share of the table. ``Ordered`` offers both plans behind the same columns:
   At most one key continues into each block, so the carry table has at most as many rows
   as there are blocks, and broadcasting it is bounded by that number.
 
-Split mode reads its input twice, so it checkpoints it to the shared folder first.
+Split mode reads its input twice, so it writes it to the shared folder first.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,18 +30,23 @@ DEFAULT_MAX_ROWS = 2_000_000
 _BLOCK = "_block"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the folder the cluster names."""
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from the table.
+
+    Cuts the plan and the lineage: a lost executor costs a re-read, later steps see true
+    sizes, and columns nobody uses are not read back. The folder is the cluster's
+    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="turnlake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="turnlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/turnlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def needs_split(df: DataFrame, key: Sequence[str]) -> bool:
@@ -118,7 +124,7 @@ class Ordered:
             spark = df.sparkSession
             blocks = int(spark.conf.get(BLOCKS_CONF, spark.conf.get("spark.sql.shuffle.partitions")))
             df = df.repartitionByRange(blocks, *self.key, *self.order)
-            df = checkpointed(df.withColumn(_BLOCK, F.spark_partition_id()))
+            df = settled(df.withColumn(_BLOCK, F.spark_partition_id()))
             self._settled = True
         self._df = df
 
@@ -140,44 +146,39 @@ class Ordered:
         return spec.rowsBetween(Window.unboundedPreceding, edge)
 
     def with_columns(self, **runs: Running) -> "Ordered":
-        if not self.split:
-            spec = Window.partitionBy(*self.key).orderBy(*[F.col(c).asc() for c in self.order])
-            df = self._df
-            for name, run in runs.items():
-                if run.neighbour:
-                    step = F.lead if run.backward else F.lag
-                    df = df.withColumn(name, step(run.value).over(spec)["v"])
-                else:
-                    df = df.withColumn(name, run.aggregate(run.value).over(self._window(self.key, run)))
-            return self._next(df)
-        return self._next(self._with_carry(runs))
+        if self.split:
+            return self._next(self._with_carry(runs))
+        rows = Window.partitionBy(*self.key).orderBy(*[F.col(c).asc() for c in self.order])
+
+        def column(run: Running) -> Column:
+            if run.neighbour:
+                return (F.lead if run.backward else F.lag)(run.value).over(rows)["v"]
+            return run.aggregate(run.value).over(self._window(self.key, run))
+
+        return self._next(self._df.withColumns({name: column(run) for name, run in runs.items()}))
 
     def _with_carry(self, runs: dict[str, Running]) -> DataFrame:
-        base = self._df if self._settled else checkpointed(self._df)
+        base = self._df if self._settled else settled(self._df)
         blocked = self.key + [_BLOCK]
 
         position = F.struct(*self.order)
         summary = base.groupBy(*blocked).agg(*[
             self._summary(run, position).alias(name) for name, run in runs.items()])
-        names = list(runs)
-        carry = summary
+        carries = {}
         for name, run in runs.items():
             along = F.col(_BLOCK).desc() if run.backward else F.col(_BLOCK).asc()
-            spec = Window.partitionBy(*self.key).orderBy(along).rowsBetween(
-                Window.unboundedPreceding, -1)
-            carry = carry.withColumn(f"_carry_{name}", run.aggregate(F.col(name)).over(spec))
-        carries = [f"_carry_{n}" for n in names]
-        carry = carry.select(*blocked, *carries).filter(
-            F.greatest(*[F.col(c).isNotNull().cast("int") for c in carries], F.lit(0)) > 0)
-
-        df = base.join(F.broadcast(carry), blocked, "left")
-        for name, run in runs.items():
-            local = run.aggregate(run.value).over(self._window(blocked, run))
-            df = df.withColumn(name, local)
-            df = df.withColumn(name, run.combine(F.col(f"_carry_{name}"), F.col(name)))
-            if run.neighbour:
-                df = df.withColumn(name, F.col(name)["v"])
-        return df.drop(*carries)
+            spec = Window.partitionBy(*self.key).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+            carries[f"_carry_{name}"] = run.aggregate(F.col(name)).over(spec)
+        carry = summary.withColumns(carries).select(*blocked, *carries).dropna("all", subset=list(carries))
+
+        df = base.join(F.broadcast(carry), blocked, "left").withColumns(
+            {name: run.aggregate(run.value).over(self._window(blocked, run)) for name, run in runs.items()})
+
+        def column(name: str, run: Running) -> Column:
+            value = run.combine(F.col(f"_carry_{name}"), F.col(name))
+            return value["v"] if run.neighbour else value
+
+        return df.withColumns({name: column(name, run) for name, run in runs.items()}).drop(*carries)
 
     def _summary(self, run: Running, position: Column) -> Column:
         if run.fold != "last":
