@@ -52,11 +52,13 @@ def duck(folder: str):
 
 
 def check(spark, con, folder: str, name: str, query, sql: str | None) -> str:
+    began = time.time()
     frame = query(spark, folder)
     columns = sorted(frame.columns)
     ours = [tuple(normalised(v) for v in row) for row in frame.select(*columns).collect()]
     if sql is None:
         return "" if ours else "no rows"
+    print(f"     spark {time.time() - began:.1f}s", end=" ")
     theirs = con.execute(sql)
     names = [d[0] for d in theirs.description]
     if sorted(names) != columns:

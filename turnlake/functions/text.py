@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +14,15 @@ from pyspark.sql import types as T
 from turnlake.config import ARTEFACT_PATTERNS, DEVANAGARI, QUESTION_WORDS
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda, or behind several branches, is computed again for
+    every element and branch; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Drop Unicode white space at both ends; ``trim`` would only drop spaces."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -48,7 +57,8 @@ def for_scoring(text: Column) -> Column:
     JVM; only other text goes through the Arrow batch.
     """
     text = F.coalesce(text, F.lit(""))
-    folded = F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_fold_unicode(text))
+    plain = text.rlike(r"^\p{ASCII}*$")
+    folded = F.coalesce(_fold_unicode(F.when(~plain, text)), F.lower(text))
     kept = F.regexp_replace(folded, r"[\p{P}\p{So}]", "")
     return strip(F.regexp_replace(kept, r"(?U)\s+", " "))
 
@@ -56,19 +66,19 @@ def for_scoring(text: Column) -> Column:
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Word edit distance of two texts whose words are separated by single spaces.
 
-    Each distinct word of the pair becomes one character from a block without surrogates, so
-    the built-in character distance counts words.
+    Each distinct word of the pair becomes one character of the supplementary planes, which
+    hold a million, so the built-in character distance counts words.
     """
-    ref, hyp = words(reference), words(hypothesis)
-    known = F.array_distinct(F.concat(ref, hyp))
+    def distance(ref: Column, hyp: Column, known: Column) -> Column:
+        def as_text(ws: Column) -> Column:
+            return F.array_join(F.transform(ws, lambda w: F.decode(
+                F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, w)), 8, "0")), "UTF-32")), "")
 
-    def as_text(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.decode(
-            F.unhex(F.hex(F.lit(19968) + F.array_position(known, w))), "UTF-16BE")), "")
+        return F.levenshtein(as_text(ref), as_text(hyp))
 
-    fits = F.when(F.size(known) > 35_000,
-                  F.raise_error(F.lit("more than 35,000 distinct words in one pair")).cast("int"))
-    return F.coalesce(fits, F.levenshtein(as_text(ref), as_text(hyp)))
+    pair = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    return bound(pair, lambda p: bound(F.array_distinct(F.concat(p["r"], p["h"])),
+                                       lambda known: distance(p["r"], p["h"], known)))
 
 
 def char_edits(reference: Column, hypothesis: Column) -> Column:
@@ -78,12 +88,14 @@ def char_edits(reference: Column, hypothesis: Column) -> Column:
 
 def repetition_rate(text: Column, n: int = 4) -> Column:
     """Share of n-gram positions whose n-gram stood earlier in the text; 0 for short text."""
-    ws = words(text)
-    count = F.size(ws)
-    grams = F.transform(F.sequence(F.lit(1), count - n + 1),
-                        lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
-    repeated = (count - n + 1) - F.size(F.array_distinct(grams))
-    return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
+    def rate(ws: Column) -> Column:
+        count = F.size(ws)
+        grams = F.transform(F.sequence(F.lit(1), count - n + 1),
+                            lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
+        repeated = (count - n + 1) - F.size(F.array_distinct(grams))
+        return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
+
+    return bound(words(text), rate)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -100,9 +112,11 @@ def compression_ratio(text: Column) -> Column:
 
 def script_ratio(text: Column, characters: str = DEVANAGARI) -> Column:
     """Share of letters inside a script's character range; 0 without letters."""
-    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", "")
-    inside = F.regexp_replace(letters, f"[^{characters}]", "")
-    return F.when(letters == "", 0.0).otherwise(F.length(inside) / F.length(letters))
+    def ratio(letters: Column) -> Column:
+        inside = F.regexp_replace(letters, f"[^{characters}]", "")
+        return F.when(letters == "", 0.0).otherwise(F.length(inside) / F.length(letters))
+
+    return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", ""), ratio)
 
 
 def words_per_second(text: Column, seconds: Column) -> Column:
@@ -111,14 +125,18 @@ def words_per_second(text: Column, seconds: Column) -> Column:
 
 def artefact_hits(text: Column, patterns: Mapping[str, Sequence[str]] = ARTEFACT_PATTERNS) -> Column:
     """Sorted names of the pattern groups with a phrase in the text, whatever the case."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = []
-    for name in sorted(patterns):
-        found = F.lit(False)
-        for phrase in patterns[name]:
-            found = found | lowered.contains(phrase.lower())
-        hits.append(F.when(found, F.lit(name)))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    def hits(lowered: Column) -> Column:
+        names = []
+        for name in sorted(patterns):
+            found = F.lit(False)
+            for phrase in patterns[name]:
+                found = found | lowered.contains(phrase.lower())
+            names.append(F.when(found, F.lit(name)))
+        return F.filter(F.array(*names), lambda h: h.isNotNull())
+
+    if not patterns:
+        return F.array().cast("array<string>")
+    return bound(F.lower(F.coalesce(text, F.lit(""))), hits)
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -129,9 +147,11 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 def mean_agreement(texts: Column) -> Column:
     """Mean pairwise word overlap of an array of texts; null for fewer than two."""
-    bags = F.transform(texts, lambda t: F.array_distinct(words(t)))
-    n = F.size(texts)
-    per_first = F.transform(bags, lambda a, i: F.aggregate(
-        F.slice(bags, i + 2, n), F.lit(0.0), lambda acc, b: acc + word_overlap(a, b)))
-    total = F.aggregate(per_first, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(n >= 2, total / (n * (n - 1) / 2))
+    def mean(bags: Column) -> Column:
+        n = F.size(bags)
+        per_first = F.transform(bags, lambda a, i: F.aggregate(
+            F.slice(bags, i + 2, n), F.lit(0.0), lambda acc, b: acc + word_overlap(a, b)))
+        total = F.aggregate(per_first, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(n >= 2, total / (n * (n - 1) / 2))
+
+    return bound(F.transform(texts, lambda t: F.array_distinct(words(t))), mean)

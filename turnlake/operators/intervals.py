@@ -107,12 +107,12 @@ def speaker_for_spans(spans: DataFrame, turns: DataFrame, span_key: list[str],
     slim = spans.select("session_id", *span_key, "start", "end")
     keys = ["session_id", *span_key]
     cells = (_candidates(slim, turns)
-             .groupBy(*keys, F.floor(F.col("overlap") / tol).alias("cell"))
+             .groupBy(*keys, F.floor(F.col("overlap") / tol).alias("_cell"))
              .agg(F.max(_first_most_contained()).alias("best"),
                   F.min("overlap").alias("low"), F.max("overlap").alias("high")))
     # Four cells are enough to see whether the tied run at the top stays within one tolerance.
-    down = Window.partitionBy(*keys).orderBy(F.col("cell").desc())
-    ranked = (cells.withColumn("n", F.row_number().over(down)).filter(F.col("n") <= 4)
+    down = Window.partitionBy(*keys).orderBy(F.col("_cell").desc())
+    ranked = (cells.withColumn("_rank", F.row_number().over(down)).filter(F.col("_rank") <= 4)
               .withColumn("_gap", F.lag("low").over(down) - F.col("high"))
               .withColumn("_run", F.sum(F.when(F.col("_gap") > tol, 1).otherwise(0)).over(down))
               .filter(F.col("_run") == 0))
