@@ -31,6 +31,11 @@ def corpus_of(spark: SparkSession, folder: str) -> Corpus:
     return _CORPORA.setdefault((spark.sparkContext.applicationId, folder), Corpus(spark, folder))
 
 
+def forget_corpora() -> None:
+    """Make the next query start from the given tables again."""
+    _CORPORA.clear()
+
+
 def query(sql: str | None = None):
     """Register a function of a corpus under its own name."""
     def register(fn: Callable[[Corpus], DataFrame]):

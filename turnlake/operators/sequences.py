@@ -88,20 +88,17 @@ def chunk_counts(parts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def place_parts(parts: DataFrame, part_segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk segments in whole-recording time; a chunk without its part stops the job.
+    """Chunk segments in whole-recording time; a session whose parts differ stops the job.
 
     ``parts`` has one row per transcribed chunk, also for silent ones.
     """
-    planned = chunks.select("session_id", "chunk_ix", F.col("start").alias("offset"))
-    both = planned.withColumn("p", F.lit(True)).join(
-        parts.select("session_id", "chunk_ix").withColumn("g", F.lit(True)),
-        ["session_id", "chunk_ix"], "full_outer")
-    checked = both.withColumn("offset", F.when(F.col("p") & F.col("g"), F.col("offset")).otherwise(
-        F.raise_error(F.concat(F.lit("parts and chunks differ in session "),
-                               F.col("session_id").cast("string"))).cast("double")))
-    rows = part_segments.join(checked.select("session_id", "chunk_ix", "offset"),
-                              ["session_id", "chunk_ix"])
-    return shift(rows, F.col("offset")).drop("offset")
+    planned = chunks.select("session_id", "chunk_ix", F.col("start").alias("_offset"))
+    differing = chunk_counts(parts, chunks).select("session_id", F.lit(True).alias("_differs"))
+    rows = part_segments.join(planned, ["session_id", "chunk_ix"], "left").join(differing, "session_id", "left")
+    stop = F.raise_error(F.concat(F.lit("parts and chunks differ in session "),
+                                  F.col("session_id").cast("string"))).cast("double")
+    by = F.when(F.col("_differs") | F.col("_offset").isNull(), stop).otherwise(F.col("_offset"))
+    return shift(rows, by).drop("_offset", "_differs")
 
 
 def drop_repeats(placed: DataFrame, split: bool | None = None,
