@@ -21,10 +21,11 @@ def test_query_agrees_with_its_check(spark, con, name):
 
 def test_split_mode_changes_nothing(spark):
     plain = Corpus(spark, FOLDER)
+    assert not plain.split
     spark.conf.set("turnlake.scan.maxRowsPerTask", "3")
     try:
         split = Corpus(spark, FOLDER)
-        assert split.split and not plain.split
+        assert split.split
         for name in ("timeline", "labelled", "discourse"):
             a, b = getattr(plain.analysis, name), getattr(split.analysis, name)
             assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,19 +127,29 @@ def speaker_for_spans(spans: DataFrame, turns: DataFrame, span_key: list[str],
 
 
 def _walk(spans: DataFrame, turns: DataFrame, keys: list[str], tol: float) -> DataFrame:
-    entry = F.struct("turn_ix", "overlap", "containment", "speaker")
-    listed = _candidates(spans, turns).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("overlap"), F.lit(0.0).alias("containment"),
-                     F.lit(None).cast("string").alias("speaker"))
-
-    def step(best, x):
-        wins = (x["overlap"] > best["overlap"] + tol) | (
-            (F.abs(x["overlap"] - best["overlap"]) <= tol) & (x["containment"] > best["containment"]))
-        return F.when(wins, F.struct(x["overlap"].alias("overlap"),
-                                     x["containment"].alias("containment"),
-                                     x["speaker"].alias("speaker"))).otherwise(best)
-
-    return listed.select(*keys, F.aggregate("xs", start, step)["speaker"].alias("speaker"))
+    """The rule taken turn by turn. Sorted batches stream past; one span's best is the state."""
+    rows = _candidates(spans, turns).select(*keys, "turn_ix", "overlap", "containment", "speaker")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn_ix")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        span, best = None, (0.0, 0.0, None)
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False):
+                key, overlap, containment = row[:len(keys)], row.overlap, row.containment
+                if key != span:
+                    if span is not None:
+                        done.append((*span, best[2]))
+                    span, best = key, (0.0, 0.0, None)
+                tied = abs(overlap - best[0]) <= tol
+                if overlap > best[0] + tol or (tied and containment > best[1]):
+                    best = (overlap, containment, row.speaker)
+            yield pd.DataFrame(done, columns=[*keys, "speaker"])
+        if span is not None:
+            yield pd.DataFrame([(*span, best[2])], columns=[*keys, "speaker"])
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return ordered.mapInPandas(walk, ", ".join(f"{c} {fields[c]}" for c in [*keys, "speaker"]))
 
 
 # --------------------------------------------------------------------------- main speaker

@@ -9,6 +9,8 @@ from turnlake import schema
 from turnlake.functions.numbers import round_even
 from turnlake.functions.text import strip
 
+PART_SEGMENTS = 5000
+
 
 # --------------------------------------------------------------------------- results
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -54,32 +56,35 @@ def read_documents(spark: SparkSession, path: str, index_path: str) -> DataFrame
 
 
 # --------------------------------------------------------------------------- transcripts
-def transcript_json(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """One transcript document per session, segments in start order, times to 3 places."""
-    words = F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(
-        round_even(w["start"], 3).alias("start"), round_even(w["end"], 3).alias("end"), w["word"].alias("word"))))
+def transcript_json(segments: DataFrame, transcripts: DataFrame,
+                    part_segments: int = PART_SEGMENTS) -> DataFrame:
+    """Transcript documents, segments in order, times to 3 places.
+
+    A document holds at most ``part_segments`` segments; ordinary sessions have one part.
+    """
     has_words = "words" in segments.columns
-    entry = F.struct(
-        F.col("start").alias("_s"), "seg_ix",
-        F.struct(round_even(F.col("start"), 3).alias("start"), round_even(F.col("end"), 3).alias("end"), "text",
-                 "avg_logprob", "no_speech_prob",
-                 (words if has_words else F.lit(None).cast("array<struct<start:double,end:double,word:string>>"))
-                 .alias("words")).alias("seg"))
-    listed = segments.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("xs"))
+    no_words = F.lit(None).cast(schema.TRANSCRIPT["segments"].dataType.elementType["words"].dataType)
+    words = no_words if not has_words else F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(
+        round_even(w["start"], 3).alias("start"), round_even(w["end"], 3).alias("end"), w["word"].alias("word"))))
+    seg = F.struct(round_even(F.col("start"), 3).alias("start"), round_even(F.col("end"), 3).alias("end"), "text",
+                   "avg_logprob", "no_speech_prob", words.alias("words"))
+    listed = segments.groupBy("session_id", F.floor((F.col("seg_ix") - 1) / part_segments).cast("int").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("seg_ix", seg.alias("seg")))).alias("xs"))
     rows = transcripts.join(listed, "session_id", "left")
     none = F.array().cast(schema.TRANSCRIPT["segments"].dataType)
-    return rows.select("session_id", F.to_json(F.struct(
+    return rows.select("session_id", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(F.struct(
         F.coalesce(F.transform("xs", lambda x: x["seg"]), none).alias("segments"), "language", "language_prob",
         "backend", "model", round_even(F.col("audio_sec"), 3).alias("audio_sec")),
         {"ignoreNullFields": "false"}).alias("value"))
 
 
-def transcript_rows(documents: DataFrame) -> DataFrame:
+def transcript_rows(documents: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
     """Segments back from transcript documents; empty word lists are null."""
-    parsed = documents.select("session_id", F.from_json("value", schema.TRANSCRIPT).alias("t"))
-    return parsed.select("session_id", "t.language", "t.backend", "t.model", "t.audio_sec",
-                         F.posexplode_outer("t.segments").alias("pos", "s")).select(
-        "session_id", "language", "backend", "model", "audio_sec", (F.col("pos") + 1).alias("seg_ix"),
+    parsed = documents.select("session_id", "part", F.from_json("value", schema.TRANSCRIPT).alias("t"))
+    return parsed.select("session_id", "part", "t.language", "t.backend", "t.model", "t.audio_sec",
+                         F.posexplode("t.segments").alias("pos", "s")).select(
+        "session_id", "language", "backend", "model", "audio_sec",
+        (F.col("part") * part_segments + F.col("pos") + 1).alias("seg_ix"),
         "s.start", "s.end", strip(F.coalesce("s.text", F.lit(""))).alias("text"), "s.avg_logprob",
         "s.no_speech_prob", F.when(F.size("s.words") > 0, F.col("s.words")).alias("words"))
 
@@ -99,4 +104,4 @@ def pending(work: DataFrame, finished: DataFrame) -> DataFrame:
     entry = F.from_json("value", "turns array<struct<start:double,end:double,speaker:string>>, "
                                  "segments array<struct<start:double,end:double,text:string>>")
     readable = finished.filter(F.coalesce(entry["turns"].isNotNull() | entry["segments"].isNotNull(), F.lit(False)))
-    return work.join(readable.select("key"), "key", "left_anti")
+    return work.join(readable.select("key").distinct(), "key", "left_anti")
