@@ -15,19 +15,19 @@ from turnlake.scan import Ordered, Running, following_min, running_max, running_
 SESSION = ["session_id"]
 
 
-def first_owner(segments: DataFrame, marked: DataFrame) -> DataFrame:
+def first_owner(segments: DataFrame, marked: DataFrame, *carry: str) -> DataFrame:
     """The first teacher turn, in start order, overlapping each non-empty segment.
 
     Walking the turns and crossing off used segments gives every segment to exactly that
-    turn, so a minimum per segment replaces the walk.
+    turn, so a minimum per segment replaces the walk. The text itself stays behind.
     """
     spoken = segments.filter(F.col("text") != "").select(
-        "session_id", "seg_ix", "text", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+        "session_id", "seg_ix", *carry, F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     teacher = marked.filter("role = 'teacher'").select("session_id", "turn_ix", "start", "end", "run")
     pairs = overlap_join(spoken, teacher, SESSION, ("s_start", "s_end"), ("start", "end"))
-    owner = pairs.groupBy("session_id", "seg_ix", "text", "s_end").agg(
+    owner = pairs.groupBy("session_id", "seg_ix", "s_end", *carry).agg(
         F.min(F.struct("start", "turn_ix", "end", "run")).alias("o"))
-    return owner.select("session_id", "seg_ix", "text", "s_end", "o.turn_ix", "o.start", "o.end", "o.run")
+    return owner.select("session_id", "seg_ix", *carry, "s_end", "o.turn_ix", "o.start", "o.end", "o.run")
 
 
 def questions(segments: DataFrame, marked: DataFrame,
@@ -37,25 +37,25 @@ def questions(segments: DataFrame, marked: DataFrame,
     Lexicon words contain no space, so the joined text is a question exactly when one of the
     segments is; nothing needs collecting.
     """
-    owned = first_owner(segments, marked)
+    owned = first_owner(segments.withColumn("asks", is_question(F.col("text"), lexicon)), marked, "asks")
     return (owned.groupBy("session_id", "turn_ix", "start", "end", "run")
-            .agg(F.bool_or(is_question(F.col("text"), lexicon)).alias("asks"),
-                 F.max("s_end").alias("span_end"))
+            .agg(F.bool_or("asks").alias("asks"), F.max("s_end").alias("span_end"))
             .filter("asks").drop("asks"))
 
 
 def question_ends(asked: DataFrame, marked: DataFrame) -> DataFrame:
     """When the teacher stopped: the run of teacher turns from the question on, while the
     words of the question last. Candidates are only turns starting inside that time."""
-    keys = ["session_id", "turn_ix", "start", "span_end"]
     teacher = marked.filter("role = 'teacher'").select(
-        "session_id", "run", F.floor(F.col("start") / BUCKET_SEC).alias("_bucket"),
-        F.col("turn_ix").alias("n_ix"), F.col("start").alias("n_start"), F.col("end").alias("n_end"))
-    near = in_buckets(asked, "start", "span_end").join(teacher, ["session_id", "run", "_bucket"])
-    later = near.filter((F.col("n_start") < F.col("span_end")) & (
-        F.struct("n_start", "n_ix") > F.struct("start", "turn_ix")))
-    ends = later.select(*keys, "n_end").unionByName(asked.select(*keys, F.col("end").alias("n_end")))
-    return ends.groupBy(*keys).agg(F.max("n_end").alias("q_end"))
+        F.col("session_id").alias("n_session"), F.col("run").alias("n_run"),
+        F.floor(F.col("start") / BUCKET_SEC).alias("n_bucket"), F.col("turn_ix").alias("n_ix"),
+        F.col("start").alias("n_start"), F.col("end").alias("n_end"))
+    follows = ((F.col("session_id") == F.col("n_session")) & (F.col("run") == F.col("n_run"))
+               & (F.col("_bucket") == F.col("n_bucket")) & (F.col("n_start") < F.col("span_end"))
+               & (F.struct("n_start", "n_ix") > F.struct("start", "turn_ix")))
+    near = in_buckets(asked, "start", "span_end").join(teacher, follows, "left")
+    ends = near.groupBy("session_id", "turn_ix", "start", "span_end", "end").agg(F.max("n_end").alias("later"))
+    return ends.withColumn("q_end", F.greatest("end", "later")).drop("end", "later")
 
 
 def answers(ended: DataFrame, marked: DataFrame, split: bool | None = None,

@@ -246,10 +246,10 @@ def merge_adjacent(pieces: DataFrame, split: bool | None = None,
     runs = runs.with_columns(_was=previous(F.col("_held")))
     opens = F.col("_was").isNull() | (F.col("_was") != F.col("_held"))
     runs = runs.with_columns(_run=last_value(F.when(opens, F.col("start")), inclusive=True))
-    return (runs.df.groupBy("session_id", "segment_ix", "_run")
-            .agg(F.max("end").alias("end"),
-                 F.when(F.max("_held") != "none", F.max("_held")).alias("role"))
-            .withColumnRenamed("_run", "start"))
+    return (runs.df.groupBy("session_id", "segment_ix", F.col("_run").alias("start"), "_held")
+            .agg(F.max("end").alias("end"))
+            .select("session_id", "segment_ix", "start", "end",
+                    F.when(F.col("_held") != "none", F.col("_held")).alias("role")))
 
 
 def restretch(timeline: DataFrame, merged: DataFrame, split: bool | None = None) -> DataFrame:
