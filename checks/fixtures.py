@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnlake.plans.session_analysis import SessionAnalysis
 from turnlake.scan import Ordered, needs_split, running_sum, settled
 
-ACTIVITIES = ("Shadow Art", "Paper Circuits", "Bridge Building", "Sound Lab")
+ACTIVITIES = ("Paper Theatre", "Paper Circuits", "Bridge Building", "Sound Lab")
 QUESTION_LEXICON = ("is", "der", "de", "es")
 
 

@@ -69,7 +69,7 @@ CTES["transcripts"] = "select session_id, actual_sec as audio_sec from recording
 CTES["spoken_segments"] = "select * from segments where session_id % 13 <> 0"
 CTES["sessions"] = """
 select session_id, case when session_id % 11 <> 0 then lpad((session_id % 30)::varchar, 5, '0') end as teacher_id,
-  (['Shadow Art', 'Paper Circuits', 'Bridge Building', 'Sound Lab'])[session_id % 4 + 1] as activity,
+  (['Paper Theatre', 'Paper Circuits', 'Bridge Building', 'Sound Lab'])[session_id % 4 + 1] as activity,
   (8 + session_id % 20)::int as total, ((8 + session_id % 20) // 2)::int as boys,
   (8 + session_id % 20 - (8 + session_id % 20) // 2 + case when session_id % 9 = 0 then 1 else 0 end)::int as girls,
   actual_sec, actual_sec * case session_id % 3 when 0 then 1.0::double when 1 then 1.5::double end as declared_sec,
@@ -319,6 +319,14 @@ from (select item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w:
 """
 
 
+# The first two minutes of every session: the same expressions over cut tables.
+_WINDOWED = ("spans", "tiles", "timeline", "main", "coverage", "conf", "pieces", "piece_roles", "merged", "labelled", "talk")
+CTES["w_turns"] = 'select session_id, turn_ix, start, least("end", 120::double) as "end", speaker from turns where start < 120'
+CTES["w_recordings"] = "select session_id, least(actual_sec, 120::double) as actual_sec from recordings"
+for _name in _WINDOWED:
+    CTES[f"w_{_name}"] = re.sub(rf"\b(from|join)\s+({'|'.join((*_WINDOWED, 'turns', 'recordings'))})\b", r"\1 w_\2", CTES[_name])
+
+
 def with_ctes(query: str) -> str:
     """Prefix a query with every fixture expression it needs."""
     needed: set[str] = set()

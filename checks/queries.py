@@ -60,14 +60,14 @@ def _raw_metadata(c: Corpus) -> DataFrame:
     """Sidecar JSON per session, some malformed, as a capture app would leave it."""
     sid = F.col("session_id")
     fields = F.struct(
-        F.concat(F.lit("OD"), (sid % 30).cast("string")).alias("teacherId"), F.lit("Shadow Art").alias("activityType"),
+        F.concat(F.lit("K"), (sid % 30).cast("string")).alias("teacherId"), F.lit("Paper Theatre").alias("activityType"),
         F.when(sid % 6 != 0, (8 + sid % 20).cast("int")).alias("totalStudents"),
         F.when(sid % 6 != 0, (sid % 9).cast("int")).alias("boys"), (sid % 7).cast("int").alias("girls"),
         F.when(sid % 4 == 0, 0).when(sid % 4 > 1, (60 + sid) * 1000).cast("bigint").alias("duration"),
         _stamp(sid).alias("timestamp"),
         F.struct(F.lit("A. Name").alias("teacherName"),
                  F.when(sid % 5 >= 3, 19.5).alias("latitude")).alias("photoMetadata"))
-    raw = F.when(sid % 23 == 7, F.lit('{"teacherId": "OD1", "duration"')).when(sid % 23 == 11, F.lit("[1, 2]"))
+    raw = F.when(sid % 23 == 7, F.lit('{"teacherId": "K1", "duration"')).when(sid % 23 == 11, F.lit("[1, 2]"))
     return _sid(c).select("session_id", raw.otherwise(F.to_json(fields)).alias("raw"))
 
 
@@ -87,7 +87,7 @@ def session_orphans(c):
     return src.orphans(c.recordings, _sid(c).filter("session_id % 10 <> 9"))
 
 
-@query("""select session_id, 'OD' || (session_id % 30)::varchar as teacher_id,
+@query("""select session_id, 'K' || (session_id % 30)::varchar as teacher_id,
   case when session_id % 6 <> 0 then 8 + session_id % 20 else 0 end::int as total,
   case when session_id % 6 <> 0 then session_id % 9 else 0 end::int as boys, (session_id % 7)::int as girls,
   case when session_id % 4 > 1 then (60 + session_id)::double end as declared_sec,
@@ -480,12 +480,12 @@ _GRID_CTE = ("with grid as (select * from (values ('default', 0.1::double, 2, 6)
 
 @query(_GRID_CTE + _SWEEP)
 def setting_coverage(c):
-    return sequences.sweep_settings(_frames(c), GRID, False)
+    return sequences.sweep_settings(_frames(c), GRID)
 
 
 @query(_GRID_CTE + f"select setting, round(avg(coverage), 6) as mean_coverage from ({_SWEEP}) group by 1")
 def setting_means(c):
-    means = sequences.mean_by_setting(sequences.sweep_settings(_frames(c), GRID, False))
+    means = sequences.mean_by_setting(sequences.sweep_settings(_frames(c), GRID))
     return means.select("setting", F.round("mean_coverage", 6).alias("mean_coverage"))
 
 
@@ -882,9 +882,16 @@ def backend_ranking(c):
     return compare.benchmark(_samples(c), _outputs(c)).select("backend", "wer", "position")
 
 
-@query()
+_CHARS = f"""select backend, hyp is null as failed, len(rc) as ref_chars,
+  case when hyp is not null then levenshtein({_CODES.format('rc')}, {_CODES.format('hc')}) end as char_edits
+from (select *, list_distinct(rc || hc) as known from (select backend, hyp,
+    list_filter(string_split(replace({_NORMAL.format('reference')}, ' ', ''), ''), lambda w: w <> '') as rc,
+    list_filter(string_split(replace({_NORMAL.format("coalesce(hyp, '')")}, ' ', ''), ''), lambda w: w <> '') as hc
+  from ({_EDITS})))"""
+
+
+@query(f"""select backend, sum(char_edits) / sum(ref_chars) filter (not failed)::double as cer from ({_CHARS}) group by 1""")
 def character_error_rates(c):
-    """Character edits; DuckDB counts them in bytes, so the tests compare a plain restatement."""
     return scoring.score_backends(_samples(c), _outputs(c)).select("backend", "cer")
 
 
@@ -959,9 +966,14 @@ def display_totals(c):
     return report.display_totals(report.published_totals(iv.talk_time(c.analysis.labelled)))
 
 
-@query()
+_RATIO = """select session_id, case when mean_role_conf >= 0.15::double and teacher_sec + student_sec > 0
+  then teacher_sec / (teacher_sec + student_sec) end as ratio from {0}"""
+
+
+@query(f"""select session_id, w.ratio as window_ratio, f.ratio as full_ratio, f.ratio - w.ratio as shift
+from ({_RATIO.format('w_talk')}) w join ({_RATIO.format('talk')}) f using (session_id)""")
 def window_bias(c):
-    """Talk ratio of the first two minutes against the whole; both runs are checked elsewhere."""
+    """Talk ratio of the first two minutes against the whole."""
     return report.window_bias(c.analyse(minutes=2.0).values, c.analysis.values)
 
 

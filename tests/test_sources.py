@@ -10,7 +10,7 @@ from turnlake.sources import sessions as src
 
 
 def test_metadata_defaults_and_malformed(spark, tmp_path):
-    good = {"activityType": "Shadow Art", "boys": 4, "totalStudents": 9, "duration": 12000, "teacherId": "OD1",
+    good = {"activityType": "Paper Theatre", "boys": 4, "totalStudents": 9, "duration": 12000, "teacherId": "K1",
             "timestamp": "2025-12-23T10:11:12", "photoMetadata": {"teacherName": "N", "latitude": 19.5}}
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "a.json").write_text(json.dumps(good, indent=1), encoding="utf-8")

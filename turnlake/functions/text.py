@@ -113,10 +113,10 @@ def compression_ratio(text: Column) -> Column:
 def script_ratio(text: Column, characters: str = DEVANAGARI) -> Column:
     """Share of letters inside a script's character range; 0 without letters."""
     def ratio(letters: Column) -> Column:
-        inside = F.regexp_replace(letters, f"[^{characters}]", "")
+        inside = F.regexp_replace(letters, f"[^{characters}]+", "")
         return F.when(letters == "", 0.0).otherwise(F.length(inside) / F.length(letters))
 
-    return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", ""), ratio)
+    return bound(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", ""), ratio)
 
 
 def words_per_second(text: Column, seconds: Column) -> Column:
