@@ -89,13 +89,9 @@ def schedule(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Every source's slots are ranked: its slots in earlier stretches (counted once per stretch and
     source, then summed) plus its rank inside the stretch. Slots past ``max_repeats`` passes drop out.
     """
-    spark = plan.sparkSession
-    span = plan.agg(F.max("total").alias("total")).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(
-            F.coalesce(F.col("total"), F.lit(0)) / (SLOT_STRETCH * mix.block_words)).cast("long") - 1))).alias("_stretch"),
-        F.ceil(F.coalesce(F.col("total"), F.lit(0)) / mix.block_words).cast("long").alias("_slots"))
-    slots = span.repartition("_stretch").select("_stretch", "_slots", F.explode(F.sequence(
-        F.col("_stretch") * SLOT_STRETCH, (F.col("_stretch") + 1) * SLOT_STRETCH - 1)).alias("slot")).filter("slot < _slots")
+    total = plan.agg(F.max("total")).first()[0] or 0
+    slots = plan.sparkSession.range(-(-total // mix.block_words)).select(
+        F.col("id").alias("slot"), F.floor(F.col("id") / SLOT_STRETCH).alias("_stretch"))
     slots = slots.withColumn("_point", F.pmod(F.pmod(F.col("slot"), F.lit(SCALE // 2)) * F.lit(GOLDEN), F.lit(SCALE)))
     # Sources that own no point own no slot.
     shares = plan.filter("high > low").select("source_ix", "source_size", "low", "high", F.explode(F.sequence(
@@ -148,8 +144,9 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.col("block") * mix.block_words, F.col("start"))
     pieces = pieces.select("_row", "source_ix", "block", inside.alias("_words"))
     wanted = schedule(plan, mix).groupBy("source_ix", "block").agg(F.count(F.lit(1)).alias("_times"))
-    taken = pieces.join(wanted, ["source_ix", "block"]).groupBy("_row").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
-    return rows.join(taken, "_row", "left").select(
+    # Sizes guessed before the explodes are far too small to choose a broadcast by.
+    taken = pieces.hint("merge").join(wanted, ["source_ix", "block"]).groupBy("_row").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
+    return rows.hint("merge").join(taken, "_row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 

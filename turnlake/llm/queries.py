@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import mixing
+from turnlake.llm import mixing, piece_codec, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,14 @@ def query(sql: str | None = None):
 @query(mixing.MIX_SQL)
 def op7_source_mixing(spark, folder):
     return mixing.mixed(table(spark, folder, "documents"))
+
+
+@query(quality_rules.RULES_SQL)
+def op2_quality_rules(spark, folder):
+    return quality_rules.cleaned(table(spark, folder, "documents")).drop("clean_text")
+
+
+@query()
+def op6_sentencepiece(spark, folder):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_codec.encoded(table(spark, folder, "documents"), path, ids=False)
