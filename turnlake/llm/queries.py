@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import mixing, piece_codec, quality_rules
+from turnlake.llm import mixing, piece_codec, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,9 @@ def op2_quality_rules(spark, folder):
 def op6_sentencepiece(spark, folder):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return piece_codec.encoded(table(spark, folder, "documents"), path, ids=False)
+
+
+@query()
+def op3_simhash(spark, folder):
+    rows = simhash.grouped(table(spark, folder, "documents"))
+    return rows.select("doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
