@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import mixing, piece_codec, quality_rules, simhash
+from turnlake.llm import mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,13 @@ def op6_sentencepiece(spark, folder):
 def op3_simhash(spark, folder):
     rows = simhash.grouped(table(spark, folder, "documents"))
     return rows.select("doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query()
+def op1_suffix_array(spark, folder):
+    return suffix_dedup.deduplicated(table(spark, folder, "documents"))
+
+
+@query()
+def op5_lempel_ziv(spark, folder):
+    return parsing_dedup.deduplicated(table(spark, folder, "documents"))
