@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup
+from turnlake.llm import mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op1_suffix_array(spark, folder):
 @query()
 def op5_lempel_ziv(spark, folder):
     return parsing_dedup.deduplicated(table(spark, folder, "documents"))
+
+
+@query(topk_search.SEARCH_SQL)
+def op9_topk(spark, folder):
+    return topk_search.search(table(spark, folder, "embeddings"))
