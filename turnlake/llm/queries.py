@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup, topk_search
+from turnlake.llm import archives, mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op5_lempel_ziv(spark, folder):
 @query(topk_search.SEARCH_SQL)
 def op9_topk(spark, folder):
     return topk_search.search(table(spark, folder, "embeddings"))
+
+
+@query(archives.ARCHIVE_SQL)
+def op8_warc(spark, folder):
+    return archives.round_trip(table(spark, folder, "pages")).drop("payload", "url")
