@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import archives, mixing, parsing_dedup, piece_codec, quality_rules, simhash, suffix_dedup, topk_search
+from turnlake.llm import (
+    archives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +69,8 @@ def op9_topk(spark, folder):
 @query(archives.ARCHIVE_SQL)
 def op8_warc(spark, folder):
     return archives.round_trip(table(spark, folder, "pages")).drop("payload", "url")
+
+
+@query()
+def op10_quality(spark, folder):
+    return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
