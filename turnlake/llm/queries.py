@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnlake.llm import (
-    archives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search,
+    archives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,9 @@ def op8_warc(spark, folder):
 @query()
 def op10_quality(spark, folder):
     return quality_model.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op4_toxicity(spark, folder):
+    rows = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"))
