@@ -239,3 +239,114 @@ def grouped(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) ->
 
 def hex_of(fingerprint):
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+# ------------------------------------------------------------------------------- by similarity of shingle sets
+BINS = 128
+BAND = 16
+EMPTY = np.uint16(0xFFFF)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xBB67AE8584CAA73B)
+
+
+def sketches(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint, mark (a hash of all shingles with their counts), sketch and keys.
+
+    The sketch has the least shingle hash of each of 128 bins, as 16 bits; two sets agree in about as
+    many of the bins they use as their Jaccard similarity says. keys: the least hash of each band of 16 bins.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, marks, least, keys = [], [], [], []
+            for text in batch.column("text"):
+                total, n, mark = np.zeros(64, np.int64), 0, np.uint64(0)
+                bins = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+                for piece in shingle_hashes(text.as_py() or "", width, seed):
+                    h = np.array(piece, np.uint64)
+                    total += _bit_sums(piece, [len(piece)])[0]
+                    n += len(piece)
+                    h = _mixed(h)
+                    mark += (h ^ (h >> np.uint64(31))).sum(dtype=np.uint64)
+                    h.sort()
+                    bin_of = h >> np.uint64(57)
+                    first = np.flatnonzero(np.concatenate(([True], bin_of[1:] != bin_of[:-1])))
+                    bins[bin_of[first]] = np.minimum(bins[bin_of[first]], h[first])
+                used = bins != np.iinfo(np.uint64).max
+                prints.append(np.packbits(2 * total > n).view(">u8")[0] if n else 0)
+                marks.append(mark)
+                least.append(np.where(used, np.minimum((bins >> np.uint64(24)) & np.uint64(0xFFFF), 0xFFFE), EMPTY).astype(np.uint16).tobytes())
+                band = bins.reshape(-1, BAND).min(axis=1)
+                keys.append(band[band != np.iinfo(np.uint64).max].view(np.int64))
+            sizes = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)),
+                 pa.array(least, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
+                ["doc_id", "fingerprint", "mark", "sketch", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, sketch binary, keys array<long>")
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the sketches in the rows of ``a`` and ``b``."""
+    used = (a != EMPTY) | (b != EMPTY)
+    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+
+
+def similar_links(items: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``items`` (item, fingerprint, sketch, keys) to links (a, b) that connect all similar items of a shard."""
+    dealt = items.select("item", "fingerprint", "sketch", F.explode("keys").alias("shard")).repartition("shard")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = whole_partition(batches)
+        if table is None:
+            return
+        key, item, prints = column(table, "shard"), column(table, "item"), column(table, "fingerprint").view(np.uint64)
+        _, shard, sizes = np.unique(key, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(sizes[shard] > 1)
+        shared = shared[np.lexsort((item[shared], shard[shared]))]
+        if not len(shared):
+            return
+        bodies = b"".join(table.column("sketch").take(pa.array(shared)).to_pylist())
+        sketch = np.frombuffer(bodies, np.uint16).reshape(-1, BINS)
+        _, shard = np.unique(shard[shared], return_inverse=True)
+        item, prints = item[shared], prints[shared]
+
+        def checked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in Forest(shard, prints).near(radius):
+                a, b = a[a > b], b[a > b]
+                for i in range(0, len(a), 100_000):
+                    x, y = a[i:i + 100_000], b[i:i + 100_000]
+                    alike = agreement(sketch[x], sketch[y]) >= similarity
+                    yield x[alike], y[alike]
+
+        label = merged_labels(len(item), checked())
+        tied = label != np.arange(len(item))
+        pairs = np.unique(np.stack([item[tied], item[label[tied]]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
+    """Per document: doc_id and component_id, the smallest doc_id reachable over similar texts.
+
+    Two texts are similar if their sets of ``width``-word shingles have an estimated Jaccard similarity of
+    ``similarity`` or more. At 0.8, 64-bit fingerprints differ in up to about 18 bits, which no
+    pigeonhole bands can index. So shards are keyed by least shingle hashes (a pair at 0.8 shares one of eight
+    in all but 3 of a million cases), the BK-trees of a shard give the pairs within ``radius`` bits, and sketches
+    settle them. Texts with the same shingles are one item. Null and empty texts have none and are
+    copies of each other. A null doc_id is grouped but never the smallest.
+    """
+    rows = settled(sketches(docs, width), "sketches")
+    items = settled(rows.groupBy("fingerprint", "mark").agg(
+        F.min("doc_id").alias("item"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "sketched-items")
+    roots = components(similar_links(items.filter("item is not null"), radius, similarity))
+    named = items.join(roots, items["item"] == roots["node"], "left").select(
+        "fingerprint", "mark", F.coalesce("root", "item").alias("component_id"))
+    return rows.select("doc_id", "fingerprint", "mark").join(named, ["fingerprint", "mark"]).select("doc_id", "fingerprint", "component_id")

@@ -151,8 +151,8 @@ def bytes_of(window: int, gram: int = 32) -> w.Cells:
     return w.Cells(window, gram, text_bytes, w.byte_grams, w.byte_probes(window), at_once=1 << 21)
 
 
-def deduplicated(docs: DataFrame, window: int = 100, with_text: bool = False) -> DataFrame:
-    """Per document doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, clean_text.
+def deduplicated(docs: DataFrame, window: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns of ``carry`` and, if asked, clean_text.
 
     A byte goes if some ``window`` bytes around it also start earlier: in a document with a smaller
     doc_id, or earlier in the same. ``docs`` needs doc_id (a whole number) and text; other columns
@@ -186,8 +186,12 @@ def deduplicated(docs: DataFrame, window: int = 100, with_text: bool = False) ->
             if with_text:
                 out.append(pa.array(rows[4], pa.string()))
                 names.append("clean_text")
+            for name in carry:
+                out.append(batch.column(name))
+                names.append(name)
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(finish, schema)
+    schema += "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in carry)
+    return docs.select("doc_id", "text", *carry).join(spans, "doc_id", "left").mapInArrow(finish, schema)

@@ -41,7 +41,7 @@ class Settings:
     neighbours: int = 15
     block: int = 64
     #: Lengths in bytes of the word beginnings that are terms of their own.
-    beginnings: tuple[int, ...] = (5, 7)
+    beginnings: tuple[int, ...] = (4, 5, 6, 8)
     threshold: float = 0.7
 
 
