@@ -23,8 +23,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Segments remembered in a Python worker at once; a worker that has seen more begins anew.
-REMEMBERED = 150_000
+#: Segments remembered in a Python worker: a full table becomes the older one of two, and what is asked for again
+#: moves back to the newer, so frequent words stay.
+REMEMBERED = 250_000
 #: Longer segments are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -60,6 +61,9 @@ class PieceCodec:
         self.segments = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+") if not any(
             "\n" in p for p in self.ids) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
+        self.surface = [None if i in self.id_bytes else "" if i in self.silent else " ⁇ " if i == self.unknown else piece.replace(MARK, " ")
+                        for i, piece in enumerate(self.pieces)]
         self.mark_runs: dict[int, list[int]] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -102,12 +106,17 @@ class PieceCodec:
 
     def _table(self, text: str) -> list[int]:
         """Ids of a segment with at most one mark, in front."""
-        n = len(text)
+        n, pieces, sides = len(text), len(self.pieces), self.side_by_side
         last, size = [-1] * n, [1] * n  # -1: a character that no piece holds
         for end, (token, length) in self.automaton.iter(text):
+            if last[end] >= 0:
+                continue  # there is one last token only
             before = end - length
-            if before < 0 or last[before] < 0 or self._may_precede(last[before], token):
-                last[end], size[end] = token, length
+            if before >= 0 and last[before] >= 0:
+                fits = sides.get(last[before] * pieces + token)
+                if not (self._may_precede(last[before], token) if fits is None else fits):
+                    continue
+            last[end], size[end] = token, length
         out, end = [], n - 1
         while end >= 0:
             token = last[end]
@@ -134,26 +143,30 @@ class PieceCodec:
 
     def text_of(self, ids: list[int]) -> str:
         """The surface of ids, space marks as spaces; the mark in front of the text not yet dropped."""
+        parts = [self.surface[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out, raw = [], bytearray()
-        for i in ids:
-            if i in self.id_bytes:
+        for i, part in zip(ids, parts):
+            if part is None:
                 raw.append(self.id_bytes[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i])
+            out.append(part)
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
+        return "".join(out)
 
     def _known(self, segment: str) -> tuple[str, int, str]:
-        ids = self.segment_ids(segment)
-        entry = (",".join(map(str, ids)), len(ids), self.text_of(ids))
+        entry = self.older.get(segment)
+        if entry is None:
+            ids = self.segment_ids(segment)
+            entry = (",".join(map(str, ids)), len(ids), self.text_of(ids))
         if len(segment) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[segment] = entry
         return entry
 
@@ -161,9 +174,9 @@ class PieceCodec:
         """Ids joined by commas, how many, and the text decoded from them."""
         if not text:
             return "", 0, ""
-        known, seen, make = self.known, [], self._known
+        seen, make = [], self._known
         for segment in self.segments.findall(MARK + text.replace(" ", MARK)):
-            seen.append(known.get(segment) or make(segment))
+            seen.append(self.known.get(segment) or make(segment))
         decoded = "".join([e[2] for e in seen])
         return ",".join([e[0] for e in seen]), sum([e[1] for e in seen]), decoded[1:]
 
