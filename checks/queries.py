@@ -16,6 +16,7 @@ from turnlake.operators import attribution, discourse, insight, labels, metrics,
 from turnlake.operators import corpus as cp
 from turnlake.operators import intervals as iv
 from turnlake.plans import transcriber_comparison as compare
+from turnlake.scan import new_folder
 from turnlake.sources import documents as docs
 from turnlake.sources import sessions as src
 
@@ -119,13 +120,6 @@ def measured_audio(c):
     return src.measured_audio(c.recordings).select("session_id", "actual_sec")
 
 
-@query()
-def result_documents(c):
-    """Whole documents; the nested JSON is checked in the tests."""
-    rows = c.analysis.documents
-    return rows.select("session_id", "part", F.to_json(F.struct(*rows.columns)).alias("document"))
-
-
 @query("""select session_id::varchar as session_id from recordings""")
 def result_index(c):
     return docs.index_rows(c.recordings.select(F.col("session_id").cast("string").alias("session_id")).unionByName(
@@ -136,17 +130,18 @@ def result_index(c):
 where session_id % 7 <> 3 and session_id % 10 <> 4""")
 def result_reader(c):
     sid = F.col("session_id")
-    text = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.struct("actual_sec").alias("audio")))
+    text = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), sid.cast("string").alias("session_id"), F.struct("actual_sec").alias("audio")))
     raw = c.recordings.select(sid.cast("string").alias("session_id"), F.when(
         sid % 10 == 4, F.substring(text, 1, 30)).otherwise(text).alias("value"))
     index = _sid(c).filter("session_id % 7 <> 3").select(sid.cast("string").alias("session_id"))
     return docs.parse_documents(raw, index).select("session_id", "audio.actual_sec")
 
 
-@query(f"""select session_id, seg_ix, {rounded('start', 3)} as start, {rounded('"end"', 3)} as "end", text, avg_logprob,
+@query(f"""select session_id, seg_ix::bigint * 3 as seg_ix, {rounded('start', 3)} as start, {rounded('"end"', 3)} as "end", text, avg_logprob,
   no_speech_prob from spoken_segments""")
 def transcript_round_trip(c):
-    back = docs.transcript_rows(docs.transcript_json(c.spoken_segments, c.transcripts))
+    sparse = c.spoken_segments.withColumn("seg_ix", F.col("seg_ix") * 3)
+    back = docs.transcript_rows(docs.transcript_heads(c.transcripts), docs.transcript_lines(sparse))
     return back.select("session_id", "seg_ix", "start", "end", "text", "avg_logprob", "no_speech_prob")
 
 
@@ -761,10 +756,13 @@ def transcript_text(c):
     return metrics.transcript_text(c.spoken_segments)
 
 
-@query("""select session_id, other_sec, student_sec, other_sec >= 2 and coalesce(student_sec, 0) <= 0 as lost
+_LOST = """select session_id, other_sec, student_sec, other_sec >= 2 and coalesce(student_sec, 0) <= 0 as lost
 from (select session_id, sum(case when speaker <> main_speaker then "end" - start else 0 end) as other_sec
   from turns join main using (session_id) group by 1)
-left join (select session_id, sum(case when role = 'student' then "end" - start else 0 end) as student_sec from labelled group by 1) using (session_id)""")
+left join (select session_id, sum(case when role = 'student' then "end" - start else 0 end) as student_sec from labelled group by 1) using (session_id)"""
+
+
+@query(_LOST)
 def lost_students(c):
     a = c.analysis
     return metrics.lost_students(a.marked, a.labelled)
@@ -1118,3 +1116,63 @@ _BODY = "'नमस्ते ' || alias || '!' || chr(10) || chr(10) || headline
 from (select session_id, {_BODY} as body from ({_INSIGHT}))""")
 def messages(c):
     return c.analysis.insight.select("session_id", "message")
+
+
+# =========================================================================== documents
+_DOCUMENTS = f"""select c.session_id::varchar as session_id, '1.0' as schema_version, c.teacher_id, c.alias, c.activity,
+  strftime(c.recorded_at, '%Y-%m-%dT%H:%M:%S') as recorded_at, c.total as roster_total, c.boys as roster_boys, c.girls as roster_girls,
+  {rounded('nullif(c.declared_sec, 0)', 1)} as declared_sec, {rounded('c.actual_sec', 1)} as actual_sec, {rounded('c.actual_sec', 1)} as analysed_sec,
+  {rounded('c.completeness', 3)} as completeness, 16000::int as sample_rate, 1::int as channels, c.has_gps,
+  case when c.session_id % 13 <> 0 then 'conformer-hi' end as asr, case when c.session_id % 13 <> 0 then 'indic' end as asr_backend,
+  'pyannote-community-1' as attribution, 'pyannote-community-1-segmentation' as vad,
+  {rounded('t.teacher_sec', 2)} as teacher_sec, {rounded('t.student_sec', 2)} as student_sec, {rounded('t.handson_sec', 2)} as handson_sec,
+  {rounded('t.dead_sec', 2)} as dead_sec, {rounded('t.unattributed_sec', 2)} as unattributed_sec,
+  {rounded('f.confidence', 3)} as confidence, {rounded('f.conf_speech_density', 3)} as conf_speech_density,
+  {rounded('f.conf_attribution', 3)} as conf_attribution, {rounded('f.conf_completeness', 3)} as conf_completeness, {rounded('f.conf_asr', 3)} as conf_asr,
+  f.verdict, i.headline, i.suggestion, i.summary, i.metrics_shown, m.message as whatsapp, g.flags, l.lost
+from corpus c join talk t using (session_id) join facts f using (session_id) join ({_INSIGHT}) i using (session_id)
+join (select session_id, case when length(body) > 400 then rtrim(substr(body, 1, 399)) || '…' else body end as message
+  from (select session_id, {_BODY} as body from ({_INSIGHT}))) m using (session_id)
+join (select session_id, {_FLAGS} as flags from corpus) g using (session_id) left join ({_LOST}) l using (session_id)"""
+
+
+def _stored(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Documents and timeline written to a new folder under the shared one, an old run before them, and read back."""
+    a = c.analysis
+    path = new_folder(c.spark, "documents")
+    docs.write_documents(a.documents.filter("session_id % 2 = 0").withColumn("activity", F.lit("old")), a.published_timeline.limit(3), path, "r0")
+    docs.write_documents(a.documents, a.published_timeline, path, "r1")
+    docs.write_index(c.recordings, f"{path}/index")
+    return docs.read_documents(c.spark, path, f"{path}/index")
+
+
+@query(f"""select * exclude (flags, lost), array_to_string(list_filter([nullif(flags, ''), case when lost then 'attribution_lost_students' end],
+  lambda x: x is not null), ',') as flags from ({_DOCUMENTS})""")
+def result_documents(c):
+    """Every field of every document, after writing and reading."""
+    rows, _ = _stored(c)
+    return rows.select(
+        "session_id", "schema_version", F.col("teacher.id").alias("teacher_id"), "teacher.alias", "activity", "recorded_at",
+        F.col("roster.total").alias("roster_total"), F.col("roster.boys").alias("roster_boys"), F.col("roster.girls").alias("roster_girls"),
+        "audio.declared_sec", "audio.actual_sec", "audio.analysed_sec", "audio.completeness", "audio.sample_rate", "audio.channels",
+        "audio.has_gps", "models.asr", "models.asr_backend", "models.attribution", "models.vad",
+        *[F.col("totals_sec")[k].alias(f"{k}_sec") for k in ("teacher", "student", "handson", "dead", "unattributed")],
+        F.col("confidence.overall").alias("confidence"),
+        *[F.col(f"confidence.components.{k}").alias(f"conf_{k}") for k in ("speech_density", "attribution", "completeness", "asr")],
+        "confidence.verdict", "insight.headline", "insight.suggestion", "insight.summary",
+        joined(F.col("insight.metrics_shown")).alias("metrics_shown"), "insight.whatsapp", joined(F.col("flags")).alias("flags"))
+
+
+@query(f"""select session_id::varchar as session_id, key, {rounded('value', 4)} as value, unit, band, benchmark, {rounded('confidence', 3)} as confidence
+from metric_rows""")
+def document_metrics(c):
+    """The seven metrics inside every document, after writing and reading."""
+    rows, _ = _stored(c)
+    return rows.select("session_id", F.explode("metrics").alias("key", "m")).select(
+        "session_id", "key", "m.value", "m.unit", "m.band", "m.benchmark", "m.confidence")
+
+
+@query(f"select * replace (session_id::varchar as session_id, seg_no::bigint as seg_no) from ({_PUBLISHED})")
+def document_timeline(c):
+    """All timeline rows beside the documents, after writing and reading."""
+    return _stored(c)[1]

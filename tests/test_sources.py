@@ -46,35 +46,68 @@ def test_label_sheet(spark, tmp_path):
         ("S1#0001", "teacher", None, "आ"), ("S1#0003", "student", "teacher", ""), ("S1#0006", "student", None, "a")]
 
 
+def documents(spark, *sessions, **fields):
+    return spark.createDataFrame([(s, "1.0") for s in sessions], "session_id string, schema_version string").withColumns(
+        {k: F.lit(v) for k, v in fields.items()})
+
+
+def timeline(spark, *rows):
+    return spark.createDataFrame(rows, "session_id string, seg_no int, t0 double, t1 double, kind string")
+
+
 def test_documents_survive_writing_and_reading(spark, tmp_path):
     from checks.fixtures import Corpus
     a = Corpus(spark, "/root/testdata/sf0.001").analysis
     out, index = str(tmp_path / "out"), str(tmp_path / "index")
-    docs.write_documents(a.documents, out)
-    docs.write_documents(a.documents.filter("session_id = 3"), out)
+    docs.write_documents(a.documents, a.published_timeline, out)
+    docs.write_documents(a.documents.filter("session_id = 3"), a.published_timeline.filter("session_id = 3"), out)
     docs.write_index(a.recordings.filter("session_id <> 5"), index)
-    back = docs.read_documents(spark, out, index)
+    back, lines = docs.read_documents(spark, out, index)
     assert back.count() == a.recordings.count() - 1
+    assert lines.count() == a.labelled.filter("session_id <> 5").count()
     row = back.filter("session_id = '3'").first()
     sums = a.labelled.filter("session_id = 3").agg(F.sum(F.col("end") - F.col("start"))).first()[0]
-    assert len(row.metrics) == 7 and len(row.timeline) == a.labelled.filter("session_id = 3").count()
-    assert sum(row.totals_sec.values()) == pytest.approx(sums, abs=0.05)
+    assert len(row.metrics) == 7 and sum(row.totals_sec.values()) == pytest.approx(sums, abs=0.05)
     text = json.dumps([r.asDict(recursive=True) for r in back.collect()], ensure_ascii=False, default=str)
     assert "A. Name" not in text and "somewhere" not in text
-    parts = a.documents
-    assert set(parts.columns) >= {"schema_version", "teacher", "audio", "models", "timeline", "insight", "flags"}
+    assert set(a.documents.columns) >= {"schema_version", "teacher", "audio", "models", "insight", "flags"}
 
 
-def test_long_sessions_come_in_parts(spark):
-    from checks.fixtures import Corpus
-    from turnlake.operators import metrics, report
-    a = Corpus(spark, "/root/testdata/sf0.001").analysis
-    lost = metrics.lost_students(a.marked, a.labelled)
-    values = a.values.withColumn("from_turns", F.lit(True))
-    parts = report.result_documents(a.corpus, values, a.metrics, a.published_timeline, a.insight, a.transcripts, lost, 4)
-    assert parts.filter("part > 0 and schema_version is not null").isEmpty()
-    assert parts.filter(F.size("timeline") > 4).isEmpty()
-    assert parts.agg(F.sum(F.size("timeline"))).first()[0] == a.labelled.count()
+def test_ids_are_text_and_long_sessions_whole(spark, tmp_path):
+    out, index = str(tmp_path / "out"), str(tmp_path / "index")
+    long = spark.range(12_000).selectExpr("'0012' as session_id", "cast(id as int) as seg_no", "cast(id as double) as t0",
+                                          "id + 1.0D as t1", "'dead' as kind")
+    docs.write_documents(documents(spark, "0012", "7"), long.unionByName(timeline(spark, ("7", 0, 0.0, 1.0, "dead"))), out)
+    docs.write_index(documents(spark, "0012", "index"), index)
+    back, lines = docs.read_documents(spark, out, index)
+    assert rows(back, "session_id") == [("0012",)]
+    assert lines.agg(F.count("*"), F.countDistinct("seg_no"), F.max("t1")).first() == (12_000, 12_000, 12_000.0)
+
+
+def test_absent_index_reads_as_empty(spark, tmp_path):
+    out = str(tmp_path / "out")
+    docs.write_documents(documents(spark, "a"), timeline(spark, ("a", 0, 0.0, 1.0, "dead")), out)
+    back, lines = docs.read_documents(spark, out, str(tmp_path / "nothing"))
+    assert back.count() == 0 and lines.count() == 0
+
+
+def test_the_latest_readable_run_counts(spark, tmp_path):
+    out, index = str(tmp_path / "out"), str(tmp_path / "index")
+    docs.write_index(documents(spark, "a", "b", "c"), index)
+    docs.write_documents(documents(spark, "a", "b", activity="old"), timeline(spark, ("a", 0, 0.0, 1.0, "dead"), ("b", 0, 0.0, 1.0, "dead")), out)
+    docs.write_documents(documents(spark, "a", activity="new"), timeline(spark, ("a", 0, 0.0, 2.0, "dead"), ("a", 1, 2.0, 3.0, "dead")), out)
+    (tmp_path / "out" / "documents" / "run=r99999999999999999999").mkdir()
+    (tmp_path / "out" / "documents" / "run=r99999999999999999999" / "x.json").write_text('{"session_id": "b", "schema_ver')
+    back, lines = docs.read_documents(spark, out, index)
+    assert rows(back, "session_id", "activity") == [("a", "new"), ("b", "old")]
+    assert rows(lines, "session_id", "t1") == [("a", 2.0), ("a", 3.0), ("b", 1.0)]
+
+
+def test_sparse_segment_numbers_survive(spark, make):
+    heads = docs.transcript_heads(spark.createDataFrame(
+        [(0, "hi", 0.5, "b", "m", 9.0)], "session_id long, language string, language_prob double, backend string, model string, audio_sec double"))
+    segs = make.segments([(0, 1, "a"), (1, 2, "b")]).withColumn("seg_ix", F.col("seg_ix") * 2 + 5)
+    assert rows(docs.transcript_rows(heads, docs.transcript_lines(segs)), "seg_ix", "text", "language") == [(7, "a", "hi"), (9, "b", "hi")]
 
 
 def test_finished_work_is_skipped_by_content(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ from turnlake.operators.corpus import has_gps, quality_flags
 from turnlake.scan import Ordered, previous
 
 SCHEMA_VERSION = "1.0"
-PART_SEGMENTS = 5000
+
+# How a document names the attribution and the speech detector, from turns and from loudness.
+FROM_TURNS = {"attribution": "pyannote-community-1", "vad": "pyannote-community-1-segmentation"}
+FROM_LOUDNESS = {"attribution": "energy-kmeans-v1", "vad": "silero@0.5"}
 
 
 def published_timeline(labelled: DataFrame, segments: DataFrame | None = None,
@@ -102,18 +107,11 @@ def window_bias(windowed: DataFrame, full: DataFrame) -> DataFrame:
         "shift", F.col("full_ratio") - F.col("window_ratio"))
 
 
-def result_documents(corpus: DataFrame, values: DataFrame, metrics: DataFrame, timeline: DataFrame,
-                     insight: DataFrame, transcripts: DataFrame, lost: DataFrame,
-                     part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """The published document per session as a struct.
-
-    The timeline goes in parts of ``part_segments`` rows so that no row holds an unbounded
-    session: part 0 carries everything else, and a session with fewer rows is one document.
-    """
-    parts = timeline.withColumn("part", F.floor(F.col("seg_no") / part_segments).cast("int")).groupBy(
-        "session_id", "part").agg(F.array_sort(F.collect_list(F.struct(
-            "seg_no", "t0", "t1", "kind", "rms_db", "role", "role_conf", "text"))).alias("timeline"))
-    parts = parts.withColumn("timeline", F.transform("timeline", lambda s: s.dropFields("seg_no")))
+def result_documents(corpus: DataFrame, values: DataFrame, metrics: DataFrame, insight: DataFrame,
+                     transcripts: DataFrame, lost: DataFrame, from_turns: Mapping[str, str] = FROM_TURNS,
+                     from_loudness: Mapping[str, str] = FROM_LOUDNESS) -> DataFrame:
+    """The published document of each session, one row. Its timeline is a table of its own, one row
+    per segment (``published_timeline``), so a document's size does not grow with its session."""
     listed = published_metrics(metrics).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "key", F.struct("value", "unit", "band", "benchmark", "confidence", "formula", "explanation",
                         "interpretation")))).alias("metrics"))
@@ -127,7 +125,7 @@ def result_documents(corpus: DataFrame, values: DataFrame, metrics: DataFrame, t
     flags = F.concat(quality_flags(), F.when(F.coalesce("lost", F.lit(False)), F.array(
         F.lit("attribution_lost_students"))).otherwise(F.array().cast("array<string>")))
     turns_used = F.coalesce("from_turns", F.lit(False))
-    head = head.select(
+    return head.select(
         "session_id", F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.struct(F.col("teacher_id").alias("id"), "alias").alias("teacher"), "activity",
         F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("recorded_at"), "roster",
@@ -136,11 +134,8 @@ def result_documents(corpus: DataFrame, values: DataFrame, metrics: DataFrame, t
                  round_even(F.col("audio_sec"), 1).alias("analysed_sec"),
                  round_even(share, 3).alias("completeness"), "sample_rate", "channels",
                  has_gps().alias("has_gps")).alias("audio"),
-        # How a document names the attribution and speech detector that ran.
         F.struct(F.col("model").alias("asr"), F.col("backend").alias("asr_backend"),
-                 F.when(turns_used, "pyannote-community-1").otherwise("energy-kmeans-v1").alias("attribution"),
-                 F.when(turns_used, "pyannote-community-1-segmentation").otherwise("silero@0.5").alias("vad")
-                 ).alias("models"),
+                 *[F.when(turns_used, from_turns[k]).otherwise(from_loudness[k]).alias(k) for k in ("attribution", "vad")]).alias("models"),
         F.create_map(*[c for n in names for c in (F.lit(n), round_even(F.col(f"{n}_sec"), 2))]).alias("totals_sec"),
         "metrics",
         F.struct(round_even(F.col("confidence"), 3).alias("overall"),
@@ -150,6 +145,3 @@ def result_documents(corpus: DataFrame, values: DataFrame, metrics: DataFrame, t
         F.struct("headline", "suggestion", "summary", "metrics_shown", "verdict", "generated_by",
                  F.col("message").alias("whatsapp")).alias("insight"),
         flags.alias("flags"))
-    # Later parts carry the timeline only.
-    only_first = [F.when(F.col("part") == 0, F.col(c)).alias(c) for c in head.columns if c != "session_id"]
-    return parts.join(head, "session_id").select("session_id", "part", *only_first, "timeline")

@@ -122,5 +122,4 @@ class SessionAnalysis:
         lost = metrics.lost_students(self.marked, self.labelled, self.thresholds)
         known = self.marked.select("session_id").distinct().withColumn("from_turns", F.lit(True))
         values = self.values.join(known, "session_id", "left")
-        return report.result_documents(self.corpus, values, self.metrics, self.published_timeline,
-                                       self.insight, self.transcripts, lost)
+        return report.result_documents(self.corpus, values, self.metrics, self.insight, self.transcripts, lost)

@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS_CONF = "turnlake.scan.maxRowsPerTask"
@@ -30,23 +30,29 @@ DEFAULT_MAX_ROWS = 2_000_000
 _BLOCK = "_block"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and continue from the table.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is the one in ``spark.checkpoint.dir``.
 
-    Cuts the plan and the lineage: a lost executor costs a re-read, later steps see true
-    sizes, and columns nobody uses are not read back. The folder is the cluster's
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="turnlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/turnlake-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from the table.
+
+    Cuts the plan and the lineage: a lost executor costs a re-read, later steps see true
+    sizes, and columns nobody uses are not read back.
+    """
+    path = new_folder(df.sparkSession, "turnlake")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def needs_split(df: DataFrame, key: Sequence[str]) -> bool:

@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake import schema
 from turnlake.functions.numbers import round_even
 from turnlake.functions.text import strip
 
-PART_SEGMENTS = 5000
+# How many hex digits of the content and of the settings a key holds, and the unset setting.
+CONTENT_DIGITS, SETTINGS_DIGITS, UNSET = 20, 10, "auto"
 
 
 # --------------------------------------------------------------------------- results
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder of JSON per session; sessions already there are replaced, others stay."""
-    rows = documents.withColumn("session", F.col("session_id").cast("string")).repartition("session", "part")
-    (rows.write.partitionBy("session").mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", True).json(path))
+def new_run() -> str:
+    """Name of a run; later runs sort later. The letter keeps it text when folders are read."""
+    return f"r{time.time_ns():020d}"
+
+
+def write_documents(documents: DataFrame, timeline: DataFrame, path: str, run: str | None = None) -> None:
+    """A run of results: JSON lines with one document per session, and with one row per timeline segment.
+
+    A run is a folder of its own, so nothing written before changes; readers take a session's latest
+    run. The number of files follows the data, not the number of sessions.
+    """
+    run = run or new_run()
+    for rows, part in ((documents, "documents"), (timeline, "timeline")):
+        rows.withColumn("session_id", F.col("session_id").cast("string")).write.mode("overwrite").option(
+            "ignoreNullFields", True).json(f"{path}/{part}/run={run}")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
     """Raw report rows as JSON lines, so a report can be rendered again without a re-run."""
-    rows.write.mode("overwrite").json(path)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema_: T.StructType) -> DataFrame:
+    """Report rows as they were written."""
+    return spark.read.schema(schema_).json(path)
 
 
 def index_rows(documents: DataFrame) -> DataFrame:
@@ -35,65 +55,77 @@ def write_index(documents: DataFrame, path: str) -> None:
     index_rows(documents).write.mode("overwrite").json(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The listed session ids; an index that was never written lists none."""
+    try:
+        return spark.read.schema("session_id string").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "session_id string")
+
+
 def parse_documents(raw: DataFrame, index: DataFrame) -> DataFrame:
     """Documents the index lists; an unreadable one is skipped, an empty index gives nothing.
 
-    ``raw`` has session_id and value (JSON text).
+    ``raw`` has value (JSON text) and maybe columns to carry. The id is the one in the document.
     """
-    listed = raw.join(index.select("session_id"), "session_id", "left_semi")
     typed = schema.RESULT.simpleString()[:-1] + ",_bad:string>"
-    parsed = listed.select("session_id", F.from_json(
+    carried = [c for c in raw.columns if c not in ("session_id", "value")]
+    parsed = raw.select(*carried, F.from_json(
         "value", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("d"))
     good = parsed.filter(F.col("d").isNotNull() & F.col("d._bad").isNull() & F.col("d.schema_version").isNotNull())
-    return good.select("session_id", F.col("d").dropFields("_bad", "session_id").alias("d")).select("session_id", "d.*")
+    return good.select(*carried, F.col("d").dropFields("_bad").alias("d")).select(*carried, "d.*").join(
+        index.select("session_id"), "session_id", "left_semi")
 
 
-def read_documents(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """Read written documents through their index."""
-    raw = spark.read.text(path).select(F.col("session").cast("string").alias("session_id"), "value")
-    index = spark.read.schema("session_id string").json(index_path)
-    return parse_documents(raw, index)
+def read_documents(spark: SparkSession, path: str, index_path: str) -> tuple[DataFrame, DataFrame]:
+    """Written documents through their index, and all timeline rows of the documents that were read.
+
+    The latest run that has a readable document of a session counts.
+    """
+    raw = spark.read.text(f"{path}/documents").select("value", "run")
+    found = parse_documents(raw, read_index(spark, index_path))
+    latest = found.groupBy("session_id").agg(F.max("run").alias("run"))
+    documents = found.join(latest, ["session_id", "run"], "left_semi").drop("run")
+    rows = spark.read.schema(schema.TIMELINE_ROW.simpleString()[len("struct<"):-1].replace(":", " ") + ", run string").json(f"{path}/timeline")
+    return documents, rows.join(latest, ["session_id", "run"], "left_semi").drop("run")
 
 
 # --------------------------------------------------------------------------- transcripts
-def transcript_json(segments: DataFrame, transcripts: DataFrame,
-                    part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Transcript documents, segments in order, times to 3 places.
+def transcript_heads(transcripts: DataFrame) -> DataFrame:
+    """One JSON text per transcript: everything but its segments."""
+    return transcripts.select("session_id", F.to_json(F.struct(
+        "language", "language_prob", "backend", "model", round_even(F.col("audio_sec"), 3).alias("audio_sec")),
+        {"ignoreNullFields": "false"}).alias("value"))
 
-    A document holds at most ``part_segments`` segments; ordinary sessions have one part.
-    """
-    has_words = "words" in segments.columns
-    no_words = F.lit(None).cast(schema.TRANSCRIPT["segments"].dataType.elementType["words"].dataType)
-    words = no_words if not has_words else F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(
+
+def transcript_lines(segments: DataFrame) -> DataFrame:
+    """One JSON text per segment, which names its place; times to 3 places. A long transcript is many rows."""
+    none = F.lit(None).cast(schema.TRANSCRIPT_LINE["words"].dataType)
+    words = none if "words" not in segments.columns else F.when(F.size("words") > 0, F.transform("words", lambda w: F.struct(
         round_even(w["start"], 3).alias("start"), round_even(w["end"], 3).alias("end"), w["word"].alias("word"))))
-    seg = F.struct(round_even(F.col("start"), 3).alias("start"), round_even(F.col("end"), 3).alias("end"), "text",
-                   "avg_logprob", "no_speech_prob", words.alias("words"))
-    listed = segments.groupBy("session_id", F.floor((F.col("seg_ix") - 1) / part_segments).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("seg_ix", seg.alias("seg")))).alias("xs"))
-    rows = transcripts.join(listed, "session_id", "left")
-    none = F.array().cast(schema.TRANSCRIPT["segments"].dataType)
-    return rows.select("session_id", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(F.struct(
-        F.coalesce(F.transform("xs", lambda x: x["seg"]), none).alias("segments"), "language", "language_prob",
-        "backend", "model", round_even(F.col("audio_sec"), 3).alias("audio_sec")),
+    return segments.select("session_id", F.to_json(F.struct(
+        F.col("seg_ix").cast("long").alias("seg_ix"), round_even(F.col("start"), 3).alias("start"),
+        round_even(F.col("end"), 3).alias("end"), "text", "avg_logprob", "no_speech_prob", words.alias("words")),
         {"ignoreNullFields": "false"}).alias("value"))
 
 
-def transcript_rows(documents: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Segments back from transcript documents; empty word lists are null."""
-    parsed = documents.select("session_id", "part", F.from_json("value", schema.TRANSCRIPT).alias("t"))
-    return parsed.select("session_id", "part", "t.language", "t.backend", "t.model", "t.audio_sec",
-                         F.posexplode("t.segments").alias("pos", "s")).select(
-        "session_id", "language", "backend", "model", "audio_sec",
-        (F.col("part") * part_segments + F.col("pos") + 1).alias("seg_ix"),
-        "s.start", "s.end", strip(F.coalesce("s.text", F.lit(""))).alias("text"), "s.avg_logprob",
-        "s.no_speech_prob", F.when(F.size("s.words") > 0, F.col("s.words")).alias("words"))
+def transcript_rows(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Segments back from transcript texts; empty word lists are null."""
+    head = heads.select("session_id", F.from_json("value", schema.TRANSCRIPT_HEAD).alias("t"))
+    rows = lines.select("session_id", F.from_json("value", schema.TRANSCRIPT_LINE).alias("s"))
+    return rows.join(head, "session_id").select(
+        "session_id", "t.language", "t.backend", "t.model", "t.audio_sec", "s.seg_ix", "s.start", "s.end",
+        strip(F.coalesce("s.text", F.lit(""))).alias("text"), "s.avg_logprob", "s.no_speech_prob",
+        F.when(F.size("s.words") > 0, F.col("s.words")).alias("words"))
 
 
 # --------------------------------------------------------------------------- skipping
 def content_key(content: Column, *stamp: Column) -> Column:
     """Key of a finished piece of work: what went in, and the settings it ran with."""
-    settings = F.concat_ws("|", *[F.coalesce(s.cast("string"), F.lit("auto")) for s in stamp])
-    return F.concat(F.substring(F.sha2(content, 256), 1, 20), F.lit("-"), F.substring(F.sha2(settings, 256), 1, 10))
+    settings = F.concat_ws("|", *[F.coalesce(s.cast("string"), F.lit(UNSET)) for s in stamp])
+    return F.concat(F.substring(F.sha2(content, 256), 1, CONTENT_DIGITS), F.lit("-"), F.substring(F.sha2(settings, 256), 1, SETTINGS_DIGITS))
 
 
 def pending(work: DataFrame, finished: DataFrame) -> DataFrame:
