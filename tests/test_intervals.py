@@ -35,13 +35,14 @@ def test_winner_prefers_the_enclosed_turn_on_a_tie(spark, make):
 
 
 def winner_by_definition(turns, start, end, tol=1e-6):
-    best = (0.0, 0.0, None)
-    for who, a, b in turns:
-        o = min(end, b) - max(start, a)
-        c = o / (b - a) if b > a else 1.0
-        if o > 0 and (o - best[0] > tol or (abs(o - best[0]) <= tol and c > best[1])):
-            best = (o, c, who)
-    return best[2]
+    """The end of the chain in which each leader is followed by the first later turn that beats it."""
+    shares = [(min(end, b) - max(start, a), b - a, who) for who, a, b in turns]
+    runners = [(o, o / whole if whole > 0 else 1.0, who) for o, whole, who in shares if o > 0]
+
+    def chain(led, others):
+        ahead = [i for i, r in enumerate(others) if r[0] - led[0] > tol or (abs(r[0] - led[0]) <= tol and r[1] > led[1])]
+        return chain(others[ahead[0]], others[ahead[0] + 1:]) if ahead else led[2]
+    return chain((0.0, 0.0, None), runners)
 
 
 def test_winner_follows_the_tolerance_walk(spark, make):

@@ -32,6 +32,14 @@ class Thresholds:
     duplicate_tolerance_sec: float = 1.0
     max_plausible_wps: float = 4.0
     compression_alarm: float = 2.4
+    # Bake-off score: weights of the signals, and what artefacts and an implausible speed leave of it.
+    signal_weights: dict[str, float] = field(
+        default_factory=lambda: {"confidence": 0.40, "density": 0.20, "looping": 0.25, "script": 0.15}
+    )
+    unknown_confidence: float = 0.5
+    logprob_range: float = 3.0
+    artefact_factor: float = 0.5
+    least_speed_factor: float = 0.2
     conf_weights: dict[str, float] = field(
         default_factory=lambda: {
             "speech_density": 0.30,

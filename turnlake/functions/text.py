@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from turnlake.config import ARTEFACT_PATTERNS, DEVANAGARI, QUESTION_WORDS
 
 
+#: White space as Python's ``split`` takes it: Unicode's, and the four separators U+001C to U+001F.
+SPACE = r"[\s\x{1C}-\x{1F}]"
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
@@ -25,12 +29,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop Unicode white space at both ends; ``trim`` would only drop spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?U)^{SPACE}+", ""), rf"(?U){SPACE}+$", "")
 
 
 def words(text: Column) -> Column:
     """Words between runs of Unicode white space; no words for blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"(?U){SPACE}+"), lambda w: w != "")
 
 
 def is_question(text: Column, lexicon: Sequence[str] = QUESTION_WORDS) -> Column:
@@ -42,7 +46,7 @@ def is_question(text: Column, lexicon: Sequence[str] = QUESTION_WORDS) -> Column
     if not lexicon:
         return marked
     alternatives = "|".join(re.escape(word) for word in lexicon)
-    return marked | text.rlike(rf"(?U)(?:^|\s)(?:{alternatives})(?=\s|$)")
+    return marked | text.rlike(rf"(?U)(?:^|{SPACE})(?:{alternatives})(?={SPACE}|$)")
 
 
 @F.pandas_udf(T.StringType())
@@ -60,7 +64,7 @@ def for_scoring(text: Column) -> Column:
     plain = text.rlike(r"^\p{ASCII}*$")
     folded = F.coalesce(_fold_unicode(F.when(~plain, text)), F.lower(text))
     kept = F.regexp_replace(folded, r"[\p{P}\p{So}]", "")
-    return strip(F.regexp_replace(kept, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(kept, rf"(?U){SPACE}+", " "))
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
@@ -88,14 +92,15 @@ def char_edits(reference: Column, hypothesis: Column) -> Column:
 
 def repetition_rate(text: Column, n: int = 4) -> Column:
     """Share of n-gram positions whose n-gram stood earlier in the text; 0 for short text."""
-    def rate(ws: Column) -> Column:
-        count = F.size(ws)
-        grams = F.transform(F.sequence(F.lit(1), count - n + 1),
-                            lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
-        repeated = (count - n + 1) - F.size(F.array_distinct(grams))
-        return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
-
-    return bound(words(text), rate)
+    return bound(words(text), lambda ws: repeated_share(ws, n))
+
+
+def repeated_share(ws: Column, n: int = 4) -> Column:
+    """``repetition_rate`` of words already split; n-grams are told apart by 64-bit hashes."""
+    count = F.size(ws)
+    grams = F.transform(F.sequence(F.lit(0), count - n), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)]))
+    repeated = (count - n + 1) - F.size(F.array_distinct(grams))
+    return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -13,9 +13,9 @@ from turnlake.scan import Ordered, running_sum
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Two accepted layouts, tried in turn; anything else is null."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    """Two accepted layouts, tried in turn, digits with or without a zero before; anything else is null."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")),
+                      F.try_to_timestamp(text, F.lit("yyyy-M-d'T'H:m:s")))
 
 
 def roster_consistent() -> Column:
@@ -96,7 +96,7 @@ def public_projection(corpus: DataFrame) -> DataFrame:
     share = completeness(F.col("actual_sec"), F.col("declared_sec"))
     return corpus.select(
         "session_id", "teacher_id", "alias", "activity",
-        F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("recorded_at"),
+        F.date_format("recorded_at", "yyyy-M-d'T'H:m:s").alias("recorded_at"),
         F.col("roster.total").alias("roster_total"), F.col("roster.boys").alias("roster_boys"),
         F.col("roster.girls").alias("roster_girls"),
         F.when(F.col("declared_sec") != 0, round_even(F.col("declared_sec"), 1)).alias("declared_sec"),

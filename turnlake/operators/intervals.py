@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,26 +128,46 @@ def speaker_for_spans(spans: DataFrame, turns: DataFrame, span_key: list[str],
 
 
 def _walk(spans: DataFrame, turns: DataFrame, keys: list[str], tol: float) -> DataFrame:
-    """The rule taken turn by turn. Sorted batches stream past; one span's best is the state."""
+    """The rule taken turn by turn: a leader is followed by the first later turn that beats it.
+
+    Sorted batches stream past; the leader of the span that a batch breaks off in is the state.
+    """
     rows = _candidates(spans, turns).select(*keys, "turn_ix", "overlap", "containment", "speaker")
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn_ix")
 
+    def last_leader(overlap: np.ndarray, inside: np.ndarray, reach: float, share: float) -> int:
+        """Place of the last leader after one with these values, -1 if none beats it."""
+        leader, begin = -1, 0
+        while begin < len(overlap):
+            ahead = overlap[begin:] - reach
+            beats = np.flatnonzero((ahead > tol) | ((np.abs(ahead) <= tol) & (inside[begin:] > share)))
+            if not len(beats):
+                break
+            leader = begin + int(beats[0])
+            reach, share, begin = overlap[leader], inside[leader], leader + 1
+        return leader
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        span, best = None, (0.0, 0.0, None)
+        open_key, led = None, (0.0, 0.0, None)
         for batch in batches:
+            if batch.empty:
+                continue
             done = []
-            for row in batch.itertuples(index=False):
-                key, overlap, containment = row[:len(keys)], row.overlap, row.containment
-                if key != span:
-                    if span is not None:
-                        done.append((*span, best[2]))
-                    span, best = key, (0.0, 0.0, None)
-                tied = abs(overlap - best[0]) <= tol
-                if overlap > best[0] + tol or (tied and containment > best[1]):
-                    best = (overlap, containment, row.speaker)
+            same = (batch[keys] == batch[keys].shift()).all(axis=1).to_numpy()
+            edges = [0, *(np.flatnonzero(~same[1:]) + 1).tolist(), len(batch)]
+            overlap, inside = batch["overlap"].to_numpy(), batch["containment"].to_numpy()
+            for a, b in zip(edges[:-1], edges[1:]):
+                key = tuple(batch[k].iat[a] for k in keys)
+                if key != open_key:
+                    if open_key is not None:
+                        done.append((*open_key, led[2]))
+                    open_key, led = key, (0.0, 0.0, None)
+                at = last_leader(overlap[a:b], inside[a:b], led[0], led[1])
+                if at >= 0:
+                    led = (overlap[a + at], inside[a + at], batch["speaker"].iat[a + at])
             yield pd.DataFrame(done, columns=[*keys, "speaker"])
-        if span is not None:
-            yield pd.DataFrame([(*span, best[2])], columns=[*keys, "speaker"])
+        if open_key is not None:
+            yield pd.DataFrame([(*open_key, led[2])], columns=[*keys, "speaker"])
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return ordered.mapInPandas(walk, ", ".join(f"{c} {fields[c]}" for c in [*keys, "speaker"]))

@@ -56,5 +56,5 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def score_by_sheet(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """The same scores per sheet and, with a null sheet, over all of them."""
-    return rows.rollup("sheet").agg(*_scores(t))
+    """The same scores per sheet, and over all of them in a row marked ``is_total``."""
+    return rows.rollup("sheet").agg((F.grouping("sheet") == 1).alias("is_total"), *_scores(t))

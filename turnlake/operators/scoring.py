@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnlake.config import ARTEFACT_PATTERNS, DEFAULTS, DEVANAGARI, Thresholds
 from turnlake.functions import text as tx
 from turnlake.functions.numbers import clamp
+from turnlake.operators import metrics
 
 
 # --------------------------------------------------------------------------- error rates
@@ -38,11 +39,12 @@ def pair_rates(pairs: DataFrame) -> DataFrame:
 def score_backends(samples: DataFrame, outputs: DataFrame) -> DataFrame:
     """Corpus wer and cer per backend: total edits over total reference units.
 
-    A sample a backend gave no text for has failed: it is counted and not scored. Empty text
-    is a fully wrong answer. A backend without scored samples has null rates; one whose
-    references are all empty stops the job.
+    A sample that a backend has no row for, or no text, has failed: it is counted and not scored. Empty
+    text is a fully wrong answer. A backend without scored samples has null rates; one whose
+    references are all empty stops the job. ``outputs`` has one row per sample and backend at most.
     """
-    edits = edit_counts(samples.join(outputs, "sample_id"))
+    edits = edit_counts(outputs.join(samples, "sample_id"))
+    every = samples.select(F.count(F.lit(1))).scalar()
     answered = F.col("hypothesis").isNotNull()
     scored = F.count_if(answered)
 
@@ -54,10 +56,9 @@ def score_backends(samples: DataFrame, outputs: DataFrame) -> DataFrame:
             total > 0, F.sum(F.when(kept, F.col(edits_col))) / total).otherwise(empty)
 
     return edits.groupBy("backend").agg(
-        scored.alias("scored"), F.count_if(~answered).alias("failed"),
-        rate("word_edits", "ref_words").alias("wer"), rate("char_edits", "ref_chars").alias("cer"),
+        scored.alias("scored"), rate("word_edits", "ref_words").alias("wer"), rate("char_edits", "ref_chars").alias("cer"),
         F.sum("elapsed_sec").alias("elapsed_sec"),
-        (F.sum("elapsed_sec") / F.greatest(F.lit(1), scored)).alias("sec_per_sample"))
+        (F.sum("elapsed_sec") / F.greatest(F.lit(1), scored)).alias("sec_per_sample")).withColumn("failed", every - F.col("scored"))
 
 
 def rank_backends(scores: DataFrame) -> DataFrame:
@@ -87,26 +88,48 @@ def text_signals(rows: DataFrame, script: str = DEVANAGARI,
                  patterns: Mapping[str, Sequence[str]] = ARTEFACT_PATTERNS) -> DataFrame:
     """Looping, compression, script and pattern signals of ``text`` over ``audio_sec``."""
     text = F.col("text")
-    return rows.withColumns({
-        "repetition_rate": tx.repetition_rate(text),
+    # The words are split once for both figures that need them.
+    of_words = tx.bound(tx.words(text), lambda ws: F.struct(tx.repeated_share(ws).alias("repeated"), F.size(ws).alias("n")))
+    return rows.withColumn("_words", of_words).withColumns({
+        "repetition_rate": F.col("_words.repeated"),
         "compression_ratio": tx.compression_ratio(text),
         "script_ratio": tx.script_ratio(text, script),
-        "words_per_sec": tx.words_per_second(text, F.col("audio_sec")),
+        "words_per_sec": F.when(F.col("audio_sec") > 0, F.col("_words.n") / F.col("audio_sec")).otherwise(0.0),
         "artefacts": tx.artefact_hits(text, patterns),
         "chars": F.length(F.coalesce(text, F.lit(""))),
-    })
+    }).drop("_words")
+
+
+def transcript_signals(segments: DataFrame, transcripts: DataFrame, script: str = DEVANAGARI,
+                       patterns: Mapping[str, Sequence[str]] = ARTEFACT_PATTERNS, t: Thresholds = DEFAULTS) -> DataFrame:
+    """All signals of each transcript: those of its text and those of its segments.
+
+    Whether it is empty and whether it compresses so hard that it must loop are told as well.
+    """
+    texts = metrics.transcript_text(segments)
+    rows = metrics.transcript_stats(segments, transcripts).join(texts, "session_id", "left").join(
+        transcripts.select("session_id", "audio_sec"), "session_id")
+    return text_signals(rows, script, patterns).withColumn("is_empty", F.col("chars") == 0).withColumn(
+        "compression_alarm", looping_alarm(t))
 
 
 def composite(t: Thresholds = DEFAULTS) -> Column:
-    """One 0..1 number for ranking, from the signal columns."""
-    conf = F.when(F.col("mean_logprob").isNull(), 0.5).otherwise(clamp((F.col("mean_logprob") + 3.0) / 3.0))
-    looping, drift = clamp(F.col("repetition_rate")), 1.0 - clamp(F.col("script_ratio"))
-    score = (F.lit(0.40) * conf + F.lit(0.20) * clamp(F.col("speech_density"))
-             + F.lit(0.25) * (1.0 - looping) + F.lit(0.15) * (1.0 - drift))
-    score = score * F.when(F.size("artefacts") > 0, 0.5).otherwise(1.0)
-    fast = F.col("words_per_sec") > t.max_plausible_wps
-    score = score * F.when(fast, F.greatest(F.lit(0.2), t.max_plausible_wps / F.col("words_per_sec"))).otherwise(1.0)
-    return F.when(F.col("chars") == 0, 0.0).otherwise(clamp(score))
+    """One 0..1 number for ranking, from the signal columns; nothing without text.
+
+    A weighted mean of what speaks for a transcript, cut by a factor for each thing that speaks against it.
+    """
+    heard = F.col("mean_logprob")
+    good = {"confidence": F.when(heard.isNull(), t.unknown_confidence).otherwise(clamp(1.0 + heard / t.logprob_range)),
+            "density": clamp(F.col("speech_density")),
+            "looping": 1.0 - clamp(F.col("repetition_rate")),
+            "script": clamp(F.col("script_ratio"))}
+    against = [F.when(F.size("artefacts") > 0, t.artefact_factor),
+               F.when(F.col("words_per_sec") > t.max_plausible_wps,
+                      F.greatest(F.lit(t.least_speed_factor), t.max_plausible_wps / F.col("words_per_sec")))]
+    score = sum((F.lit(weight) * good[name] for name, weight in t.signal_weights.items()), F.lit(0.0))
+    for factor in against:
+        score = score * F.coalesce(factor, F.lit(1.0))
+    return F.when(F.col("chars") > 0, clamp(score)).otherwise(0.0)
 
 
 def looping_alarm(t: Thresholds = DEFAULTS) -> Column:

@@ -184,8 +184,9 @@ def sweep_settings(frames: DataFrame, grid: Sequence[tuple[str, float, int, int]
                                  F.lit(speech).alias("min_speech"), F.lit(max(1, silence)).alias("min_silence"))
                         for name, thr, speech, silence in grid])
     key = ["setting", "clip_id"]
-    rows = frames.select("*", F.inline(setting))
-    voiced = rows.filter(F.col("score") >= F.col("threshold"))
+    # Frames under every threshold are speech nowhere and need no copy per setting.
+    heard = frames.filter(F.col("score") >= min(float(g[1]) for g in grid))
+    voiced = heard.select("*", F.inline(setting)).filter(F.col("score") >= F.col("threshold"))
     runs = Ordered(voiced, key, ["frame_ix"], split).with_columns(_at=previous(F.col("frame_ix")))
     opens = F.col("_at").isNull() | (F.col("frame_ix") - F.col("_at") - 1 >= F.col("min_silence"))
     runs = runs.with_columns(_run=last_value(F.when(opens, F.col("frame_ix")), inclusive=True))

@@ -15,7 +15,7 @@ ROSTER = _struct(total=_i, boys=_i, girls=_i)
 
 # The sidecar a capture app writes next to a recording.
 METADATA_JSON = _struct(
-    teacherId=_s, activityType=_s, totalStudents=_i, boys=_i, girls=_i, duration=_d, timestamp=_s,
+    teacherId=_s, activityType=_s, totalStudents=_s, boys=_s, girls=_s, duration=_d, timestamp=_s,
     photoMetadata=_struct(teacherName=_s, capturedAt=_s, latitude=_d, longitude=_d, address=_s))
 
 WORD = _struct(start=_d, end=_d, word=_s)
