@@ -15,6 +15,7 @@ from turnlake.functions import text as tx
 from turnlake.operators import attribution, discourse, insight, labels, metrics, report, scoring, sequences
 from turnlake.operators import corpus as cp
 from turnlake.operators import intervals as iv
+from turnlake.plans import incremental, stitching
 from turnlake.plans import transcriber_comparison as compare
 from turnlake.scan import new_folder
 from turnlake.sources import documents as docs
@@ -161,6 +162,25 @@ def pending_work(c):
     return docs.pending(work, work.filter("doc_id % 3 = 0").select("key", entry.alias("value")))
 
 
+@query("""with w as (select doc_id, case when doc_id % 7 = 0 then text || '!' else text end as text, lang from documents),
+f as (select distinct text, lang from documents where doc_id % 3 = 0)
+select doc_id, length(w.text)::int as chars, case when f.text is not null then 'r1' else 'r2' end as run
+from w left join f on f.text = w.text and f.lang is not distinct from w.lang""")
+def second_run(c):
+    """A first run over a third of the texts, then one over all, some of them changed: only what is new is computed."""
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "text", docs.content_key(F.col("text"), F.lit("indic"), F.col("lang")).alias("key"))
+
+    def compute(rows: DataFrame) -> DataFrame:
+        return rows.select("key", F.to_json(F.struct(F.array().cast("array<string>").alias("turns"), F.length("text").alias("chars"))).alias("value"))
+
+    table, store = c.table("documents"), new_folder(c.spark, "store")
+    incremental.run_pending(work(table.filter("doc_id % 3 = 0")), store, compute, "r1")
+    changed = table.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    rows = incremental.run_pending(work(changed), store, compute, "r2")
+    return rows.select("doc_id", F.get_json_object("value", "$.chars").cast("int").alias("chars"), "run")
+
+
 @query("""select source as sheet, 'doc.' || doc_id::varchar || '#0001' as row_id, doc_id / 4.0::double as start,
   n_chars / 16.0::double as "end", case when n_chars >= 1000 then 'teacher' else 'student' end as predicted,
   (doc_id % 100) / 100.0::double as confidence,
@@ -406,7 +426,10 @@ def _chunks(c: Corpus) -> DataFrame:
 def _part_segments(c: Corpus) -> DataFrame:
     """Segments as each chunk heard them: those in an overlap twice, half a second apart."""
     chunks = _chunks(c).select("session_id", "chunk_ix", F.col("start").alias("c_start"), "duration")
-    rows = c.segments.join(chunks, "session_id").filter(
+    # A chunk is 90 s; the overlap reaches into the next one and a short rest into the one before.
+    own = F.floor(F.col("start") / 90.0).cast("int")
+    near = c.segments.withColumn("chunk_ix", F.explode(F.array(own - 1, own, own + 1)))
+    rows = near.join(chunks, ["session_id", "chunk_ix"]).filter(
         (F.col("start") >= F.col("c_start")) & (F.col("start") < F.col("c_start") + F.col("duration")))
     late = F.when((F.col("chunk_ix") > 0) & (F.col("start") < F.col("c_start") + 2.0), 0.5).otherwise(0.0)
     return rows.select("session_id", "chunk_ix", "seg_ix", (F.col("start") - F.col("c_start") + late).alias("start"),
@@ -523,6 +546,26 @@ def timeline_tiling(c):
     return c.analysis.timeline.select("session_id", "segment_ix", "start", "end", "kind", "rms_db")
 
 
+_FRAMES = """select vec_id % 20 as session_id, (vec_id // 20) * 2.5::double as at, list_transform(embedding, lambda x: x::double * x::double) as p
+from embeddings"""
+
+
+@query(f"""select t.session_id, t.segment_ix, round(case when e is null then -120 else 20 * log10(greatest(sqrt(e / n), 1e-12)) end, 6) as rms_db,
+  round(coalesce(exp(l / n) / (e / n), 0), 6) as flatness from tiles t left join (
+  select t.session_id, t.segment_ix, sum(list_sum(p)) as e, sum(len(p)) as n, sum(list_sum(list_transform(p, lambda x: ln(greatest(x, 1e-12))))) as l
+  from tiles t join ({_FRAMES}) f on f.session_id = t.session_id and f.at >= t.start and f.at < t."end" group by 1, 2) using (session_id, segment_ix)""")
+def tile_measurement(c):
+    """Frames out of the vectors; their squares stand for the power of the bins."""
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    frames = c.table("embeddings").select(
+        (F.col("vec_id") % 20).alias("session_id"), (F.floor(F.col("vec_id") / 20) * 2.5).alias("at"), squares.alias("p")).select(
+        "session_id", "at", F.size("p").alias("samples"), total(F.col("p")).alias("energy"), F.size("p").alias("bins"),
+        total(F.col("p")).alias("power"), total(F.transform("p", lambda x: F.log(F.greatest(x, F.lit(1e-12))))).alias("log_power"))
+    tiles = c.analysis.timeline.select("session_id", "segment_ix", "start", "end")
+    return iv.measured(tiles, frames).select("session_id", "segment_ix", F.round("rms_db", 6).alias("rms_db"), F.round("flatness", 6).alias("flatness"))
+
+
 @query('select session_id, segment_ix, start, "end" from pieces')
 def speech_pieces(c):
     return iv.cut_at_turn_edges(c.analysis.timeline, c.analysis.turns, c.split)
@@ -906,6 +949,15 @@ def backend_scores(c):
     return scoring.score_backends(_samples(c), _outputs(c)).select("backend", "scored", "failed", "wer", "elapsed_sec")
 
 
+@query(f"select backend, scored, failed, wer from ({_SCORES})")
+def score_export(c):
+    """Scores written as rows and read again, as a report does."""
+    scores = scoring.score_backends(_samples(c), _outputs(c)).select("backend", "scored", "failed", "wer")
+    path = new_folder(c.spark, "scores")
+    docs.write_rows(scores, path)
+    return docs.read_rows(c.spark, path, scores.schema)
+
+
 @query(f"select backend, wer, row_number() over (order by wer asc nulls last, backend)::int as position from ({_SCORES})")
 def backend_ranking(c):
     return compare.benchmark(_samples(c), _outputs(c)).select("backend", "wer", "position")
@@ -978,15 +1030,39 @@ def speech_profile(c):
     return metrics.speech_profile(c.analysis.timeline, c.recordings, c.split).withColumn("loudness_db", F.round("loudness_db", 6))
 
 
-@query(f"""select session_id, case when i % 3 = 0 then 'hi' when i % 3 = 1 then 'mr' else 'en' end as language,
+ORACLES_LANGUAGE = f"""select session_id, case when i % 3 = 0 then 'hi' when i % 3 = 1 then 'mr' else 'en' end as language,
   p as language_prob from (select *, row_number() over (partition by session_id order by coalesce(p, -1) desc, i) as n
-  from (select session_id, chunk_ix as i, case when chunk_ix % 4 <> 2 then ((session_id + chunk_ix * 3) % 5) / 4.0::double end as p from ({_CHUNKS}))) where n = 1""")
+  from (select session_id, chunk_ix as i, case when chunk_ix % 4 <> 2 then ((session_id + chunk_ix * 3) % 5) / 4.0::double end as p from ({_CHUNKS}))) where n = 1"""
+
+
+@query(ORACLES_LANGUAGE)
 def language_vote(c):
+    return sequences.language_vote(_parts(c))
+
+
+def _parts(c: Corpus) -> DataFrame:
     ix = F.col("chunk_ix")
-    parts = _chunks(c).select(
+    return _chunks(c).select(
         "session_id", "chunk_ix", F.when(ix % 3 == 0, "hi").when(ix % 3 == 1, "mr").otherwise("en").alias("language"),
-        F.when(ix % 4 != 2, ((F.col("session_id") + ix * 3) % 5) / F.lit(4.0)).alias("language_prob"))
-    return sequences.language_vote(parts)
+        F.when(ix % 4 != 2, ((F.col("session_id") + ix * 3) % 5) / F.lit(4.0)).alias("language_prob"),
+        F.when(ix == 0, "indic").otherwise("other").alias("backend"), F.lit("conformer-hi").alias("model"))
+
+
+_KEPT = f"""select *, row_number() over (partition by session_id order by chunk_ix, seg_ix) as no from (
+  select *, lag(text) over w as was, lag(start) over w as was_start from ({_PLACED})
+  window w as (partition by session_id order by chunk_ix, seg_ix))
+where not coalesce(text = was and abs(start - was_start) <= 1, false)"""
+
+
+@query(f"""select v.session_id, v.language, v.language_prob, 'indic' as backend, 'conformer-hi' as model, r.actual_sec as audio_sec,
+  k.segments, k.first_start, k.last_end from ({ORACLES_LANGUAGE}) v join recordings r using (session_id)
+left join (select session_id, count(*) as segments, min_by(start, no) as first_start, max_by("end", no) as last_end from ({_KEPT}) group by 1) k
+using (session_id)""")
+def stitched_transcripts(c):
+    heads, segments = stitching.stitch(_parts(c), _part_segments(c), _chunks(c), c.recordings)
+    ends = segments.groupBy("session_id").agg(F.max("seg_ix").alias("segments"), F.min_by("start", "seg_ix").alias("first_start"),
+                                              F.max_by("end", "seg_ix").alias("last_end"))
+    return heads.join(ends, "session_id", "left")
 
 
 @query("""select sum(coalesce(declared_sec, actual_sec)) / 60 as declared_min, sum(actual_sec) / 60 as measured_min,

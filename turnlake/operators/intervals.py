@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import DEFAULTS, Thresholds
-from turnlake.ranges import overlap_join
+from turnlake.functions.numbers import clamp
+from turnlake.functions.signal import FLOOR
+from turnlake.ranges import BUCKET_SEC, in_buckets, overlap_join
 from turnlake.scan import Ordered, following, last_value, previous, running_max, running_sum
 
 SESSION = ["session_id"]
@@ -69,9 +71,25 @@ def non_speech_kind(rms_db: Column, t: Thresholds = DEFAULTS) -> Column:
     return F.when(rms_db >= t.handson_rms_db, "handson").otherwise("dead")
 
 
-def with_loudness(tiles: DataFrame, loudness: DataFrame) -> DataFrame:
-    """Attach measured loudness per tile."""
-    return tiles.join(loudness, ["session_id", "segment_ix"], "left")
+def measured(tiles: DataFrame, frames: DataFrame) -> DataFrame:
+    """Loudness and spectral flatness of each tile from the frames that begin in it.
+
+    ``frames`` has session_id, at (start in seconds), samples, energy (sum of squared samples), bins,
+    power (sum over the bins of the spectrum) and log_power (sum of their logarithms). A frame counts in
+    the tile it begins in. A tile without frames is -120 dB and flatness 0.
+    """
+    heard = frames.select(F.col("session_id").alias("_sid"), "at", "samples", "energy", "bins", "power", "log_power",
+                          F.floor(F.col("at") / F.lit(BUCKET_SEC)).alias("_at_bucket"))
+    inside = ((F.col("session_id") == F.col("_sid")) & (F.col("_bucket") == F.col("_at_bucket"))
+              & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    sums = in_buckets(tiles.select("session_id", "segment_ix", "start", "end"), "start", "end").join(heard, inside).groupBy(
+        "session_id", "segment_ix").agg(*[F.sum(c).alias(f"_{c}") for c in ("samples", "energy", "bins", "power", "log_power")])
+    rms = F.sqrt(F.col("_energy") / F.col("_samples"))
+    flat = F.exp(F.col("_log_power") / F.col("_bins")) / F.greatest(F.col("_power") / F.col("_bins"), F.lit(FLOOR))
+    out = tiles.join(sums, ["session_id", "segment_ix"], "left")
+    return out.withColumn("rms_db", F.when(F.col("_samples") > 0, 20.0 * F.log10(F.greatest(rms, F.lit(FLOOR)))).otherwise(-120.0)).withColumn(
+        "flatness", F.when(F.col("_power") > 0, clamp(flat)).otherwise(0.0)).drop(
+        "_samples", "_energy", "_bins", "_power", "_log_power")
 
 
 def classify(tiles: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -138,6 +138,13 @@ def drop_repeats(placed: DataFrame, split: bool | None = None,
     return placed.join(chains.mapInPandas(walk, schema), ["session_id", *order], "left_anti")
 
 
+def renumbered(kept: DataFrame, split: bool | None = None) -> DataFrame:
+    """Segments of all chunks of a recording counted on from 1, in the order of the chunks."""
+    rows = Ordered(kept.withColumnRenamed("seg_ix", "_part_ix"), SESSION, ["chunk_ix", "_part_ix"], split).with_columns(
+        seg_ix=running_sum(F.lit(1)))
+    return rows.df.drop("_part_ix")
+
+
 def language_vote(parts: DataFrame) -> DataFrame:
     """Language of the part with the highest probability; the earliest part wins a tie."""
     prob = F.coalesce("language_prob", F.lit(-1.0))

@@ -21,7 +21,7 @@ class SessionAnalysis:
     Tables several branches read (turns with roles, the labelled timeline, the values) are
     written to the shared folder and read from there.
 
-    ``measure`` adds ``rms_db`` to the tiles, usually ``intervals.with_loudness`` over a table
+    ``measure`` adds ``rms_db`` to the tiles, usually ``intervals.measured`` over a table
     of measurements. ``voice`` gives speech spans of sessions without turns. Sessions without turns take the
     loudness path, sessions without transcript keep the acoustic metrics: both are ordinary
     joins, so one job covers every kind of session.

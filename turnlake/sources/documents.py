@@ -128,12 +128,14 @@ def content_key(content: Column, *stamp: Column) -> Column:
     return F.concat(F.substring(F.sha2(content, 256), 1, CONTENT_DIGITS), F.lit("-"), F.substring(F.sha2(settings, 256), 1, SETTINGS_DIGITS))
 
 
-def pending(work: DataFrame, finished: DataFrame) -> DataFrame:
-    """Work whose key has no readable entry. An empty result counts, a damaged one does not.
-
-    ``finished`` has key and value (JSON text with a ``turns`` or ``segments`` array).
-    """
+def readable(finished: DataFrame) -> DataFrame:
+    """Entries (key, value: JSON text with a ``turns`` or ``segments`` array) that can be read. An empty
+    result counts, a damaged one does not."""
     entry = F.from_json("value", "turns array<struct<start:double,end:double,speaker:string>>, "
                                  "segments array<struct<start:double,end:double,text:string>>")
-    readable = finished.filter(F.coalesce(entry["turns"].isNotNull() | entry["segments"].isNotNull(), F.lit(False)))
-    return work.join(readable.select("key").distinct(), "key", "left_anti")
+    return finished.filter(F.coalesce(entry["turns"].isNotNull() | entry["segments"].isNotNull(), F.lit(False)))
+
+
+def pending(work: DataFrame, finished: DataFrame) -> DataFrame:
+    """Work whose key has no readable entry among ``finished``."""
+    return work.join(readable(finished).select("key").distinct(), "key", "left_anti")
