@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.plans.session_analysis import SessionAnalysis
-from turnlake.scan import Ordered, needs_split, running_sum, settled
+from turnlake.scan import Ordered, kept, needs_split, running_sum
 
 ACTIVITIES = ("Paper Theatre", "Paper Circuits", "Bridge Building", "Sound Lab")
 QUESTION_LEXICON = ("is", "der", "de", "es")
@@ -45,7 +45,7 @@ class Corpus:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return settled(self._turns())
+        return kept(self._turns())
 
     def _turns(self) -> DataFrame:
         spoken = self.utterances.filter(F.col("role") != "system").withColumn(
@@ -93,7 +93,7 @@ class Corpus:
 
     @cached_property
     def recordings(self) -> DataFrame:
-        return settled(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
+        return kept(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
             "session_id", "actual_sec", F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
 
     @cached_property

@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` for several branches: computed by the first action that needs it, then read from executors' disks.
+
+    Nothing runs while a query is defined, and a lost executor's part is computed again. Whoever
+    keeps a table releases it with ``unpersist``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def needs_split(df: DataFrame, key: Sequence[str]) -> bool:
     """Whether some key has more rows than one task should window over.
 
