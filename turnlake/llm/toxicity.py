@@ -37,11 +37,14 @@ class Settings:
     most_terms: int = 2048
     #: Least documents of the sample with the term, and least log-likelihood ratio.
     least_documents: int = 4
-    least_ratio: float = 18.0
+    least_ratio: float = 20.0
+    #: Least share of label 1 among the documents with the term, both classes weighed alike. Terms that are
+    #: merely a little more frequent in one class would be in every text and tell nothing.
+    least_share: float = 0.8
     neighbours: int = 15
     block: int = 64
     #: Lengths in bytes of the word beginnings that are terms of their own.
-    beginnings: tuple[int, ...] = (4, 5, 6, 8)
+    beginnings: tuple[int, ...] = (4, 5, 6)
     threshold: float = 0.7
 
 
@@ -94,6 +97,8 @@ def chosen_terms(sample: DataFrame, settings: Settings) -> np.ndarray:
                     [pa.array(both.view(np.int64)), pa.array(np.bincount(at, weights=good).astype(np.int64)),
                      pa.array(np.bincount(at, weights=~good).astype(np.int64))], ["term", "marked", "clean"])
 
+    # Copies of one text are one witness: else every rare word of a copied text would look telling.
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))
     n = dict(sample.groupBy("label").count().collect())
     n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
     counted = sample.select("text", "label").mapInArrow(count, "term long, marked long, clean long").groupBy("term").agg(
@@ -103,17 +108,24 @@ def chosen_terms(sample: DataFrame, settings: Settings) -> np.ndarray:
     all_with, share = a + b, n1 / max(1.0, n1 + n0)
     ratio = 2 * (part(a, all_with * share) + part(b, all_with * (1 - share)) + part(
         F.lit(n1) - a, (F.lit(n1 + n0) - all_with) * share) + part(F.lit(n0) - b, (F.lit(n1 + n0) - all_with) * (1 - share)))
-    best = counted.withColumn("ratio", ratio).filter((all_with >= settings.least_documents) & (F.col("ratio") >= settings.least_ratio))
+    level = (a / n1) / (a / n1 + b / n0)
+    best = counted.withColumn("ratio", ratio).filter((all_with >= settings.least_documents) & (F.col("ratio") >= settings.least_ratio) & (
+        level >= settings.least_share))
     rows = best.orderBy(F.desc("ratio"), "term").limit(settings.most_terms).select("term").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(U))
 
 
 def counted_terms(docs: DataFrame, chosen: np.ndarray, settings: Settings) -> DataFrame:
     """doc_id, the numbers of the chosen terms that the text holds, and how often."""
+    known = np.zeros(1 << 16, dtype=bool)
+    known[chosen >> U(48)] = True
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, times = [], []
             for row, term in terms(batch.column("text"), settings.beginnings):
+                maybe = known[term >> U(48)]
+                row, term = row[maybe], term[maybe]
                 at = np.minimum(np.searchsorted(chosen, term), len(chosen) - 1)
                 hit = chosen[at] == term
                 code, n = np.unique(row[hit] * len(chosen) + at[hit], return_counts=True)
@@ -130,6 +142,20 @@ def counted_terms(docs: DataFrame, chosen: np.ndarray, settings: Settings) -> Da
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, terms array<int>, times array<int>")
 
 
+def documents_with(vectors: DataFrame, n: int) -> np.ndarray:
+    """For each of ``n`` terms how many documents hold it; tasks send sums, not rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], ["term", "n"])
+
+    out = np.zeros(n, np.int64)
+    for row in vectors.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[row.term] = row.n
+    return out
+
+
 class BlockMaxIndex:
     """Examples as postings by term, in blocks of examples, with the largest weight of each term and block."""
 
@@ -198,8 +224,11 @@ class Judge:
     otherwise: float
 
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
+        """Share of label 1 among the neighbours, the nearer the heavier. Examples far off say little:
+        a fixed weight for what texts are like without them keeps such votes near that."""
         weight = similarity / (1.0 - np.minimum(similarity, 0.99))
-        return float((weight * self.index.label[near]).sum() / weight.sum())
+        background = 0.2 * self.neighbours
+        return float(((weight * self.index.label[near]).sum() + background * self.otherwise) / (weight.sum() + background))
 
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.a * (vote - 0.5) + self.b))))
@@ -216,28 +245,27 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFra
         return None, share
     vectors = settled(counted_terms(docs, chosen, settings), "toxic-terms")
     n = vectors.count()
-    holding = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toPandas()
-    rarity = np.full(len(chosen), np.log(1.0 + n))
-    rarity[holding["term"]] = np.log((1.0 + n) / (1.0 + holding["count"])) + 1.0
+    rarity = np.log((1.0 + n) / (1.0 + documents_with(vectors, len(chosen)))) + 1.0
     got = counted_terms(sample, chosen, settings).join(F.broadcast(sample.select("doc_id", "label").distinct()), "doc_id").orderBy("doc_id").toArrow()
     lists = [(np.array(t, dtype=np.int64), np.array(c, dtype=float)) for t, c in zip(got.column("terms").to_pylist(), got.column("times").to_pylist())]
     label = got.column("label").to_numpy().astype(float)
     index = BlockMaxIndex(got.column("doc_id").to_pylist(), label, lists, rarity, settings.block)
     number = {d: i for i, d in enumerate(index.ids)}
-    judge = Judge(index, settings.neighbours, 1.0, 0.0, share)
     n1, n0 = max(1.0, (label == 1).sum()), max(1.0, (label == 0).sum())
     each = np.where(label == 1, share / n1, (1 - share) / n0) * len(label)
-    votes, rows = [], []
+    found, rows = [], []
     for i, (d, (term, times)) in enumerate(zip(got.column("doc_id").to_pylist(), lists)):
         near, similarity = index.nearest(term, times, settings.neighbours + 1)
         other = near != number[d]
         if other.any():
-            votes.append(judge.vote(near[other][:settings.neighbours], similarity[other][:settings.neighbours]))
+            found.append((near[other][:settings.neighbours], similarity[other][:settings.neighbours]))
             rows.append(i)
     silent = np.setdiff1d(np.arange(len(label)), rows)
-    otherwise = ((each * label)[silent].sum() + share) / (each[silent].sum() + 1.0)
-    a, b = logistic_curve(np.array(votes) - 0.5, label[rows], each[rows]) if votes else (1.0, 0.0)
-    return vectors, Judge(index, settings.neighbours, a, b, float(otherwise))
+    otherwise = float(((each * label)[silent].sum() + share) / (each[silent].sum() + 1.0))
+    judge = Judge(index, settings.neighbours, 1.0, 0.0, otherwise)
+    votes = np.array([judge.vote(*x) for x in found])
+    a, b = logistic_curve(votes - 0.5, label[rows], each[rows]) if len(votes) else (1.0, 0.0)
+    return vectors, Judge(index, settings.neighbours, a, b, otherwise)
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
