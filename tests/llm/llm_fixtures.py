@@ -1,3 +1,5 @@
+"""Fixtures of the tests in this folder."""
+
 import os
 import random
 

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from llm_fixtures import given, texts_table, words  # noqa: F401
 from turnlake.llm.piece_codec import PieceCodec, encoded
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")

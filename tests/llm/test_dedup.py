@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from llm_fixtures import texts_table, words  # noqa: F401
 from turnlake.llm import parsing_dedup, simhash, suffix_dedup
 from turnlake.llm import windows as w
 

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from llm_fixtures import texts_table, words  # noqa: F401
 from turnlake.llm import quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
