@@ -86,3 +86,13 @@ def test_short_unattributed_piece_joins_what_precedes_it(spark, make):
 def test_speech_nobody_covers_stays_unattributed(make):
     out = labelled(make, [("speech", 0, 4), ("speech", 4, 9)], [("T", 4, 9)])
     assert rows(out, "start", "end", "role", "role_conf") == [(0.0, 4.0, None, None), (4.0, 9.0, "teacher", 0.5)]
+
+
+def test_tiles_measured_from_frames(spark):
+    import math
+    tiles = spark.createDataFrame([(0, 0, 0.0, 100.0), (0, 1, 100.0, 101.0), (1, 0, 0.0, 5.0)],
+                                  "session_id long, segment_ix int, start double, end double")
+    frames = spark.createDataFrame([(0, 0.0, 4, 1.0, 2, 2.0, 0.0), (0, 70.0, 4, 3.0, 2, 6.0, 2 * math.log(3.0)), (0, 100.0, 4, 0.0, 2, 0.0, -50.0)],
+                                   "session_id long, at double, samples int, energy double, bins int, power double, log_power double")
+    got = {(r.session_id, r.segment_ix): (round(r.rms_db, 6), round(r.flatness, 6)) for r in iv.measured(tiles, frames).collect()}
+    assert got == {(0, 0): (round(20 * math.log10(math.sqrt(0.5)), 6), round(math.sqrt(3.0) / 2.0, 6)), (0, 1): (-240.0, 0.0), (1, 0): (-120.0, 0.0)}

@@ -83,7 +83,7 @@ def test_unlabelled_rows_never_count_as_right(spark):
     r = labels.score_labels(df).first()
     assert (r.total, r.labelled, r.correct, r.accuracy, r.confident_accuracy) == (3, 2, 1, 0.5, 1.0)
     assert (r.recall_teacher, r.recall_student) == (0.5, None)
-    assert labels.score_by_sheet(df).filter("sheet is null").first().accuracy == 0.5
+    assert labels.score_by_sheet(df).filter("is_total").first().accuracy == 0.5
 
 
 def test_flatness_separates_noise_from_tone(spark):
@@ -96,3 +96,27 @@ def test_flatness_separates_noise_from_tone(spark):
     assert got[0] < 0.01 < 0.3 < got[1] and got[2] == 0.0 and got[3] == 0.0
     loud = {r.id: r.db for r in df.select("id", signal.rms_db(F.col("w")).alias("db")).collect()}
     assert loud[3] == 0.0 and loud[2] == pytest.approx(-240.0)
+
+
+def test_samples_a_backend_lacks_have_failed(spark):
+    samples = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e f")], "sample_id long, reference string")
+    outputs = spark.createDataFrame([(1, "x", "a b", 1.0), (2, "x", None, 1.0), (1, "y", "a", 2.0), (2, "y", "c d", 2.0), (3, "y", "", 2.0)],
+                                    "sample_id long, backend string, hypothesis string, elapsed_sec double")
+    got = {r.backend: (r.scored, r.failed, r.wer) for r in scoring.score_backends(samples, outputs).collect()}
+    assert got == {"x": (1, 2, 0.0), "y": (3, 0, 0.5)}
+
+
+def test_sheet_named_null_is_not_the_total(spark):
+    from turnlake.operators import labels
+    df = spark.createDataFrame([(None, "teacher", "teacher", 0.9), ("s", "teacher", "student", 0.9)],
+                               "sheet string, predicted string, truth string, confidence double")
+    got = labels.score_by_sheet(df)
+    assert sorted((str(r.sheet), r.is_total) for r in got.collect()) == [("None", False), ("None", True), ("s", False)]
+
+
+def test_separators_are_white_space(spark):
+    from pyspark.sql import functions as F
+    from turnlake.functions import text as tx
+    df = spark.createDataFrame([("\x1c a\x1db \x1f",)], "t string")
+    row = df.select(tx.strip(F.col("t")).alias("s"), tx.words(F.col("t")).alias("w")).first()
+    assert row.s == "a\x1db" and row.w == "\x1c a\x1db \x1f".split()

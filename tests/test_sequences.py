@@ -70,3 +70,16 @@ def test_shift_moves_words_and_empties_become_null(spark):
                                "session_id long, start double, end double, words array<struct<start:double,end:double,word:string>>")
     a, b = sq.shift(df, F.lit(10.0)).collect()
     assert (a.start, a.words[0].start, b.words) == (11.0, 11.0, None)
+
+
+def test_chunks_become_one_transcript(spark, make):
+    from turnlake.plans.stitching import stitch
+    recordings = spark.createDataFrame([(0, 150.0), (1, 20.0)], "session_id long, actual_sec double")
+    chunks = sq.plan_chunks(recordings, 90.0, 2.0)
+    parts = spark.createDataFrame([(0, 0, "hi", 0.4, "b0", "m"), (0, 1, "mr", 0.9, "b1", "m"), (1, 0, "en", None, "b2", "m")],
+                                  "session_id long, chunk_ix int, language string, language_prob double, backend string, model string")
+    heard = spark.createDataFrame([(0, 0, 1, 5.0, 6.0, "one"), (0, 0, 2, 89.0, 89.9, "two"), (0, 1, 1, 1.2, 2.0, "two"), (0, 1, 2, 30.0, 31.0, "two")],
+                                  "session_id long, chunk_ix int, seg_ix int, start double, end double, text string")
+    heads, segments = stitch(parts, heard, chunks, recordings)
+    assert rows(heads, "session_id", "language", "backend", "audio_sec") == [(0, "mr", "b0", 150.0), (1, "en", "b2", 20.0)]
+    assert rows(segments, "seg_ix", "text", "start") == [(1, "one", 5.0), (2, "two", 89.0), (3, "two", 118.0)]

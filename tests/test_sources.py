@@ -118,3 +118,41 @@ def test_finished_work_is_skipped_by_content(spark):
     done = spark.createDataFrame([(key["x"], '{"turns": []}'), (key["y"], '{"turns": [{'), (key["z"], '{"other": 1}')],
                                  "key string, value string")
     assert rows(docs.pending(work, done), "name") == [("b.mp3",), ("c.mp3",), ("d.mp3",)]
+
+
+def test_head_counts_as_text_and_as_decimals(spark):
+    raw = spark.createDataFrame([("a", '{"boys": "3", "girls": 3.0, "totalStudents": 6}'), ("b", '{"boys": "", "girls": null}'),
+                                 ("c", '{"boys": -1}'), ("d", '{"boys": "three"}')], "session_id string, raw string")
+    good, bad = src.load_metadata_leniently(raw)
+    assert {r.session_id: tuple(r.roster) for r in good.collect()} == {"a": (6, 3, 3), "b": (0, 0, 0)}
+    assert rows(bad, "session_id") == [("c",), ("d",)]
+    with pytest.raises(Exception, match="unreadable metadata for session c"):
+        src.load_metadata(raw.filter("session_id = 'c'")).collect()
+
+
+def test_dates_without_leading_zeros(spark):
+    df = spark.createDataFrame([("2025-1-2 9:05:03",), ("2025-01-02T09:05:03",), ("2/1/2025",)], "t string")
+    got = [r[0] for r in df.select(corpus.parse_timestamp(F.col("t"))).collect()]
+    assert [str(x) for x in got] == ["2025-01-02 09:05:03", "2025-01-02 09:05:03", "None"]
+
+
+def test_a_second_run_computes_what_is_new(spark, tmp_path):
+    from turnlake.plans.incremental import entries, run_pending
+    store, seen = str(tmp_path / "store"), []
+
+    def compute(todo):
+        seen.append(sorted(r.key for r in todo.collect()))
+        return todo.select("key", F.lit('{"turns": []}').alias("value"))
+
+    work = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    assert rows(run_pending(work("a", "b", "b"), store, compute, "r1"), "key", "run") == [("a", "r1"), ("b", "r1"), ("b", "r1")]
+    (tmp_path / "store" / "run=r0").mkdir()
+    spark.createDataFrame([("c", '{"turns": [')], "key string, value string").write.mode("append").parquet(f"{store}/run=r0")
+    assert rows(run_pending(work("b", "c"), store, compute, "r2"), "key", "run") == [("b", "r1"), ("c", "r2")]
+    assert seen == [["a", "b"], ["c"]] and entries(spark, store).count() == 4
+
+
+def test_scores_survive_export(spark, tmp_path):
+    scores = spark.createDataFrame([("x", 0.25, None), ("y", None, 3)], "backend string, wer double, failed long")
+    docs.write_rows(scores, str(tmp_path / "s"))
+    assert rows(docs.read_rows(spark, str(tmp_path / "s"), scores.schema), *scores.columns) == rows(scores, *scores.columns)
