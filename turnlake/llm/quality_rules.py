@@ -44,8 +44,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def line_facts(line: Column, rules: LineRules) -> Column:
     """A struct of a line, its words and symbols, and which rule it fails (null: none)."""
-    def judged(words: Column, symbols: Column, separators: Column) -> Column:
-        lower = F.lower(line)
+    def judged(words: Column, symbols: Column, separators: Column, lower: Column) -> Column:
         marked = F.lit(False)
         for phrase in rules.phrases:
             marked = marked | F.contains(lower, F.lit(phrase))
@@ -58,9 +57,9 @@ def line_facts(line: Column, rules: LineRules) -> Column:
 
     return bound(F.struct(
         F.regexp_count(line, F.lit(WORD)).alias("words"), F.regexp_count(line, F.lit(SYMBOLS)).alias("symbols"),
-        F.regexp_count(line, F.lit(rules.separators)).alias("separators")), lambda n: F.struct(
+        F.regexp_count(line, F.lit(rules.separators)).alias("separators"), F.lower(line).alias("lower")), lambda n: F.struct(
             line.alias("line"), n["words"].cast("long").alias("words"), n["symbols"].cast("long").alias("symbols"),
-            judged(n["words"], n["symbols"], n["separators"]).alias("failed")))
+            judged(n["words"], n["symbols"], n["separators"], n["lower"]).alias("failed")))
 
 
 def repeated_words(words: Column) -> Column:
@@ -69,18 +68,20 @@ def repeated_words(words: Column) -> Column:
     Windows are compared by 64-bit hashes. Sorted by hash, a repeated window has an equal neighbour;
     sorted by place again, each repeated window adds the words that the one before did not cover.
     """
-    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))).otherwise(
-            F.array().cast("array<struct<h:bigint,i:int>>"))
+    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(
+        F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
     def places(by_hash: Column) -> Column:
         same = lambda x, j: x["h"].eqNullSafe(F.get(by_hash, j)["h"])
         return F.transform(F.filter(by_hash, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])
 
-    repeated = bound(F.array_sort(windows), places)
-    return bound(F.sort_array(repeated), lambda at: F.aggregate(
-        F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(
-            F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda total, n: total + n))
+    def covered(at: Column) -> Column:
+        return F.aggregate(F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(
+            F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda total, n: total + n)
+
+    # Most texts repeat no window; only the others are sorted.
+    return bound(windows, lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
+        bound(F.sort_array(bound(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), places)), covered)))
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
