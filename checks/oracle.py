@@ -327,6 +327,27 @@ for _name in _WINDOWED:
     CTES[f"w_{_name}"] = re.sub(rf"\b(from|join)\s+({'|'.join((*_WINDOWED, 'turns', 'recordings'))})\b", r"\1 w_\2", CTES[_name])
 
 
+_DOWNSTREAM = ("owners", "asked", "q_ends", "answers", "discourse", "talk", "switches", "stretch", "facts", "vals", "metric_rows")
+
+
+def add_mixed_path(loud_roles: str) -> None:
+    """Every seventeenth session without turns: its tiles get their roles from loudness, its attributed
+    tiles stand for turns, and the same expressions follow. ``loud_roles``: session_id, segment_ix, role, role_conf."""
+    CTES["x_loud_roles"] = loud_roles
+    CTES["x_labelled"] = """
+select session_id, segment_ix, start, "end", kind, rms_db, role, role_conf from labelled where session_id % 17 <> 0
+union all select t.session_id, t.segment_ix, t.start, t."end", t.kind, t.rms_db, k.role, k.role_conf
+from timeline t left join x_loud_roles k on k.session_id = t.session_id and k.segment_ix = t.segment_ix where t.session_id % 17 = 0
+"""
+    CTES["x_marked"] = """
+select session_id, turn_ix, start, "end", is_teacher from marked where session_id % 17 <> 0
+union all select session_id, (row_number() over (partition by session_id order by start))::int, start, "end", role = 'teacher'
+from x_labelled where session_id % 17 = 0 and kind = 'speech' and role is not null
+"""
+    for name in _DOWNSTREAM:
+        CTES[f"x_{name}"] = re.sub(rf"\b(from|join)\s+({'|'.join((*_DOWNSTREAM, 'labelled', 'marked'))})\b", r"\1 x_\2", CTES[name])
+
+
 def with_ctes(query: str) -> str:
     """Prefix a query with every fixture expression it needs."""
     needed: set[str] = set()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixtures import QUESTION_LEXICON, Corpus
-from checks.oracle import METRICS, duration_text, percent_text, rounded, whole_text, with_ctes
+from checks.oracle import METRICS, add_mixed_path, duration_text, percent_text, rounded, whole_text, with_ctes
 from turnlake.config import METRIC_KEYS
 from turnlake.functions import numbers, signal
 from turnlake.functions import text as tx
@@ -787,11 +787,15 @@ def lexical_gate(c):
                                     F.col("m8").alias("responses"), F.col("wait_count").alias("waits"))
 
 
-@query()
+_LOUD = _KMEANS.replace("\n--\n", "\n").replace("round(case", "(case").replace(", 9) as role_conf", ") as role_conf").replace("LOUD", "timeline").strip()
+add_mixed_path(_LOUD.replace("loud as (", "with recursive loud as (", 1))
+
+
+@query("""select session_id, key, round(value, 9) as value, band, round(confidence, 9) as confidence from x_metric_rows""")
 def mixed_path_metrics(c):
-    """Turns where there are any, loudness elsewhere; the loudness path is checked on its own."""
+    """Turns where there are any, loudness and the tiles it attributes elsewhere."""
     rows = c.analyse(loudness_path=True).metrics
-    return rows.select("session_id", "key", F.round("value", 9).alias("value"), "band")
+    return rows.select("session_id", "key", F.round("value", 9).alias("value"), "band", F.round("confidence", 9).alias("confidence"))
 
 
 @query("""select session_id, speech_sec, speech_density, mean_logprob, segments::bigint as segments, mean_no_speech from stats""")
