@@ -23,6 +23,19 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._held: list[DataFrame] = []
+        self._analyses: list[SessionAnalysis] = []
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        self._held.append(kept(df))
+        return self._held[-1]
+
+    def release(self) -> None:
+        """Give back all tables kept for this corpus, those of its analyses included."""
+        for analysis in self._analyses:
+            analysis.release()
+        while self._held:
+            self._held.pop().unpersist()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -45,7 +58,7 @@ class Corpus:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return kept(self._turns())
+        return self._kept(self._turns())
 
     def _turns(self) -> DataFrame:
         spoken = self.utterances.filter(F.col("role") != "system").withColumn(
@@ -93,7 +106,7 @@ class Corpus:
 
     @cached_property
     def recordings(self) -> DataFrame:
-        return kept(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
+        return self._kept(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
             "session_id", "actual_sec", F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
 
     @cached_property
@@ -127,7 +140,9 @@ class Corpus:
         turns = self.turns
         if loudness_path:
             turns = turns.filter(F.col("session_id") % 17 != 0)
-        return SessionAnalysis(
+        analysis = SessionAnalysis(
             sessions=self.sessions, recordings=self.recordings, turns=turns, segments=self.spoken_segments,
             transcripts=self.transcripts, measure=loudness, voice=self.turns if loudness_path else None,
             lexicon=QUESTION_LEXICON, minutes=minutes, split=self.split)
+        self._analyses.append(analysis)
+        return analysis

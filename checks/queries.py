@@ -35,6 +35,8 @@ def corpus_of(spark: SparkSession, folder: str) -> Corpus:
 
 def forget_corpora() -> None:
     """Make the next query start from the given tables again."""
+    for corpus in _CORPORA.values():
+        corpus.release()
     _CORPORA.clear()
 
 
