@@ -61,6 +61,18 @@ def test_split_is_chosen_by_the_largest_key(spark, table):
         spark.conf.unset("turnlake.scan.maxRowsPerTask")
 
 
+def test_blocks_follow_the_rows(spark):
+    """One key with all rows: no block holds more than a few times the limit."""
+    spark.conf.set("turnlake.scan.maxRowsPerTask", "100")
+    try:
+        rows_ = spark.range(3000).selectExpr("1 as k", "id as ix")
+        blocks = Ordered(rows_, ["k"], ["ix"], True)._df.groupBy("_block").count()
+        sizes = [r["count"] for r in blocks.collect()]
+    finally:
+        spark.conf.unset("turnlake.scan.maxRowsPerTask")
+    assert sum(sizes) == 3000 and len(sizes) >= 20 and max(sizes) <= 300
+
+
 def test_overlap_join_finds_each_pair_once(spark):
     rng = random.Random(3)
     spans = lambda n: [(rng.randint(0, 1), i, a := rng.randint(0, 400) / 4, a + rng.choice([0, 1, 30, 170])) for i in range(n)]

@@ -77,6 +77,17 @@ def needs_split(df: DataFrame, key: Sequence[str]) -> bool:
     return (largest or 0) > limit
 
 
+def _blocks(table: DataFrame) -> int:
+    """How many blocks a written table is cut into: as many as hold the limit of rows each, so blocks
+    do not grow with the table. The count comes from the files' footers."""
+    spark = table.sparkSession
+    fixed = spark.conf.get(BLOCKS_CONF, None)
+    if fixed is not None:
+        return int(fixed)
+    limit = int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // limit))
+
+
 @dataclass(frozen=True)
 class Running:
     """One column to add: a fold over the rows before (or after) each row."""
@@ -137,9 +148,8 @@ class Ordered:
         self.split = needs_split(df, self.key) if split is None else split
         self._settled = False
         if self.split and not _blocked:
-            spark = df.sparkSession
-            blocks = int(spark.conf.get(BLOCKS_CONF, spark.conf.get("spark.sql.shuffle.partitions")))
-            df = df.repartitionByRange(blocks, *self.key, *self.order)
+            df = settled(df)
+            df = df.repartitionByRange(_blocks(df), *self.key, *self.order)
             df = settled(df.withColumn(_BLOCK, F.spark_partition_id()))
             self._settled = True
         self._df = df
