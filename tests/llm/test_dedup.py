@@ -203,3 +203,65 @@ def test_near_duplicates_by_similarity(spark):
     rows = spark.createDataFrame([(9, " ".join(base)), (4, " ".join(near)), (6, " ".join(far)), (8, " ".join(other)),
                                   (11, " ".join(base)), (20, None), (21, "")], "doc_id long, text string")
     assert by_id(simhash.near_duplicates(rows), "component_id") == {9: (4,), 4: (4,), 11: (4,), 6: (6,), 8: (8,), 20: (20,), 21: (20,)}
+
+
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def components_by_brute_force(texts):
+    """The smallest id reachable over pairs of shingle sets alike to 0.8 or more."""
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    pairs = [(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+    return root
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    draw = random.Random(17)
+    texts, alike = {}, []
+    say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    for n in (9, 14, 24, 90, 400):
+        for k in range(60):
+            base, other = say(n), None
+            aim = 0.75 + 0.1 * (k % 12) / 11
+            # A changed tail of x words makes a similarity of (n - 4 - x) / (n - 4 + x).
+            x = round((n - 4) * (1 - aim) / (1 + aim))
+            other = base[:n - x] + say(x)
+            texts[2 * len(alike)], texts[2 * len(alike) + 1] = " ".join(base), " ".join(other)
+            alike.append((n - 4 - x) / (n - 4 + x))
+    assert sum(0.75 <= a < 0.8 for a in alike) > 50 and sum(0.8 <= a <= 0.85 for a in alike) > 50
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert got == {i: i - i % 2 if alike[i // 2] >= 0.8 else i for i in texts}
+
+
+def test_near_duplicates_of_a_common_line_and_of_templates(spark, monkeypatch):
+    """One line in all texts, and templates whose copies are partly near: small goes, as for a large shard."""
+    monkeypatch.setattr(simhash, "CELLS_AT_ONCE", 500)
+    draw = random.Random(23)
+    say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    line, texts = say(12), {}
+    for t in range(6):
+        base = say(60)
+        for _ in range(15):
+            words = list(base)
+            for _ in range(draw.randrange(4)):
+                words[draw.randrange(60)] = "x" + say(1)[0]
+            texts[len(texts)] = " ".join(words + line)
+    for _ in range(40):
+        texts[len(texts)] = " ".join(say(20) + line)
+    ids = list(texts)
+    draw.shuffle(ids)
+    rows = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    wanted = components_by_brute_force(texts)
+    assert got == wanted and len(set(wanted.values())) > 46

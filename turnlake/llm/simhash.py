@@ -159,22 +159,27 @@ class Forest:
             start = end
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest item each is connected with) after ``a`` and ``b`` are tied pairwise."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return label
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
 def merged_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each item the smallest item it is connected with."""
     label = np.arange(n)
     for a, b in pairs:
-        while True:
-            x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
-                break
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
+        label = joined(label, a, b)
     return label
 
 
@@ -242,9 +247,16 @@ def hex_of(fingerprint):
 
 
 # ------------------------------------------------------------------------------- by similarity of shingle sets
-BINS = 128
-BAND = 16
-EMPTY = np.uint16(0xFFFF)
+CELLS_AT_ONCE = 1_000_000
+
+
+def prefix_length(n, similarity: float):
+    """How many of a set's ``n`` shingles, first in an order common to all sets, hold one of any similar set.
+
+    Sets alike to ``similarity`` share at least that part of either; were none of the shared among the
+    first n - ceil(similarity * n) + 1, too few would be left.
+    """
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -253,100 +265,199 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBB67AE8584CAA73B)
 
 
-def sketches(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint, mark (a hash of all shingles with their counts), sketch and keys.
+def shingle_set(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    parts = [np.unique(_mixed(np.array(piece, np.uint64))) for piece in shingle_hashes(text, width, seed)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def frequent_shingles(docs: DataFrame, width: int, one_in: int = 64, share: float = 1 / 256, most: int = 4096) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample hold; they only rank last, so any choice is right."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
 
-    The sketch has the least shingle hash of each of 128 bins, as 16 bits; two sets agree in about as
-    many of the bins they use as their Jaccard similarity says. keys: the least hash of each band of 16 bins.
-    """
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, marks, least, keys = [], [], [], []
+            sets = [shingle_set(text.as_py() or "", width) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
+
+    least = max(8, int(sample.select("doc_id").count() * share))
+    counted = sample.select("text").mapInArrow(of, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
+    found = [r[0] for r in counted.orderBy(F.desc("count"), "shingle").limit(most).collect()]
+    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint, mark (a hash of all shingles with their counts) and keys, the prefix of the shingle set."""
+    frequent = frequent_shingles(docs, width)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, marks, keys = [], [], [np.zeros(0, np.uint64)]
             for text in batch.column("text"):
                 total, n, mark = np.zeros(64, np.int64), 0, np.uint64(0)
-                bins = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+                parts = [np.zeros(0, np.uint64)]
                 for piece in shingle_hashes(text.as_py() or "", width, seed):
-                    h = np.array(piece, np.uint64)
                     total += _bit_sums(piece, [len(piece)])[0]
                     n += len(piece)
-                    h = _mixed(h)
+                    h = _mixed(np.array(piece, np.uint64))
                     mark += (h ^ (h >> np.uint64(31))).sum(dtype=np.uint64)
-                    h.sort()
-                    bin_of = h >> np.uint64(57)
-                    first = np.flatnonzero(np.concatenate(([True], bin_of[1:] != bin_of[:-1])))
-                    bins[bin_of[first]] = np.minimum(bins[bin_of[first]], h[first])
-                used = bins != np.iinfo(np.uint64).max
+                    parts.append(np.unique(h))
                 prints.append(np.packbits(2 * total > n).view(">u8")[0] if n else 0)
                 marks.append(mark)
-                least.append(np.where(used, np.minimum((bins >> np.uint64(24)) & np.uint64(0xFFFF), 0xFFFE), EMPTY).astype(np.uint16).tobytes())
-                band = bins.reshape(-1, BAND).min(axis=1)
-                keys.append(band[band != np.iinfo(np.uint64).max].view(np.int64))
-            sizes = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                own = np.unique(np.concatenate(parts))
+                if len(frequent):
+                    common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+                    own = np.concatenate((own[~common], own[common]))
+                keys.append(own[:prefix_length(len(own), similarity)] if len(own) else own)
+            sizes = np.cumsum([len(k) for k in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)),
-                 pa.array(least, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                ["doc_id", "fingerprint", "mark", "sketch", "keys"])
+                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys).view(np.int64)))],
+                ["doc_id", "fingerprint", "mark", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, sketch binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, keys array<long>")
+
 
+def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels that connect all sets of a shard with an exact Jaccard similarity of ``similarity`` or more.
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the sketches in the rows of ``a`` and ``b``."""
-    used = (a != EMPTY) | (b != EMPTY)
-    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+    Set i holds ``shingle[first[i]:first[i + 1]]``, each once. Only sets that share a shingle of their prefixes,
+    rarest in the shard first, can be similar. Those lists are walked member by member, so sets already
+    connected meet no more.
+    """
+    count = len(shard)
+    size = np.diff(first)
+    owner = np.repeat(np.arange(count), size)
+    order = np.lexsort((owner, shingle, shard[owner]))
+    owner, value, home = owner[order], shingle[order], shard[owner[order]]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (home[1:] != home[:-1])
+    cell = np.cumsum(new) - 1
+    often = np.bincount(cell)[cell] if len(cell) else cell
+    # Cells of each set from the rarest on.
+    order = np.lexsort((cell, often, owner))
+    place = np.arange(len(owner)) - first[owner[order]]
+    used = order[(place < prefix_length(size, similarity)[owner[order]]) & (often[order] > 1)]
+    used = used[np.lexsort((owner[used], cell[used]))]
+    member, listed = owner[used], cell[used]
+    several = often > 1
+    width = int(cell[-1]) + 1 if len(cell) else 1
+    codes = np.sort(owner[several] * width + cell[several])
+    begin = np.searchsorted(codes, np.arange(count + 1) * width)
+    common = np.diff(begin)
+    label, failed, step = np.arange(count), np.zeros(0, np.int64), 0
+    while len(member):
+        # Lists of one component have nothing more to say.
+        lead = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1])))
+        length = np.diff(np.concatenate((lead, [len(member)])))
+        mixed = np.minimum.reduceat(label[member], lead) != np.maximum.reduceat(label[member], lead)
+        alive = np.repeat(mixed & (length > step + 1), length)
+        member, listed = member[alive], listed[alive]
+        if not len(member):
+            break
+        length = length[mixed & (length > step + 1)]
+        lead = np.cumsum(length) - length
+        a = np.repeat(member[lead + step], length)
+        later = np.arange(len(member)) - np.repeat(lead, length) > step
+        a, b = a[later], member[later]
+        fits = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+        code = np.unique(a[fits] * count + b[fits])
+        code = code[~np.isin(code, failed)]
+        at = 0
+        while at < len(code):
+            # The pairs whose cells fit into one go, of those not connected meanwhile.
+            a, b = np.divmod(code[at:at + 100_000], count)
+            less = np.where(common[a] <= common[b], a, b)
+            reach = max(1, int(np.searchsorted(np.cumsum(common[less]), CELLS_AT_ONCE, side="right")))
+            a, b, less, at = a[:reach], b[:reach], less[:reach], at + min(reach, len(a))
+            apart = label[a] != label[b]
+            a, b, less = a[apart], b[apart], less[apart]
+            if not len(a):
+                continue
+            n = common[less]
+            pair = np.repeat(np.arange(len(a)), n)
+            own = codes[np.repeat(begin[less] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            wanted = own + ((a + b - 2 * less) * width)[pair]
+            hit = codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted
+            both = np.bincount(pair, weights=hit, minlength=len(a)).astype(np.int64)
+            alike = both / (size[a] + size[b] - both) >= similarity
+            label = joined(label, a[alike], b[alike])
+            failed = np.concatenate((failed if len(failed) < PAIRS_AT_ONCE else failed[:0], (a * count + b)[~alike]))
+        step += 1
+    return label
 
 
-def similar_links(items: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """``items`` (item, fingerprint, sketch, keys) to links (a, b) that connect all similar items of a shard."""
-    dealt = items.select("item", "fingerprint", "sketch", F.explode("keys").alias("shard")).repartition("shard")
+def whole_shards(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
+    """Rows sorted by shard as tables of whole shards, of about ``at_once`` bytes unless a shard is larger."""
+    held, size, limit = [], 0, at_once
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            table = pa.Table.from_batches(held)
+            key = table.column("shard").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+            limit = max(at_once, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar items. ``keys``: item and shard, its prefix.
+
+    Only shards that two items share, and of shards with the same items one, get the shingle sets of their items.
+    """
+    h = F.xxhash64("item")
+    met = keys.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.min("item").alias("low"), F.max("item").alias("high"),
+        F.sum(F.shiftrightunsigned(h, 32)).alias("total"), F.bit_xor(h).alias("mix")).filter("low <> high")
+    kept = settled(met.groupBy("n", "low", "high", "total", "mix").agg(F.min("shard").alias("shard")).select("shard"), "shards")
+    wanted = keys.join(kept, "shard").groupBy("item").agg(F.collect_set("shard").alias("shards"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("item")).select("item", "text", "shards")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                bodies = [shingle_set(text.as_py() or "", width).tobytes() for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("item"), part.column("shards"), pa.array(bodies, pa.binary())], ["item", "shards", "body"])
+
+    dealt = texts.mapInArrow(sets, "item long, shards array<long>, body binary").select(
+        "item", F.explode("shards").alias("shard"), "body").repartition("shard").sortWithinPartitions("shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is None:
-            return
-        key, item, prints = column(table, "shard"), column(table, "item"), column(table, "fingerprint").view(np.uint64)
-        _, shard, sizes = np.unique(key, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(sizes[shard] > 1)
-        shared = shared[np.lexsort((item[shared], shard[shared]))]
-        if not len(shared):
-            return
-        bodies = b"".join(table.column("sketch").take(pa.array(shared)).to_pylist())
-        sketch = np.frombuffer(bodies, np.uint16).reshape(-1, BINS)
-        _, shard = np.unique(shard[shared], return_inverse=True)
-        item, prints = item[shared], prints[shared]
-
-        def checked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in Forest(shard, prints).near(radius):
-                a, b = a[a > b], b[a > b]
-                for i in range(0, len(a), 100_000):
-                    x, y = a[i:i + 100_000], b[i:i + 100_000]
-                    alike = agreement(sketch[x], sketch[y]) >= similarity
-                    yield x[alike], y[alike]
-
-        label = merged_labels(len(item), checked())
-        tied = label != np.arange(len(item))
-        pairs = np.unique(np.stack([item[tied], item[label[tied]]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        for table in whole_shards(batches, 8 * CELLS_AT_ONCE):
+            item, bodies = column(table, "item"), table.column("body").to_pylist()
+            _, shard = np.unique(column(table, "shard"), return_inverse=True)
+            order = np.lexsort((item, shard))
+            first = np.concatenate(([0], np.cumsum([len(bodies[i]) // 8 for i in order])))
+            label = similar_sets(shard[order], first, np.frombuffer(b"".join(bodies[i] for i in order), np.uint64), similarity)
+            item = item[order]
+            tied = item != item[label]
+            pairs = np.unique(np.stack([item[tied], item[label[tied]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id and component_id, the smallest doc_id reachable over similar texts.
 
-    Two texts are similar if their sets of ``width``-word shingles have an estimated Jaccard similarity of
-    ``similarity`` or more. At 0.8, 64-bit fingerprints differ in up to about 18 bits, which no
-    pigeonhole bands can index. So shards are keyed by least shingle hashes (a pair at 0.8 shares one of eight
-    in all but 3 of a million cases), the BK-trees of a shard give the pairs within ``radius`` bits, and sketches
-    settle them. Texts with the same shingles are one item. Null and empty texts have none and are
-    copies of each other. A null doc_id is grouped but never the smallest.
+    Two texts are similar if their sets of ``width``-word shingles (as 64-bit hashes) have a Jaccard similarity of
+    ``similarity`` or more, counted on the sets. Similar sets share a shingle of their prefixes, so shards keyed by
+    these hold all similar pairs, and within a shard pairs are found the same way. Texts with the same
+    shingles are one item. Null and empty texts have none and are copies of each other. A null doc_id is
+    grouped but never the smallest.
     """
-    rows = settled(sketches(docs, width), "sketches")
-    items = settled(rows.groupBy("fingerprint", "mark").agg(
-        F.min("doc_id").alias("item"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "sketched-items")
-    roots = components(similar_links(items.filter("item is not null"), radius, similarity))
+    rows = settled(prefixes(docs, width, similarity), "prefixes")
+    items = settled(rows.groupBy("fingerprint", "mark").agg(F.min("doc_id").alias("item")), "items")
+    keys = rows.join(items.filter("item is not null"), ["fingerprint", "mark"]).filter("doc_id = item").select("item", F.explode("keys").alias("shard"))
+    roots = components(similar_links(docs, keys, width, similarity))
     named = items.join(roots, items["item"] == roots["node"], "left").select(
         "fingerprint", "mark", F.coalesce("root", "item").alias("component_id"))
     return rows.select("doc_id", "fingerprint", "mark").join(named, ["fingerprint", "mark"]).select("doc_id", "fingerprint", "component_id")
