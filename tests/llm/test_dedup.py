@@ -265,3 +265,21 @@ def test_near_duplicates_of_a_common_line_and_of_templates(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
     wanted = components_by_brute_force(texts)
     assert got == wanted and len(set(wanted.values())) > 46
+
+
+def test_near_duplicates_with_a_repeated_line(spark):
+    """A line said many times adds few shingles to the set but most of the counts."""
+    draw = random.Random(29)
+    say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    texts = {}
+    for times in (10, 20, 40, 80):
+        for _ in range(5):
+            base = say(400)
+            texts[len(texts)] = " ".join(base)
+            texts[len(texts)] = " ".join(base + say(8) * times)
+    line = say(8)
+    texts[len(texts)], texts[len(texts)] = " ".join(line * 9), " ".join(line * 15)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.fingerprint) for r in simhash.near_duplicates(rows).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: i - i % 2 for i in texts} == components_by_brute_force(texts)
+    assert got[40][1] == got[41][1]

@@ -29,7 +29,7 @@ SHINGLES_AT_ONCE = 100_000
 PAIRS_AT_ONCE = 2_000_000
 
 
-def _bit_sums(hashes: list[int], sizes: list[int]) -> np.ndarray:
+def _bit_sums(hashes: list[int] | np.ndarray, sizes: list[int]) -> np.ndarray:
     """For each document (``sizes`` hashes each, none empty), how many hashes have each bit; highest first."""
     bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
@@ -287,24 +287,19 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 64, share: floa
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint, mark (a hash of all shingles with their counts) and keys, the prefix of the shingle set."""
+    """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, and keys, the set's prefix."""
     frequent = frequent_shingles(docs, width)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, marks, keys = [], [], [np.zeros(0, np.uint64)]
             for text in batch.column("text"):
-                total, n, mark = np.zeros(64, np.int64), 0, np.uint64(0)
-                parts = [np.zeros(0, np.uint64)]
-                for piece in shingle_hashes(text.as_py() or "", width, seed):
-                    total += _bit_sums(piece, [len(piece)])[0]
-                    n += len(piece)
-                    h = _mixed(np.array(piece, np.uint64))
-                    mark += (h ^ (h >> np.uint64(31))).sum(dtype=np.uint64)
-                    parts.append(np.unique(h))
-                prints.append(np.packbits(2 * total > n).view(">u8")[0] if n else 0)
-                marks.append(mark)
-                own = np.unique(np.concatenate(parts))
+                own = shingle_set(text.as_py() or "", width, seed)
+                total = np.zeros(64, np.int64)
+                for i in range(0, len(own), SHINGLES_AT_ONCE):
+                    total += _bit_sums(own[i:i + SHINGLES_AT_ONCE], [len(own[i:i + SHINGLES_AT_ONCE])])[0]
+                prints.append(np.packbits(2 * total > len(own)).view(">u8")[0])
+                marks.append((own ^ (own >> np.uint64(31))).sum(dtype=np.uint64))
                 if len(frequent):
                     common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
                     own = np.concatenate((own[~common], own[common]))
