@@ -244,9 +244,11 @@ def test_near_duplicates_around_the_threshold(spark):
     assert got == {i: i - i % 2 if alike[i // 2] >= 0.8 else i for i in texts}
 
 
-def test_near_duplicates_of_a_common_line_and_of_templates(spark, monkeypatch):
+@pytest.mark.parametrize("cluster", [1, 20, 4000])
+def test_near_duplicates_of_a_common_line_and_of_templates(spark, monkeypatch, cluster):
     """One line in all texts, and templates whose copies are partly near: small goes, as for a large shard."""
     monkeypatch.setattr(simhash, "CELLS_AT_ONCE", 500)
+    monkeypatch.setattr(simhash, "CLUSTER_ITEMS", cluster)
     draw = random.Random(23)
     say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
     line, texts = say(12), {}

@@ -248,6 +248,7 @@ def hex_of(fingerprint):
 
 # ------------------------------------------------------------------------------- by similarity of shingle sets
 CELLS_AT_ONCE = 1_000_000
+CLUSTER_ITEMS = 4_000
 
 
 def prefix_length(n, similarity: float):
@@ -405,14 +406,22 @@ def whole_shards(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa
 def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect all similar items. ``keys``: item and shard, its prefix.
 
-    Only shards that two items share, and of shards with the same items one, get the shingle sets of their items.
+    Items tied by shared shards form clusters, and each goes to the place of its cluster once with its set. Clusters
+    of more than CLUSTER_ITEMS go by their shards instead: one place for each shard, of shards with the same items one.
     """
+    met = keys.groupBy("shard").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
+    ties = settled(keys.join(met, "shard").select("item", "shard", "low"), "ties")
+    roots = components(ties.select(F.col("item").alias("a"), F.col("low").alias("b")))
+    large = settled(roots.groupBy("root").count().filter(F.col("count") > CLUSTER_ITEMS).select("root"), "large-clusters")
+    small = roots.join(large, "root", "left_anti").select(F.col("node").alias("item"), F.array("root").alias("shards"))
+    inside = ties.join(roots.join(large, "root", "left_semi").select(F.col("node").alias("item")), "item")
     h = F.xxhash64("item")
-    met = keys.groupBy("shard").agg(
+    kept = inside.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n"), F.min("item").alias("low"), F.max("item").alias("high"),
-        F.sum(F.shiftrightunsigned(h, 32)).alias("total"), F.bit_xor(h).alias("mix")).filter("low <> high")
-    kept = settled(met.groupBy("n", "low", "high", "total", "mix").agg(F.min("shard").alias("shard")).select("shard"), "shards")
-    wanted = keys.join(kept, "shard").groupBy("item").agg(F.collect_set("shard").alias("shards"))
+        F.sum(F.shiftrightunsigned(h, 32)).alias("total"), F.bit_xor(h).alias("mix")).groupBy("n", "low", "high", "total", "mix").agg(
+        F.min("shard").alias("shard")).select("shard")
+    split = inside.join(kept, "shard").groupBy("item").agg(F.collect_set("shard").alias("shards"))
+    wanted = settled(small.unionByName(split), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("item")).select("item", "text", "shards")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,13 +454,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     Two texts are similar if their sets of ``width``-word shingles (as 64-bit hashes) have a Jaccard similarity of
     ``similarity`` or more, counted on the sets. Similar sets share a shingle of their prefixes, so shards keyed by
-    these hold all similar pairs, and within a shard pairs are found the same way. Texts with the same
+    these hold all similar pairs, and within a cluster of shards pairs are found the same way. Texts with the same
     shingles are one item. Null and empty texts have none and are copies of each other. A null doc_id is
     grouped but never the smallest.
     """
     rows = settled(prefixes(docs, width, similarity), "prefixes")
     items = settled(rows.groupBy("fingerprint", "mark").agg(F.min("doc_id").alias("item")), "items")
-    keys = rows.join(items.filter("item is not null"), ["fingerprint", "mark"]).filter("doc_id = item").select("item", F.explode("keys").alias("shard"))
+    own = rows.join(items.filter("item is not null").withColumnRenamed("item", "doc_id"), ["fingerprint", "mark", "doc_id"], "left_semi")
+    keys = own.select(F.col("doc_id").alias("item"), F.explode("keys").alias("shard"))
     roots = components(similar_links(docs, keys, width, similarity))
     named = items.join(roots, items["item"] == roots["node"], "left").select(
         "fingerprint", "mark", F.coalesce("root", "item").alias("component_id"))
