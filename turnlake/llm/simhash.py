@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import column, settled, whole_partition
@@ -272,8 +272,8 @@ def shingle_set(text: str, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, width: int, one_in: int = 64, share: float = 1 / 256, most: int = 4096) -> np.ndarray:
-    """Sorted hashes of shingles that many documents of a sample hold; they only rank last, so any choice is right."""
+def frequent_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int = 2, most: int = 1 << 18) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a sample hold; they only rank last, so any choice is right."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,19 +281,18 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 64, share: floa
             sets = [shingle_set(text.as_py() or "", width) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
 
-    least = max(8, int(sample.select("doc_id").count() * share))
     counted = sample.select("text").mapInArrow(of, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
     found = [r[0] for r in counted.orderBy(F.desc("count"), "shingle").limit(most).collect()]
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, and keys, the set's prefix."""
+    """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, their number, and keys, the set's prefix."""
     frequent = frequent_shingles(docs, width)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, marks, keys = [], [], [np.zeros(0, np.uint64)]
+            prints, marks, counts, keys = [], [], [], [np.zeros(0, np.uint64)]
             for text in batch.column("text"):
                 own = shingle_set(text.as_py() or "", width, seed)
                 total = np.zeros(64, np.int64)
@@ -301,18 +300,19 @@ def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) ->
                     total += _bit_sums(own[i:i + SHINGLES_AT_ONCE], [len(own[i:i + SHINGLES_AT_ONCE])])[0]
                 prints.append(np.packbits(2 * total > len(own)).view(">u8")[0])
                 marks.append((own ^ (own >> np.uint64(31))).sum(dtype=np.uint64))
+                counts.append(len(own))
                 if len(frequent):
                     common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
                     own = np.concatenate((own[~common], own[common]))
                 keys.append(own[:prefix_length(len(own), similarity)] if len(own) else own)
             sizes = np.cumsum([len(k) for k in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)),
+                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys).view(np.int64)))],
-                ["doc_id", "fingerprint", "mark", "keys"])
+                ["doc_id", "fingerprint", "mark", "size", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, size long, keys array<long>")
 
 
 def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, similarity: float) -> np.ndarray:
@@ -404,14 +404,20 @@ def whole_shards(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa
 
 
 def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar items. ``keys``: item and shard, its prefix.
+    """Links (a, b) that connect all similar items. ``keys``: item, size and shard, its prefix.
 
-    Items tied by shared shards form clusters, and each goes to the place of its cluster once with its set. Clusters
+    Similar sets are of similar size, so in each shard items are tied to the next smaller one if that is near enough.
+    Tied items form clusters, and each goes to the place of its cluster once with its set. Clusters
     of more than CLUSTER_ITEMS go by their shards instead: one place for each shard, of shards with the same items one.
     """
     met = keys.groupBy("shard").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
-    ties = settled(keys.join(met, "shard").select("item", "shard", "low"), "ties")
-    roots = components(ties.select(F.col("item").alias("a"), F.col("low").alias("b")))
+    by_size = Window.partitionBy("shard").orderBy("size", "item")
+    near = lambda small, big: F.coalesce(small >= similarity * big - 1e-9, F.lit(False))
+    ties = keys.join(met.select("shard"), "shard").select(
+        "item", "shard", F.lag("item").over(by_size).alias("before"), near(F.lag("size").over(by_size), F.col("size")).alias("down"),
+        near(F.col("size"), F.lead("size").over(by_size)).alias("up")).filter("down or up")
+    ties = settled(ties.select("item", "shard", F.when(F.col("down"), F.col("before")).alias("before")), "ties")
+    roots = components(ties.filter("before is not null").select(F.col("item").alias("a"), F.col("before").alias("b")))
     large = settled(roots.groupBy("root").count().filter(F.col("count") > CLUSTER_ITEMS).select("root"), "large-clusters")
     small = roots.join(large, "root", "left_anti").select(F.col("node").alias("item"), F.array("root").alias("shards"))
     inside = ties.join(roots.join(large, "root", "left_semi").select(F.col("node").alias("item")), "item")
@@ -461,7 +467,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     rows = settled(prefixes(docs, width, similarity), "prefixes")
     items = settled(rows.groupBy("fingerprint", "mark").agg(F.min("doc_id").alias("item")), "items")
     own = rows.join(items.filter("item is not null").withColumnRenamed("item", "doc_id"), ["fingerprint", "mark", "doc_id"], "left_semi")
-    keys = own.select(F.col("doc_id").alias("item"), F.explode("keys").alias("shard"))
+    keys = own.select(F.col("doc_id").alias("item"), "size", F.explode("keys").alias("shard"))
     roots = components(similar_links(docs, keys, width, similarity))
     named = items.join(roots, items["item"] == roots["node"], "left").select(
         "fingerprint", "mark", F.coalesce("root", "item").alias("component_id"))
