@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnlake.llm import (
     archives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
+    word_codec,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,9 @@ def op10_quality(spark, folder):
 def op4_toxicity(spark, folder):
     rows = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return rows.select("doc_id", "held_out", "score", "predicted", F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"))
+
+
+@query()
+def op11_word_bpe(spark, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return word_codec.encoded(table(spark, folder, "documents"), path, ids=False)
