@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import settled
 
 #: Candidates met at a time within a block.
-SLICE = 1024
+SLICE = 512
 #: Pairs are scored one by one where at most this share of a slice is left, else as a matrix product.
 SPARSE = 0.05
 
@@ -106,6 +106,7 @@ def search_block(anchors: np.ndarray, anchor_ids: np.ndarray, asked_of: np.ndarr
         part, names = block[at:at + SLICE], ids[at:at + SLICE]
         lowest = np.full(len(anchors), np.inf)
         np.minimum.at(lowest, asked_of, best.bar)
+        first_bar = np.full(len(anchors), -np.inf)
         # Rounding of sums of squares and products stays far below this.
         slack = 1e-9 * size * np.sqrt((part * part).sum(axis=1).max()) + 1e-6
         live = anchor_ids[:, None] != names[None, :]
@@ -115,7 +116,12 @@ def search_block(anchors: np.ndarray, anchor_ids: np.ndarray, asked_of: np.ndarr
             wide = (part_spread > 0).any(axis=0)
             middle, reach = mean[rows] @ part_mean.T, spread[rows][:, wide] @ part_spread[:, wide].T
             reach += slack[rows][:, None]
-            live[rows] &= (middle + reach >= lowest[rows][:, None]) & (middle - reach <= highest[rows][:, None])
+            # Nothing found yet and nothing too high: the k-th best lower bound is a floor as well.
+            new = np.isinf(lowest[rows]) & np.isinf(highest[rows])
+            if new.any() and len(names) > k:
+                lower = np.where(live[rows[new]], middle[new] - reach[new], -np.inf)
+                first_bar[rows[new]] = np.maximum(first_bar[rows[new]], np.partition(lower, len(names) - k, axis=1)[:, len(names) - k])
+            live[rows] &= (middle + reach >= np.maximum(lowest, first_bar)[rows][:, None]) & (middle - reach <= highest[rows][:, None])
             rows = rows[live[rows].any(axis=1)]
             if live[rows].sum() <= SPARSE * live.size:
                 break
