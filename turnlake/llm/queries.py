@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import (
-    archives, hard_negatives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
+    archives, conversation_repair, hard_negatives, mixing, parsing_dedup, piece_codec, quality_model, quality_rules, simhash, suffix_dedup, topk_search, toxicity,
     word_codec,
 )
 
@@ -93,3 +93,8 @@ def op11_word_bpe(spark, folder):
 @query(hard_negatives.MINED_SQL)
 def op12_hard_negatives(spark, folder):
     return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_conversation_repair(spark, folder):
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, folder, "conversations")))
