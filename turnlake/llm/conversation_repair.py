@@ -404,3 +404,56 @@ def repaired(rows: DataFrame) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
     return with_results.union(texts).repartition("conv_id").sortWithinPartitions("conv_id", "part", "known", "turn", "same").select(
         "conv_id", "role", "text", "dropped", "result").mapInArrow(_writing(_arrow_type(rows)), f"conv_id {kind}, {RESULT}, repaired_sha256 string")
+
+
+REPAIR_SQL = r"""with recursive crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)),
+    lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as codes from conversations),
+kinds as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind
+  from keyed, crc),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, range(2) as copies(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+tied as (select *, length(role)::varchar || ':' || role || text as both_texts, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+    case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as who from damaged),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(both_texts)) as ix from tied),
+repeated as (select *, row_number() over (partition by conv_id, both_texts order by ix) > 1 as again from numbered),
+turns as (select *, case when body = '' then 'blank' when again then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else 'whole' end as fault,
+    lag(who) over (partition by conv_id order by ix) || who as meeting from repeated),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (meeting is not null and meeting not in ('su', 'ua', 'au')) as illegal, count(*) as n from turns group by conv_id),
+places as (select unnest([0, 1, 2, 3]) as place),
+-- Rows put in between: from a place to a place.
+inserts(origin, place, cost, letters) as (select place, place, 0, '' from places
+  union all (values (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 3, 5, 'I'), (3, 2, 5, 'I'))),
+-- What happens to a row: only K asks whose row it is; D is open to all rows.
+edits(origin, place, who, cost, letter) as (select place, place, null::varchar, 2, 'D' from places
+  union all (values (0, 1, 's', 0, 'K'), (0, 2, 'u', 0, 'K'), (1, 2, 'u', 0, 'K'), (3, 2, 'u', 0, 'K'), (2, 3, 'a', 0, 'K'),
+    (0, 2, null, 1, 'R'), (1, 2, null, 1, 'R'), (3, 2, null, 1, 'R'), (2, 3, null, 1, 'R'))),
+steps as (select i.origin, e.place, e.who, i.cost + e.cost as cost, i.letters || e.letter as letters, e.letter from inserts i join edits e on i.place = e.origin),
+walk(conv_id, ix, place, cost, letters) as (select conv_id, 0::bigint, 0, 0::bigint, '' from counts
+  union all
+  select w.conv_id, t.ix, s.place, w.cost + s.cost + case when t.fault = 'truncated' and s.letter <> 'D' then 5 else 0 end, w.letters || s.letters
+  from walk w join turns t on t.conv_id is not distinct from w.conv_id and t.ix = w.ix + 1 join steps s on s.origin = w.place
+    and (s.letter = 'D' or t.fault in ('whole', 'truncated')) and (s.who is null or s.who = t.who)
+  qualify row_number() over (partition by w.conv_id, s.place order by
+    w.cost + s.cost + case when t.fault = 'truncated' and s.letter <> 'D' then 5 else 0 end, w.letters || s.letters) = 1),
+ended as (select w.conv_id, w.cost + i.cost as cost, w.letters || i.letters as audit from walk w join counts c on c.conv_id is not distinct from w.conv_id and c.n = w.ix
+    join inserts i on i.origin = w.place and i.place in (0, 3)
+  qualify row_number() over (partition by w.conv_id order by w.cost + i.cost, w.letters || i.letters) = 1),
+-- The letters again, each with the row it stands for and its place among the rows that stay.
+letters as (select conv_id, audit, unnest(string_split(audit, '')) as letter, unnest(range(1, length(audit) + 1)) as pos from ended where audit <> ''),
+placed as (select *, sum(case when letter = 'I' then 0 else 1 end) over (partition by conv_id order by pos) as ix,
+    sum(case when letter = 'D' then 0 else 1 end) over (partition by conv_id order by pos) as nth from letters),
+staying as (select p.conv_id, p.nth, p.letter, case when letter = 'I' then null else t.role end as role, case when letter = 'I' then '' else t.text end as text,
+    count(*) over (partition by p.conv_id) % 2 as odd
+  from placed p left join turns t on t.conv_id is not distinct from p.conv_id and t.ix = p.ix where letter <> 'D'),
+written as (select conv_id, string_agg(case when letter = 'K' then role when (nth + odd) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by nth) as whole
+  from staying group by conv_id)
+select d.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+  sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) d left join counts c on c.conv_id is not distinct from d.conv_id
+  left join ended e on e.conv_id is not distinct from d.conv_id left join written w on w.conv_id is not distinct from d.conv_id"""

@@ -95,6 +95,6 @@ def op12_hard_negatives(spark, folder):
     return hard_negatives.mined(table(spark, folder, "embeddings"))
 
 
-@query()
+@query(conversation_repair.REPAIR_SQL)
 def op13_conversation_repair(spark, folder):
     return conversation_repair.repaired(conversation_repair.damaged(table(spark, folder, "conversations")))
