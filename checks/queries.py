@@ -733,7 +733,7 @@ from timeline t join km using (session_id) where km.i = 40 and t.kind = 'speech'
 
 @query()
 def loudness_roles(c):
-    rows = attribution.roles_from_loudness(c.analysis.timeline, c.split).filter("kind = 'speech'")
+    rows = attribution.roles_from_loudness(c.analysis.timeline).filter("kind = 'speech'")
     return rows.select("session_id", "segment_ix", "role", F.round("role_conf", 9).alias("role_conf"))
 
 
@@ -1033,7 +1033,7 @@ def label_scores_by_sheet(c):
 from recordings r join (select session_id, sum("end" - start) as speech, count(*) as n, median("end" - start) as med from spans group by 1) s using (session_id)
 join (select session_id, avg(10 ** (rms_db / 20)) as level from timeline group by 1) l using (session_id)""")
 def speech_profile(c):
-    return metrics.speech_profile(c.analysis.timeline, c.recordings, c.split).withColumn("loudness_db", F.round("loudness_db", 6))
+    return metrics.speech_profile(c.analysis.timeline, c.recordings).withColumn("loudness_db", F.round("loudness_db", 6))
 
 
 ORACLES_LANGUAGE = f"""select session_id, case when i % 3 = 0 then 'hi' when i % 3 = 1 then 'mr' else 'en' end as language,

@@ -42,9 +42,10 @@ def test_words_of_a_statement_do_not_end_the_run_of_a_question(make):
     assert (row.q_end, row.wait) == (25.0, 2.0)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_median_is_exact(spark, split):
+@pytest.mark.parametrize("width", [0.25, 0.01, 1000.0])
+def test_median_is_exact(spark, width, monkeypatch):
+    monkeypatch.setattr(ds, "MEDIAN_BIN", width)
     data = [(s, i, float(v)) for s, vs in enumerate([[3, 1, 2], [4, 1, 3, 2], [5], [2, 2, 9, 9]]) for i, v in enumerate(vs)]
     df = spark.createDataFrame(data, "session_id long, turn_ix int, wait double")
-    got = ds.median_by_session(df, "wait", "turn_ix", split)
+    got = ds.median_by_session(df, "wait")
     assert {r.session_id: r["median"] for r in got.collect()} == {0: 2.0, 1: 2.5, 2: 5.0, 3: 5.5}

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,15 +77,14 @@ def test_texts(spark):
     assert len(a) <= 400 and a.endswith("…") and b == "नमस्ते!\n\nh\n\n💡 s"
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_loudness_split(spark, make, split):
+def test_loudness_split(spark, make):
     def session(*loud):
         return [("speech", i, i + 1) for i in range(len(loud))], loud
     cases = [session(-10.0, -12.0, -40.0, -41.0), session(-20.0), session(-15.0, -15.0), session(-10.0, -14.0)]
     tl = make.timeline(*[c[0] for c in cases]).drop("role", "role_conf", "rms_db")
     loud = spark.createDataFrame([(s, i, x) for s, c in enumerate(cases) for i, x in enumerate(c[1])],
                                  "session_id long, segment_ix int, rms_db double")
-    got = attribution.roles_from_loudness(tl.join(loud, ["session_id", "segment_ix"]), split)
+    got = attribution.roles_from_loudness(tl.join(loud, ["session_id", "segment_ix"]))
     by = {(r.session_id, r.segment_ix): (r.role, r.role_conf) for r in got.collect()}
     assert [by[0, i][0] for i in range(4)] == ["teacher", "teacher", "student", "student"]
     assert by[0, 0][1] == 1.0 and by[1, 0] == ("teacher", 0.0) and by[2, 1] == ("teacher", 0.0)
@@ -98,3 +100,37 @@ def test_aliases_go_past_z(spark, split):
         "Teacher " + s for s in ("A", "Z", "AA", "AZ", "BA", "ZZ", "AAA")]
     with pytest.raises(Exception, match="unknown teacher id"):
         corpus.with_alias(spark.createDataFrame([("9999",)], "teacher_id string"), corpus.aliases(ids, split)).collect()
+
+
+def by_rounds(xs):
+    """Forty rounds over the whole list: the centres before and after the last."""
+    low, high = min(xs), max(xs)
+    for _ in range(40):
+        before = low, high
+        near = [x for x in xs if abs(x - low) <= abs(x - high)]
+        far = [x for x in xs if abs(x - low) > abs(x - high)]
+        moved = lambda part, c: c if not part or abs(math.fsum(part) / len(part) - c) <= 1e-8 + 1e-5 * abs(c) else math.fsum(part) / len(part)
+        low, high = moved(near, low), moved(far, high)
+    return (*before, low, high)
+
+
+def test_centres_against_rounds_over_lists(spark, monkeypatch):
+    draw = random.Random(12)
+    sessions = [[draw.choice([draw.gauss(-50, 6), draw.gauss(-20, 9), float(round(draw.gauss(-35, 10))), 0.0]) for _ in range(draw.randrange(1, 200))] for _ in range(60)]
+    sessions += [[-30.0] * 5, [-30.0], [-10.0, -11.0], [float(-x) for x in range(120)], [-1e-9 * x for x in range(50)]]
+    rows_ = [(s, "speech", x) for s, xs in enumerate(sessions) for x in xs] + [(0, "dead", -90.0), (3, "speech", None), (999, "speech", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {r[0]: tuple(r)[1:] for r in attribution.loudness_centres(
+            spark.createDataFrame(draw.sample(rows_, len(rows_)), "session_id long, kind string, rms_db double")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(range(len(sessions)))
+    for s, xs in enumerate(sessions):
+        assert got[s] == pytest.approx(by_rounds(xs), abs=1e-9), s
+
+
+def test_centres_of_a_session_of_two_million_rows(spark):
+    rows_ = spark.range(2_000_000).selectExpr("7L as session_id", "'speech' as kind", "-20 - (id * 7919 % 1000003) / 1000003 * 10 - case when id % 3 = 0 then 30 else 0 end as rms_db")
+    [got] = attribution.loudness_centres(rows_).collect()
+    assert got.low == pytest.approx(-55.0, abs=0.01) and got.high == pytest.approx(-25.0, abs=0.01)

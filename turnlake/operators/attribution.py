@@ -2,84 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.scan import settled, needs_split
-
 ROUNDS = 40
+#: A centre that moves less than this (absolute, and as a share of where it was) stays. Fixed values.
+STILL = 1e-8, 1e-5
 
 
-def _close(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(b)
-
-
-def _moved(mean: Column, centre: Column) -> Column:
-    """The new centre, or the old one when the cluster is empty or has hardly moved."""
-    return F.when(mean.isNull() | _close(mean, centre), centre).otherwise(mean)
-
-
-def _centres_in_row(loud: DataFrame) -> DataFrame:
-    """All rounds inside one row per session, for sessions of ordinary size."""
-    listed = loud.groupBy("session_id").agg(F.collect_list("rms_db").alias("xs"))
-    first = F.struct(F.array_min("xs").alias("low"), F.array_max("xs").alias("high"))
+class Rounds:
+    """The rounds of one session, while its loudness values stream past in the direction the border moves.
 
-    def mean_of(xs: Column) -> Column:
-        total = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
-        return F.when(F.size(xs) > 0, total / F.size(xs))
-
-    def step(c: Column, _: Column) -> Column:
-        near_low = F.filter("xs", lambda x: F.abs(x - c["low"]) <= F.abs(x - c["high"]))
-        near_high = F.filter("xs", lambda x: F.abs(x - c["low"]) > F.abs(x - c["high"]))
-        return F.struct(_moved(mean_of(near_low), c["low"]).alias("low"),
-                        _moved(mean_of(near_high), c["high"]).alias("high"))
-
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS - 1))
-    before = listed.withColumn("c", F.aggregate(rounds, first, step))
-    # Labels come from the centres going into the last round, centres from what it produced.
-    after = before.withColumn("d", step(F.col("c"), F.lit(0)))
-    return after.select("session_id", F.col("c.low").alias("cut_low"), F.col("c.high").alias("cut_high"),
-                        F.col("d.low").alias("low"), F.col("d.high").alias("high"))
-
-
-def _centres_by_rounds(loud: DataFrame) -> DataFrame:
-    """One pre-aggregated pass per round, for sessions too large for a row.
+    The border between the clusters only moves one way, since both means move with it: so a round ends
+    where the first value beyond the border comes, and the next one goes on from there. What has passed is
+    known by its count and sum. Values are streamed both ways; the first round tells which way it was.
+    """
 
-    Equal loudness values are counted once first, so later passes read the counts only. Only
-    the number of centres that moved comes back to the driver.
+    def __init__(self, up: bool, low: float, high: float, count: int, total: float):
+        self.up, self.before, self.centres = up, (low, high), (low, high)
+        self.count, self.total, self.passed, self.sum, self.round = count, total, 0, 0.0, 0
+        self.right_way = True
+
+    def _means(self) -> tuple[float | None, float | None]:
+        rest = self.count - self.passed
+        passed = self.sum / self.passed if self.passed else None
+        left = (self.total - self.sum) / rest if rest else None
+        return (passed, left) if self.up else (left, passed)
+
+    def _step(self) -> bool:
+        """One round with what has passed as its cluster; whether it moved a centre."""
+        new = tuple(c if m is None or abs(m - c) <= STILL[0] + STILL[1] * abs(c) else m for m, c in zip(self._means(), self.centres))
+        moved = new != self.centres
+        if self.round == 0:
+            # Both ways have to agree, whatever the rounding of their sums.
+            self.right_way = (sum(new) >= sum(self.centres) - 1e-7) == self.up
+        self.before, self.centres, self.round = self.centres, new, self.round + 1
+        return moved
+
+    def take(self, values: np.ndarray, counts: np.ndarray) -> None:
+        """The next values, from the quietest up or from the loudest down."""
+        sums, numbers = np.cumsum(values * counts), np.cumsum(counts)
+        at, start_sum, start_passed = 0, self.sum, self.passed
+        while self.round < ROUNDS and at < len(values):
+            low, high = self.centres
+            lower = np.abs(values[at:] - low) <= np.abs(values[at:] - high)
+            beyond = np.flatnonzero(lower != self.up)
+            at = at + int(beyond[0]) if len(beyond) else len(values)
+            if at:
+                self.sum, self.passed = start_sum + float(sums[at - 1]), start_passed + int(numbers[at - 1])
+            if at < len(values) and not (self._step() and self.right_way):
+                self.round = ROUNDS
+
+    def end(self) -> tuple[float, float, float, float]:
+        while self.round < ROUNDS and self._step() and self.right_way:
+            pass
+        return (*self.before, *self.centres)
+
+
+def loudness_centres(timeline: DataFrame) -> DataFrame:
+    """Two loudness centres per session, started from the quietest and the loudest speech.
+
+    cut_low and cut_high are the centres the last round divided by, low and high what it gave. Equal values are counted first;
+    sums are decimals, so their order does not matter.
     """
-    values = settled(loud.groupBy("session_id", "rms_db").agg(F.count(F.lit(1)).alias("n")))
-    centres = values.groupBy("session_id").agg(F.min("rms_db").alias("low"), F.max("rms_db").alias("high"))
-    out = centres.select("session_id", F.col("low").alias("cut_low"), F.col("high").alias("cut_high"),
-                         "low", "high")
-    for _ in range(ROUNDS):
-        near_low = F.abs(F.col("rms_db") - F.col("low")) <= F.abs(F.col("rms_db") - F.col("high"))
-
-        def mean_of(cond: Column) -> Column:
-            return (F.sum(F.when(cond, F.col("rms_db") * F.col("n")))
-                    / F.sum(F.when(cond, F.col("n"))))
-
-        step = values.join(out.select("session_id", "low", "high"), "session_id").groupBy(
-            "session_id", "low", "high").agg(
-            _moved(mean_of(near_low), F.col("low")).alias("new_low"),
-            _moved(mean_of(~near_low), F.col("high")).alias("new_high"))
-        out = settled(step.select(
-            "session_id", F.col("low").alias("cut_low"), F.col("high").alias("cut_high"),
-            F.col("new_low").alias("low"), F.col("new_high").alias("high")))
-        if out.filter((F.col("cut_low") != F.col("low")) | (F.col("cut_high") != F.col("high"))).isEmpty():
-            break
-    return out
-
-
-def loudness_centres(timeline: DataFrame, split: bool | None = None) -> DataFrame:
-    """Two loudness centres per session, started from the quietest and the loudest speech."""
-    loud = timeline.filter(F.col("kind") == "speech").select("session_id", "rms_db")
-    if needs_split(loud, ["session_id"]) if split is None else split:
-        return _centres_by_rounds(loud)
-    return _centres_in_row(loud)
-
-
-def roles_from_loudness(timeline: DataFrame, split: bool | None = None) -> DataFrame:
+    loud = timeline.filter((F.col("kind") == "speech") & F.col("rms_db").isNotNull())
+    values = loud.groupBy("session_id", F.col("rms_db").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    amount = F.col("x").cast("decimal(22,16)") * F.col("n").cast("decimal(14,0)")
+    ends = values.groupBy("session_id").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("count"), F.sum(amount).alias("total"))
+    directions = F.explode(F.array(F.lit(True), F.lit(False)))
+    rows = values.join(ends.withColumn("total", F.col("total").cast("double")), "session_id").withColumn("up", directions).withColumn(
+        "_along", F.when(F.col("up"), F.col("x")).otherwise(-F.col("x")))
+    kind = timeline.schema["session_id"].dataType.simpleString()
+    names = ["session_id", "cut_low", "cut_high", "low", "high"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rounds, done = None, None, []
+
+        def close() -> None:
+            if rounds is not None:
+                centres = rounds.end()
+                if rounds.right_way:
+                    done.append((key[0], *centres))
+
+        for batch in batches:
+            if batch.empty:
+                continue
+            ids, ways = batch["session_id"].to_numpy(), batch["up"].to_numpy()
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (ways[1:] != ways[:-1])) + 1).tolist(), len(ids)]
+            x, n = batch["x"].to_numpy(), batch["n"].to_numpy()
+            for a, b in zip(edges[:-1], edges[1:]):
+                if rounds is None or (ids[a], ways[a]) != key:
+                    close()
+                    key = ids[a], ways[a]
+                    rounds = Rounds(*(batch[c].iat[a] for c in ("up", "low", "high", "count", "total")))
+                rounds.take(x[a:b], n[a:b])
+            yield pd.DataFrame(done, columns=names)
+            done = []
+        close()
+        yield pd.DataFrame(done, columns=names)
+
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "up", "_along").mapInPandas(
+        run, f"session_id {kind}, cut_low double, cut_high double, low double, high double")
+
+
+def roles_from_loudness(timeline: DataFrame) -> DataFrame:
     """Label speech rows by the nearer centre; the louder one is the teacher.
 
     A single speech row, or rows of one loudness, are the teacher with confidence 0. Else
@@ -90,7 +120,7 @@ def roles_from_loudness(timeline: DataFrame, split: bool | None = None) -> DataF
     facts = speech.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), (F.max("rms_db") - F.min("rms_db")).alias("spread"))
     rows = timeline.join(facts, "session_id", "left").join(
-        loudness_centres(timeline, split), "session_id", "left")
+        loudness_centres(timeline), "session_id", "left")
     x, low, high = F.col("rms_db"), F.col("low"), F.col("high")
     in_low = F.abs(x - F.col("cut_low")) <= F.abs(x - F.col("cut_high"))
     apart = F.abs(low - high)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import DEFAULTS, QUESTION_WORDS, Thresholds
 from turnlake.functions.text import is_question
 from turnlake.ranges import in_buckets, overlap_join, BUCKET_SEC
-from turnlake.scan import Ordered, Running, following_min, running_max, running_sum
+from turnlake.scan import Ordered, following_min, running_max, running_sum
 
 SESSION = ["session_id"]
+#: Width, in the unit of the value, of the bins a median is counted in.
+MEDIAN_BIN = 0.25
 
 
 def first_owner(segments: DataFrame, marked: DataFrame, *carry: str) -> DataFrame:
@@ -104,29 +106,29 @@ def pseudo_turns(labelled: DataFrame, split: bool | None = None) -> DataFrame:
         F.col("role").alias("speaker"), "role", "run")
 
 
-def median_by_session(rows: DataFrame, value: str, tiebreak: str,
-                      split: bool | None = None) -> DataFrame:
-    """Exact median per session.
+def median_by_session(rows: DataFrame, value: str) -> DataFrame:
+    """Exact median per session, by a histogram and the two bins that hold the middle.
 
-    ``median`` keeps a session's distinct values in one task's memory, so split mode counts
-    positions from both ends instead: the middle rows are where the two counts differ by at
-    most one.
+    Equal values are counted first, then counts are summed over bins. The middle positions lie in one or
+    two bins; only the values of these are ranked. Nothing is listed or sorted but bins and what is in one.
     """
-    present = rows.filter(F.col(value).isNotNull())
-    if not split:
-        return present.groupBy("session_id").agg(F.median(value).alias("median"))
-    one = F.lit(1)
-    ranked = Ordered(present, SESSION, [value, tiebreak], split).with_columns(
-        up=running_sum(one), down=Running("sum", one, backward=True, inclusive=True)).df
-    return ranked.filter(F.abs(F.col("up") - F.col("down")) <= 1).groupBy("session_id").agg(
-        F.avg(value).alias("median"))
-
-
-def discourse_totals(asked: DataFrame, split: bool | None = None) -> DataFrame:
+    bins = F.floor(F.col("_value") / F.lit(MEDIAN_BIN))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy("session_id", F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")).withColumn("_bin", bins)
+    along = Window.partitionBy("session_id").orderBy("_bin")
+    sums = counted.groupBy("session_id", "_bin").agg(F.sum("_n").alias("_in_bin")).withColumns({
+        "_to": F.sum("_in_bin").over(along), "_all": F.sum("_in_bin").over(Window.partitionBy("session_id"))})
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    before = F.col("_to") - F.col("_in_bin")
+    middle = sums.filter((F.col("_to") >= low) & (before < high)).select("session_id", "_bin", before.alias("_before"), low.alias("_low"), high.alias("_high"))
+    within = Window.partitionBy("session_id", "_bin").orderBy("_value")
+    ranked = counted.join(middle, ["session_id", "_bin"]).withColumn("_up", F.col("_before") + F.sum("_n").over(within))
+    at = lambda position: F.min(F.when(F.col("_up") >= F.col(position), F.col("_value")))
+    return ranked.groupBy("session_id").agg(((at("_low") + at("_high")) / 2).alias("median"))
+
+
+def discourse_totals(asked: DataFrame) -> DataFrame:
     """Questions, responses, waits and the median wait per session."""
-    counts = [F.count(F.lit(1)).alias("questions"), F.count_if("answered").alias("responses"),
-              F.count("wait").alias("waits")]
-    if not split:
-        return asked.groupBy("session_id").agg(*counts, F.median("wait").alias("median"))
-    return asked.groupBy("session_id").agg(*counts).join(
-        median_by_session(asked, "wait", "turn_ix", split), "session_id", "left")
+    counts = asked.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if("answered").alias("responses"), F.count("wait").alias("waits"))
+    return counts.join(median_by_session(asked, "wait"), "session_id", "left")

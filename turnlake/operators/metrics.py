@@ -221,7 +221,7 @@ def lost_students(marked: DataFrame, labelled: DataFrame, t: Thresholds = DEFAUL
                            & (F.coalesce("student_sec", F.lit(0.0)) <= 0))
 
 
-def speech_profile(timeline: DataFrame, recordings: DataFrame, split: bool | None = None) -> DataFrame:
+def speech_profile(timeline: DataFrame, recordings: DataFrame) -> DataFrame:
     """Speech share, spans per minute, median span, and mean loudness per session.
 
     Loudness is averaged as amplitude over the timeline rows and turned back into dB.
@@ -233,7 +233,7 @@ def speech_profile(timeline: DataFrame, recordings: DataFrame, split: bool | Non
         F.avg(F.pow(F.lit(10.0), F.col("rms_db") / 20.0)).alias("level"))
     spans = timeline.filter(is_speech()).withColumn("sec", sec)
     return (recordings.select("session_id", "actual_sec").join(sums, "session_id")
-            .join(median_by_session(spans, "sec", "segment_ix", split), "session_id", "left")
+            .join(median_by_session(spans, "sec"), "session_id", "left")
             .select("session_id", (100.0 * F.coalesce("speech", F.lit(0.0)) / F.col("actual_sec")).alias("speech_percent"),
                     (60.0 * F.col("n") / F.col("actual_sec")).alias("spans_per_minute"),
                     F.coalesce("median", F.lit(0.0)).alias("median_span"), (20.0 * F.log10("level")).alias("loudness_db")))

@@ -90,7 +90,7 @@ class SessionAnalysis:
         if self.voice is not None:
             known = self.marked.select("session_id").distinct()
             quiet = self.timeline.join(known, "session_id", "left_anti")
-            by_loudness = attribution.roles_from_loudness(quiet, self.split).drop("segment_ix")
+            by_loudness = attribution.roles_from_loudness(quiet).drop("segment_ix")
             rows = rows.join(known, "session_id", "left_semi").unionByName(by_loudness)
         return self._kept(rows)
 
@@ -100,12 +100,12 @@ class SessionAnalysis:
         if self.voice is not None:
             rest = self.labelled.join(marked.select("session_id").distinct(), "session_id", "left_anti")
             marked = marked.unionByName(discourse.pseudo_turns(rest, self.split))
-        return discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds)
+        return self._kept(discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds))
 
     @cached_property
     def facts(self) -> DataFrame:
         stats = metrics.transcript_stats(self.segments, self.transcripts)
-        totals = discourse.discourse_totals(self.discourse, self.split)
+        totals = discourse.discourse_totals(self.discourse)
         sessions = self.sessions.join(self.full_recordings.select(
             "session_id", F.col("actual_sec").alias("measured_sec")), "session_id")
         return metrics.session_facts(self.labelled, sessions, self.recordings, stats, totals,
