@@ -137,7 +137,7 @@ def test_dates_without_leading_zeros(spark):
 
 
 def test_a_second_run_computes_what_is_new(spark, tmp_path):
-    from turnlake.plans.incremental import entries, run_pending
+    from turnlake.plans.incremental import compact, entries, run_pending
     store, seen = str(tmp_path / "store"), []
 
     def compute(todo):
@@ -146,10 +146,51 @@ def test_a_second_run_computes_what_is_new(spark, tmp_path):
 
     work = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
     assert rows(run_pending(work("a", "b", "b"), store, compute, "r1"), "key", "run") == [("a", "r1"), ("b", "r1"), ("b", "r1")]
-    (tmp_path / "store" / "run=r0").mkdir()
-    spark.createDataFrame([("c", '{"turns": [')], "key string, value string").write.mode("append").parquet(f"{store}/run=r0")
+    # A damaged entry of a finished run, and a run that stopped before it was listed.
+    damaged = spark.createDataFrame([("c", '{"turns": [')], "key string, value string")
+    run_pending(work("c"), store, lambda todo: damaged, "r11")
+    damaged.selectExpr("key", "'{\"turns\": []}' as value", "true as readable", "'2e' as bucket").write.partitionBy("bucket").parquet(f"{store}/entries/run=r12")
     assert rows(run_pending(work("b", "c"), store, compute, "r2"), "key", "run") == [("b", "r1"), ("c", "r2")]
     assert seen == [["a", "b"], ["c"]] and entries(spark, store).count() == 4
+    with pytest.raises(ValueError):
+        run_pending(work("z"), store, compute, "r2")
+    # The stopped run can be made again under its name; a new base holds each readable entry once.
+    assert rows(run_pending(work("d"), store, compute, "r12"), "key", "run") == [("d", "r12")]
+    compact(spark, store, "r3")
+    assert rows(entries(spark, store), "key", "run", "readable") == [(k, "r3", True) for k in "abcd"]
+    assert rows(run_pending(work("a", "e"), store, compute, "r4"), "key", "run") == [("a", "r3"), ("e", "r4")]
+    assert seen[-1] == ["e"]
+
+
+def test_a_store_is_read_by_bucket(spark, tmp_path):
+    from turnlake.plans.incremental import run_pending
+    store = str(tmp_path / "store")
+    work = spark.range(300).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    compute = lambda todo: todo.select("key", F.lit('{"segments": []}').alias("value"))
+    run_pending(work, store, compute, "r1")
+    found = run_pending(work.limit(1), store, compute, "r2")
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    [scan] = {line.strip() for line in plan.splitlines() if "entries" in line and "PartitionFilters" in line}
+    assert "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0] and "from_json" not in plan
+
+
+def test_a_stopped_run_does_not_count(spark, tmp_path, monkeypatch):
+    out, index = str(tmp_path / "out"), str(tmp_path / "index")
+    docs.write_index(documents(spark, "a", "b"), index)
+    lines = timeline(spark, ("a", 0, 0.0, 1.0, "dead"), ("b", 0, 0.0, 1.0, "dead"))
+    docs.write_documents(documents(spark, "a", "b", activity="old"), lines, out, "r1")
+    broken = lines.withColumn("start", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        docs.write_documents(documents(spark, "a", activity="new"), broken, out, "r2")
+    back, rows_back = docs.read_documents(spark, out, index)
+    assert rows(back, "session_id", "activity") == [("a", "old"), ("b", "old")] and rows_back.count() == 2
+    # Written again to its end, it counts; once finished, it stays as it is.
+    docs.write_documents(documents(spark, "a", activity="new"), lines.filter("session_id = 'a'"), out, "r2")
+    back, rows_back = docs.read_documents(spark, out, index)
+    assert rows(back, "session_id", "activity") == [("a", "new"), ("b", "old")] and rows_back.count() == 2
+    with pytest.raises(ValueError):
+        docs.write_documents(documents(spark, "a"), lines, out, "r1")
 
 
 def test_scores_survive_export(spark, tmp_path):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,27 +9,25 @@ from pyspark.sql import types as T
 from turnlake import schema
 from turnlake.functions.numbers import round_even
 from turnlake.functions.text import strip
+from turnlake.sources import runs
 
 # How many hex digits of the content and of the settings a key holds, and the unset setting.
 CONTENT_DIGITS, SETTINGS_DIGITS, UNSET = 20, 10, "auto"
 
 
 # --------------------------------------------------------------------------- results
-def new_run() -> str:
-    """Name of a run; later runs sort later. The letter keeps it text when folders are read."""
-    return f"r{time.time_ns():020d}"
-
-
 def write_documents(documents: DataFrame, timeline: DataFrame, path: str, run: str | None = None) -> None:
     """A run of results: JSON lines with one document per session, and with one row per timeline segment.
 
-    A run is a folder of its own, so nothing written before changes; readers take a session's latest
-    run. The number of files follows the data, not the number of sessions.
+    A run is a folder of its own, so nothing written before changes; it counts once both tables are written.
+    Readers take a session's latest finished run. The number of files follows the data, not the number of sessions.
     """
-    run = run or new_run()
+    spark, run = documents.sparkSession, run or runs.new_run()
+    runs.begin(spark, path, run)
     for rows, part in ((documents, "documents"), (timeline, "timeline")):
         rows.withColumn("session_id", F.col("session_id").cast("string")).write.mode("overwrite").option(
             "ignoreNullFields", True).json(f"{path}/{part}/run={run}")
+    runs.finish(spark, path, run)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -57,12 +52,7 @@ def write_index(documents: DataFrame, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The listed session ids; an index that was never written lists none."""
-    try:
-        return spark.read.schema("session_id string").json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "session_id string")
+    return runs.read_or_empty(lambda: spark.read.schema("session_id string").json(path), spark, "session_id string")
 
 
 def parse_documents(raw: DataFrame, index: DataFrame) -> DataFrame:
@@ -82,13 +72,15 @@ def parse_documents(raw: DataFrame, index: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, index_path: str) -> tuple[DataFrame, DataFrame]:
     """Written documents through their index, and all timeline rows of the documents that were read.
 
-    The latest run that has a readable document of a session counts.
+    Of the finished runs the latest that has a readable document of a session counts.
     """
-    raw = spark.read.text(f"{path}/documents").select("value", "run")
-    found = parse_documents(raw, read_index(spark, index_path))
+    done = runs.finished(spark, path).select("run")
+    raw = runs.read_or_empty(lambda: spark.read.schema("value string, run string").text(f"{path}/documents"), spark, "value string, run string")
+    found = parse_documents(raw.join(done, "run", "left_semi").select("value", "run"), read_index(spark, index_path))
     latest = found.groupBy("session_id").agg(F.max("run").alias("run"))
     documents = found.join(latest, ["session_id", "run"], "left_semi").drop("run")
-    rows = spark.read.schema(schema.TIMELINE_ROW.simpleString()[len("struct<"):-1].replace(":", " ") + ", run string").json(f"{path}/timeline")
+    columns = schema.TIMELINE_ROW.simpleString()[len("struct<"):-1].replace(":", " ") + ", run string"
+    rows = runs.read_or_empty(lambda: spark.read.schema(columns).json(f"{path}/timeline"), spark, columns)
     return documents, rows.join(latest, ["session_id", "run"], "left_semi").drop("run")
 
 
@@ -128,14 +120,14 @@ def content_key(content: Column, *stamp: Column) -> Column:
     return F.concat(F.substring(F.sha2(content, 256), 1, CONTENT_DIGITS), F.lit("-"), F.substring(F.sha2(settings, 256), 1, SETTINGS_DIGITS))
 
 
-def readable(finished: DataFrame) -> DataFrame:
-    """Entries (key, value: JSON text with a ``turns`` or ``segments`` array) that can be read. An empty
-    result counts, a damaged one does not."""
-    entry = F.from_json("value", "turns array<struct<start:double,end:double,speaker:string>>, "
+def is_readable(value: Column) -> Column:
+    """Whether an entry (JSON text with a ``turns`` or ``segments`` array) can be read. An empty result counts, a
+    damaged one does not."""
+    entry = F.from_json(value, "turns array<struct<start:double,end:double,speaker:string>>, "
                                  "segments array<struct<start:double,end:double,text:string>>")
-    return finished.filter(F.coalesce(entry["turns"].isNotNull() | entry["segments"].isNotNull(), F.lit(False)))
+    return F.coalesce(entry["turns"].isNotNull() | entry["segments"].isNotNull(), F.lit(False))
 
 
 def pending(work: DataFrame, finished: DataFrame) -> DataFrame:
-    """Work whose key has no readable entry among ``finished``."""
-    return work.join(readable(finished).select("key").distinct(), "key", "left_anti")
+    """Work whose key has no readable entry among ``finished`` (key, value)."""
+    return work.join(finished.filter(is_readable(F.col("value"))).select("key").distinct(), "key", "left_anti")
