@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +42,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(fn):
+    """A task that gives its memory back to the system when it ends: Python workers live on, and what one stage
+    took at its height would stay with them through the next."""
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts on end, and where each starts (one more than rows). Null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import column, settled, whole_partition
+from turnlake.llm.common import column, settled, tidy, whole_partition
 from turnlake.llm.components import components
 
 SHINGLES_AT_ONCE = 100_000
@@ -247,7 +247,7 @@ def hex_of(fingerprint):
 
 
 # ------------------------------------------------------------------------------- by similarity of shingle sets
-CELLS_AT_ONCE = 1_000_000
+CELLS_AT_ONCE = 300_000
 CLUSTER_ITEMS = 4_000
 
 
@@ -276,6 +276,7 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int =
     """Sorted hashes of shingles that several documents of a sample hold; they only rank last, so any choice is right."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
 
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py() or "", width) for text in batch.column("text")]
@@ -290,6 +291,7 @@ def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) ->
     """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, their number, and keys, the set's prefix."""
     frequent = frequent_shingles(docs, width)
 
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, marks, counts, keys = [], [], [], [np.zeros(0, np.uint64)]
@@ -430,6 +432,7 @@ def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: floa
     wanted = settled(small.unionByName(split), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("item")).select("item", "text", "shards")
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
@@ -440,6 +443,7 @@ def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: floa
     dealt = texts.mapInArrow(sets, "item long, shards array<long>, body binary").select(
         "item", F.explode("shards").alias("shard"), "body").repartition("shard").sortWithinPartitions("shard")
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_shards(batches, 8 * CELLS_AT_ONCE):
             item, bodies = column(table, "item"), table.column("body").to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from turnlake.llm import labelled
 from turnlake.llm import windows as w
-from turnlake.llm.common import runs_of_rows, settled, text_bytes
+from turnlake.llm.common import runs_of_rows, settled, tidy, text_bytes
 from turnlake.llm.quality_model import logistic_curve
 
 U = np.uint64
@@ -286,6 +286,7 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         return docs.select("doc_id", F.lit(judge).alias("score")).select(
             "doc_id", held, "score", predicted, F.array().cast(evidence).alias("evidence"))
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
@@ -299,7 +300,7 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
                 key = term.tobytes() + n.tobytes()
                 if key not in known:
                     near, similarity = judge.index.nearest(term, n.astype(float), judge.neighbours)
-                    if len(known) > 50_000:
+                    if len(known) > 5_000:
                         known.clear()
                     known[key] = (judge.score(judge.vote(near, similarity)) if len(near) else judge.otherwise, [
                         {"doc_id": judge.index.ids[i], "label": int(judge.index.label[i]), "similarity": float(s)}
