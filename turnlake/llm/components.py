@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
 
     Every round, each node's larger neighbours and then each node's smaller ones are tied to the
     smallest node it sees, until no link changes. Rounds grow with the logarithm of the longest
-    path. Only counts come back to the driver. Nodes without a link are not returned.
+    path; if ``rounds`` do not do, the job stops rather than return a part. Only counts come back to the driver.
+    Nodes without a link are not returned.
     """
     edges = settled(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
@@ -30,5 +31,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
