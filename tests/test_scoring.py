@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,37 @@ def test_word_and_character_edits(spark):
         assert c == edits(r.replace(" ", ""), h.replace(" ", ""))
 
 
+def test_edit_distance_in_blocks():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[:rng.randint(0, 40)] + b[:5] + a[rng.randint(0, 40):]
+        expected = edits(tuple(a), tuple(b))
+        for rows in (1, 3, 8, 4096):
+            assert tx.edit_distance(a, b, rows) == expected
+    assert tx.edit_distance("", "") == 0 and tx.edit_distance("ab", "") == 2
+
+
+def test_edit_distance_of_long_texts(spark):
+    rng = random.Random(3)
+    ref = [f"w{rng.randint(0, 20_000)}" for _ in range(50_000)]
+    hyp = list(ref)
+    for i in range(0, 50_000, 500):  # words that occur nowhere else, so every one is an edit
+        hyp[i] = f"x{i}"
+    del hyp[-7:]
+    began = time.time()
+    row = spark.createDataFrame([(" ".join(ref), " ".join(hyp))], "r string, h string").select(
+        tx.word_edits(F.col("r"), F.col("h")).alias("e")).first()
+    assert row.e == 107 and time.time() - began < 30
+
+
+def test_null_texts_have_no_words(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), ("", " ")], "r string, h string")
+    got = df.select(tx.word_edits(F.col("r"), F.col("h")), tx.char_edits(F.col("r"), F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [(2, 2), (0, 0), (0, 0)]
+
+
 def test_normaliser(spark):
     raw = ["Namaste, Duniya!", "यह सही है।", "STRASSE Straße", "é é", "a  \t b ☃", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "t string").select(tx.for_scoring(F.col("t"))).collect()]
@@ -106,6 +138,27 @@ def test_samples_a_backend_lacks_have_failed(spark):
     assert got == {"x": (1, 2, 0.0), "y": (3, 0, 0.5)}
 
 
+def test_backend_without_rows_has_failed_everywhere(spark):
+    samples = spark.createDataFrame([(1, "a b"), (2, "c d")], "sample_id long, reference string")
+    outputs = spark.createDataFrame([(1, "x", "a b", 1.0), (1, "other", "a", 2.0)], "sample_id long, backend string, hypothesis string, elapsed_sec double")
+    got = {r.backend: (r.scored, r.failed, r.wer, r.cer) for r in scoring.score_backends(samples, outputs, ["x", "mute", "x"]).collect()}
+    assert got == {"x": (1, 1, 0.0, 0.0), "mute": (0, 2, None, None)}
+    none = scoring.score_backends(samples, outputs.limit(0), ["mute"]).collect()
+    assert [(r.backend, r.scored, r.failed, r.wer) for r in none] == [("mute", 0, 2, None)]
+    with pytest.raises(ValueError):
+        scoring.score_backends(samples, outputs, [])
+
+
+def test_agreement_ignores_doubled_rows(spark):
+    rows = [(1, "x", "a b c"), (1, "y", "b c d"), (1, "z", ""), (2, "x", "a"), (3, "x", None), (3, "y", "")]
+    df = spark.createDataFrame(rows, "clip_id long, label string, text string")
+    expected = {(1, "x"): 0.25, (1, "y"): 0.25, (1, "z"): 0.0, (2, "x"): None, (3, "x"): 0.0, (3, "y"): 0.0}
+    for given in (df, df.union(df.filter("label = 'x'")), df.union(df)):
+        got = scoring.agreement(given).collect()
+        assert len(got) == given.count()
+        assert {(r.clip_id, r.label): r.agreement for r in got} == expected
+
+
 def test_sheet_named_null_is_not_the_total(spark):
     from turnlake.operators import labels
     df = spark.createDataFrame([(None, "teacher", "teacher", 0.9), ("s", "teacher", "student", 0.9)],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Hashable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,27 +67,56 @@ def for_scoring(text: Column) -> Column:
     return strip(F.regexp_replace(kept, rf"(?U){SPACE}+", " "))
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance of two texts whose words are separated by single spaces.
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], rows: int = 4096) -> int:
+    """Fewest insertions, deletions and replacements that turn ``a`` into ``b``.
 
-    Each distinct word of the pair becomes one character of the supplementary planes, which
-    hold a million, so the built-in character distance counts words.
+    A column of the table of distances is kept as two bit vectors, the steps up and the steps down between
+    neighbours, and one column follows from the one before by a few operations on whole vectors. ``rows``
+    of the shorter side are done at a time; what passes to the next ones is the step along their lower
+    border, so memory is that of one border and of ``rows`` bits per symbol among them.
     """
-    def distance(ref: Column, hyp: Column, known: Column) -> Column:
-        def as_text(ws: Column) -> Column:
-            return F.array_join(F.transform(ws, lambda w: F.decode(
-                F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, w)), 8, "0")), "UTF-32")), "")
+    if len(a) > len(b):
+        a, b = b, a
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), len(a))
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    border = [1] * len(b)
+    for top in range(0, len(a), rows):
+        block = a[top:top + rows]
+        at: dict[Hashable, int] = {}
+        for i, symbol in enumerate(block):
+            at[symbol] = at.get(symbol, 0) | 1 << i
+        size = len(block)
+        ones, lowest = (1 << size) - 1, size - 1
+        up, down = ones, 0
+        for j, symbol in enumerate(b):
+            equal, above = at.get(symbol, 0), border[j]
+            level = equal | down
+            if above < 0:
+                equal |= 1
+            free = ((((equal & up) + up) ^ up) | equal) & ones
+            right_up, right_down = down | (ones ^ (free | up)), up & free
+            border[j] = (right_up >> lowest) - (right_down >> lowest)
+            right_up, right_down = right_up << 1 & ones, right_down << 1 & ones
+            if above > 0:
+                right_up |= 1
+            elif above < 0:
+                right_down |= 1
+            up, down = right_down | (ones ^ (level | right_up)), right_up & level
+    return len(a) + sum(border)
 
-        return F.levenshtein(as_text(ref), as_text(hyp))
 
-    pair = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
-    return bound(pair, lambda p: bound(F.array_distinct(F.concat(p["r"], p["h"])),
-                                       lambda known: distance(p["r"], p["h"], known)))
+@F.pandas_udf(T.IntegerType())
+def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Word edit distance of two texts; null counts as no words."""
+    return pd.Series([edit_distance((r or "").split(), (h or "").split()) for r, h in zip(reference, hypothesis)], dtype="int32")
 
 
-def char_edits(reference: Column, hypothesis: Column) -> Column:
-    return F.levenshtein(F.replace(reference, F.lit(" "), F.lit("")),
-                         F.replace(hypothesis, F.lit(" "), F.lit("")))
+@F.pandas_udf(T.IntegerType())
+def char_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distance in code points, spaces left out; null counts as empty."""
+    return pd.Series([edit_distance((r or "").replace(" ", ""), (h or "").replace(" ", "")) for r, h in zip(reference, hypothesis)], dtype="int32")
 
 
 def repetition_rate(text: Column, n: int = 4) -> Column:

@@ -36,14 +36,24 @@ def pair_rates(pairs: DataFrame) -> DataFrame:
         "cer", rate("char_edits", "ref_chars"))
 
 
-def score_backends(samples: DataFrame, outputs: DataFrame) -> DataFrame:
+def score_backends(samples: DataFrame, outputs: DataFrame, backends: Sequence[str] | None = None) -> DataFrame:
     """Corpus wer and cer per backend: total edits over total reference units.
 
+    ``backends`` names those that were asked; one that answered nothing at all is reported too, with every
+    sample failed, and rows of others are left out. Without it the backends are those with rows.
     A sample that a backend has no row for, or no text, has failed: it is counted and not scored. Empty
     text is a fully wrong answer. A backend without scored samples has null rates; one whose
     references are all empty stops the job. ``outputs`` has one row per sample and backend at most.
     """
-    edits = edit_counts(outputs.join(samples, "sample_id"))
+    answers = outputs.join(samples, "sample_id")
+    if backends is not None:
+        if not backends:
+            raise ValueError("no backends to score")
+        kind = outputs.schema["backend"].dataType
+        asked = samples.sparkSession.range(1).select(
+            F.explode(F.array_distinct(F.array(*[F.lit(b).cast(kind) for b in backends]))).alias("backend"))
+        answers = asked.join(answers, "backend", "left")
+    edits = edit_counts(answers)
     every = samples.select(F.count(F.lit(1))).scalar()
     answered = F.col("hypothesis").isNotNull()
     scored = F.count_if(answered)
@@ -153,15 +163,28 @@ def attempts(clips: DataFrame, contenders: Sequence[str], outputs: DataFrame) ->
 def agreement(rows: DataFrame) -> DataFrame:
     """Mean word overlap of each row with the other contenders of its clip; null if alone.
 
-    (clip_id, label) is unique, so a clip has at most as many rows as there are contenders
-    and the self join stays linear in the rows.
+    Texts are not met in pairs of rows: each word of a clip is listed once with the contenders that say it,
+    pairs of contenders are counted over these lists, and what both say follows from the counts. A list is no
+    longer than there are contenders. Of several rows of one (clip_id, label) the words of the least text
+    stand for all, so a doubled row changes nothing.
     """
-    bags = rows.select("clip_id", "label", F.array_distinct(tx.words(F.col("text"))).alias("bag"))
-    other = bags.select("clip_id", F.col("label").alias("o_label"), F.col("bag").alias("o_bag"))
-    means = (bags.join(other, "clip_id").filter(F.col("label") != F.col("o_label"))
-             .groupBy("clip_id", "label")
-             .agg(F.avg(tx.word_overlap(F.col("bag"), F.col("o_bag"))).alias("agreement")))
-    return rows.join(means, ["clip_id", "label"], "left")
+    key = ["clip_id", "label"]
+    texts = rows.groupBy(*key).agg(F.min(F.coalesce("text", F.lit(""))).alias("_text"))
+    bags = texts.select(*key, F.array_distinct(tx.words(F.col("_text"))).alias("_bag"))
+    said = (bags.select(*key, F.explode("_bag").alias("_word")).groupBy("clip_id", "_word")
+            .agg(F.array_sort(F.collect_list("label")).alias("_by")))
+    pair = F.flatten(F.transform("_by", lambda a: F.transform(F.filter("_by", lambda b: b != a), lambda b: F.struct(
+        a.alias("label"), b.alias("_other")))))
+    shared = (said.filter(F.size("_by") > 1).select("clip_id", F.inline(pair)).groupBy("clip_id", "label", "_other")
+              .agg(F.count(F.lit(1)).alias("_shared")))
+    sizes = bags.select(*key, F.size("_bag").alias("_size"))
+    line_up = sizes.groupBy("clip_id").agg(F.collect_list(F.struct(F.col("label").alias("_other"), F.col("_size").alias("_o_size"))).alias("_all"))
+    pairs = sizes.join(line_up, "clip_id").select(*key, "_size", F.inline("_all")).filter(F.col("label") != F.col("_other"))
+    both = F.coalesce("_shared", F.lit(0))
+    either = F.col("_size") + F.col("_o_size") - both
+    means = (pairs.join(shared, [*key, "_other"], "left").groupBy(*key)
+             .agg(F.avg(F.when(either > 0, both / either).otherwise(0.0)).alias("agreement")))
+    return rows.join(means, key, "left")
 
 
 def rank_contenders(rows: DataFrame) -> DataFrame:

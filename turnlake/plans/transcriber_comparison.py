@@ -24,6 +24,6 @@ def ranking(rows: DataFrame, **kwargs) -> DataFrame:
     return scoring.rank_contenders(bakeoff(rows, **kwargs))
 
 
-def benchmark(samples: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Corpus error rates per backend, best first."""
-    return scoring.rank_backends(scoring.score_backends(samples, outputs))
+def benchmark(samples: DataFrame, outputs: DataFrame, backends: Sequence[str] | None = None) -> DataFrame:
+    """Corpus error rates per backend, best first; of the backends asked, if they are named."""
+    return scoring.rank_backends(scoring.score_backends(samples, outputs, backends))
