@@ -548,6 +548,29 @@ def timeline_tiling(c):
     return c.analysis.timeline.select("session_id", "segment_ix", "start", "end", "kind", "rms_db")
 
 
+#: Blocks of 64 samples out of the vectors, 20 recordings at 8 samples a second.
+_SAMPLED = """select t.session_id, t.segment_ix, x::double as x, w.first + i - floor(t.start * 8)::bigint as i
+from tiles t join (select vec_id % 20 as session_id, (vec_id // 20) * 64 as first, unnest(range(64)) as i, unnest(embedding) as x from embeddings) w
+  on w.session_id = t.session_id and w.first + i >= floor(t.start * 8) and w.first + i < floor(t."end" * 8)"""
+
+
+_SPECTRUM = f"""select session_id, segment_ix, k, greatest(power(sum(y * cos(2 * pi() * ((k * i) % n) / n)), 2) + power(sum(y * sin(2 * pi() * ((k * i) % n) / n)), 2), 1e-12::double) as p
+from (select *, x * (0.5::double - 0.5::double * cos(2 * pi() * i / (n - 1))) as y, unnest(range(1, n // 2 + 1)) as k from (
+  select *, count(*) over (partition by session_id, segment_ix) as n from ({_SAMPLED})) where n >= 32) group by 1, 2, 3"""
+
+
+@query(f"""select t.session_id, t.segment_ix, round(coalesce(rms_db, -120), 6) as rms_db, round(coalesce(flatness, 0), 6) as flatness
+from tiles t
+left join (select session_id, segment_ix, 20 * log10(greatest(sqrt(avg(x * x)), 1e-12::double)) as rms_db from ({_SAMPLED}) group by 1, 2) using (session_id, segment_ix)
+left join (select session_id, segment_ix, exp(avg(ln(p))) / avg(p) as flatness from ({_SPECTRUM}) group by 1, 2) using (session_id, segment_ix)""")
+def tile_samples(c):
+    """Loudness and flatness from the samples themselves, the spectrum being that of the whole tile."""
+    waves = c.table("embeddings").select((F.col("vec_id") % 20).alias("session_id"),
+                                         (F.floor(F.col("vec_id") / 20) * 64).alias("first"), F.col("embedding").alias("samples"))
+    tiles = c.analysis.timeline.select("session_id", "segment_ix", "start", "end")
+    return iv.measured_samples(tiles, waves, 8).select("session_id", "segment_ix", F.round("rms_db", 6).alias("rms_db"), F.round("flatness", 6).alias("flatness"))
+
+
 _FRAMES = """select vec_id % 20 as session_id, (vec_id // 20) * 2.5::double as at, list_transform(embedding, lambda x: x::double * x::double) as p
 from embeddings"""
 
@@ -869,14 +892,22 @@ def transcript_signals(c):
 
 @query("""select doc_id, true as within_bounds, true as loop_alarm, 0.0::double as of_nothing from documents where text <> ''""")
 def compression_bounds(c):
-    """gzip adds at most 18 bytes and 5 a block of 16 KB, and saves at most a factor of 1032; a text said 200 times loops."""
+    """gzip adds at most 18 bytes and 5 a block of 16 KB, and saves at most a factor of 1032.
+
+    A text said again and again loops, if it repeats within the 32 KB that gzip looks back. So each whole text is
+    cut into pieces of at most 2,000 characters, and the alarm must ring for every one of them said 200 times.
+    """
     text, n = F.col("text"), F.octet_length("text")
     ratio = tx.compression_ratio(text)
-    looping = scoring.looping_alarm()
-    rows = c.table("documents").repartition("doc_id").filter("text <> ''").select(
-        "doc_id", ((ratio <= 1032.0) & (ratio >= n / (n + 18.0 + 5.0 * F.ceil(n / 16000.0)))).alias("within_bounds"),
-        tx.compression_ratio(F.repeat(F.substring(text, 1, 2000), 200)).alias("compression_ratio"), tx.compression_ratio(F.lit("")).alias("of_nothing"))
-    return rows.select("doc_id", "within_bounds", looping.alias("loop_alarm"), "of_nothing")
+    docs_ = c.table("documents").repartition("doc_id").filter("text <> ''")
+    whole = docs_.select("doc_id", ((ratio <= 1032.0) & (ratio >= n / (n + 18.0 + 5.0 * F.ceil(n / 16000.0)))).alias("within_bounds"))
+    cuts = F.sequence(F.lit(0), F.ceil(F.length(text) / 2000).cast("int") - 1)
+    piece = F.col("piece")
+    looped = docs_.select("doc_id", F.explode(F.transform(cuts, lambda i: F.substr(text, i * 2000 + 1, F.lit(2000)))).alias("piece")).select(
+        "doc_id", tx.compression_ratio(F.repeat(piece, 200)).alias("compression_ratio"), tx.compression_ratio(F.lit("")).alias("_nothing"))
+    rows = looped.select("doc_id", scoring.looping_alarm().alias("_rings"), "_nothing").groupBy("doc_id").agg(
+        F.bool_and("_rings").alias("loop_alarm"), F.max("_nothing").alias("of_nothing"))
+    return whole.join(rows, "doc_id").select("doc_id", "within_bounds", "loop_alarm", "of_nothing")
 
 
 _CLAMP = "greatest(0::double, least(1::double, {0}))"
@@ -955,6 +986,15 @@ def backend_scores(c):
     return scoring.score_backends(_samples(c), _outputs(c)).select("backend", "scored", "failed", "wer", "elapsed_sec")
 
 
+@query(f"""select n as backend, coalesce(scored, 0) as scored, coalesce(failed, (select count(*) from benchmark)) as failed, wer,
+  row_number() over (order by wer asc nulls last, n)::int as position
+from (select unnest(['as_is', 'dropped', 'mute']) as n) left join ({_SCORES}) on backend = n""")
+def asked_backends(c):
+    """Three backends were asked: two with rows, one that answered nothing at all."""
+    return compare.benchmark(_samples(c), _outputs(c), ["as_is", "dropped", "mute", "mute"]).select(
+        "backend", "scored", "failed", "wer", "position")
+
+
 @query(f"select backend, scored, failed, wer from ({_SCORES})")
 def score_export(c):
     """Scores written as rows and read again, as a report does."""
@@ -1136,6 +1176,15 @@ def set_agreement(c):
     return texts.select("item_id", F.round(tx.mean_agreement(F.col("texts")), 9).alias("agreement"))
 
 
+@query(f"select clip_id, label, round(agreement, 9) as agreement, 2 as copies from ({_AGREE}) cross join range(2)")
+def doubled_agreement(c):
+    """Every row twice: the agreement of a contender is what it is without the copies."""
+    once = _bakeoff_input(c).filter("text is not null")
+    rows = scoring.agreement(once.unionByName(once))
+    copies = rows.groupBy("clip_id", "label").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return rows.join(copies, ["clip_id", "label"]).select("clip_id", "label", F.round("agreement", 9).alias("agreement"), "copies")
+
+
 @query("""select session_id, case when m2 is null then 'unknown' when m2 < 1 then 'low' when m2 > 6 then 'high' else 'normal' end as band from vals""")
 def banding(c):
     return c.analysis.values.select("session_id", numbers.band(F.col("m2"), 1.0, 6.0).alias("band"))

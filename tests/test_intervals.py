@@ -96,3 +96,31 @@ def test_tiles_measured_from_frames(spark):
                                    "session_id long, at double, samples int, energy double, bins int, power double, log_power double")
     got = {(r.session_id, r.segment_ix): (round(r.rms_db, 6), round(r.flatness, 6)) for r in iv.measured(tiles, frames).collect()}
     assert got == {(0, 0): (round(20 * math.log10(math.sqrt(0.5)), 6), round(math.sqrt(3.0) / 2.0, 6)), (0, 1): (-240.0, 0.0), (1, 0): (-120.0, 0.0)}
+
+
+def test_tiles_measured_from_samples(spark):
+    import numpy as np
+
+    from turnlake.functions.signal import FLOOR
+    rng = np.random.default_rng(5)
+    wave = (rng.standard_normal(5000) * 0.1 + np.sin(np.arange(5000) / 3)).astype("float32")
+    wave[1000:1200] = 0.0
+    cuts = [0, 700, 701, 1500, 4096, 5000]
+    blocks = [(0, a, wave[a:b].tolist()) for a, b in zip(cuts, cuts[1:])] + [(0, 9000, []), (2, 0, None), (3, 0, [None, 0.5])]
+    waves = spark.createDataFrame(blocks, "session_id long, first long, samples array<float>")
+    # A long tile, a silent one, one of 9 samples, one past the recording, one between samples, one of another session.
+    spans = [(0, 0, 0.0, 38.07), (0, 1, 100.0, 120.0), (0, 2, 12.34, 13.25), (0, 3, 490.0, 505.0), (0, 4, 600.0, 700.0),
+             (0, 5, 3.01, 3.09), (1, 0, 0.0, 5.0), (2, 0, 0.0, 1.0), (3, 0, 0.0, 1.0)]
+    tiles = spark.createDataFrame(spans, "session_id long, segment_ix int, start double, end double")
+    got = {(r.session_id, r.segment_ix): (r.rms_db, r.flatness) for r in iv.measured_samples(tiles, waves, 10).collect()}
+    assert len(got) == len(spans)
+    for sid, ix, start, end in spans:
+        own = {0: wave, 3: np.array([0.0, 0.5])}.get(sid, np.zeros(0))[int(start * 10):int(end * 10)].astype("float64")
+        db, flat = -120.0, 0.0
+        if len(own):
+            db = 20 * np.log10(max(np.sqrt(np.mean(own ** 2)), FLOOR))
+        if len(own) >= 32:
+            power = np.maximum((np.abs(np.fft.rfft(own * np.hanning(len(own)))) ** 2)[1:], FLOOR)
+            flat = 0.0 if not own.any() else np.exp(np.log(power).mean()) / power.mean()
+        assert got[sid, ix] == (pytest.approx(db), pytest.approx(flat))
+    assert [r.rms_db for r in iv.measured_samples(tiles, waves.limit(0), 10).collect()] == [-120.0] * len(spans)
