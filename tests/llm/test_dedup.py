@@ -113,6 +113,31 @@ def test_null_and_repeated_ids(spark):
     assert got == [("3", 0), ("3", 0), ("5", len(text.split())), ("7", 0), ("None", 0)]
 
 
+def test_repeated_ids_with_other_texts(spark, words):
+    """Every text of an id is a document: one at the place of the id, the others behind all, in the order of id and hash."""
+    draw = random.Random(11)
+    given = [(draw.randrange(12), t) for t in words for _ in range(draw.choice([1, 1, 2]))] + [(None, words[0]), (3, None), (40, words[1])]
+    rows = spark.createDataFrame(given, "doc_id long, text string")
+    digest = {r.text: r.h for r in rows.selectExpr("text", "xxhash64(text) as h").collect()}
+    several = {d: sorted({t for e, t in given if e == d and t is not None}, key=digest.get) for d in {d for d, _ in given if d is not None}}
+    ordered = [(d, several[d][0]) for d in sorted(several)] + [(d, t) for d in sorted(several) for t in several[d][1:]]
+    for run, define, size, columns in (
+            (suffix_dedup.deduplicated, bytes_by_definition, 100, ("n_bytes", "n_removed", "n_spans", "kept_sha256")),
+            (parsing_dedup.deduplicated, words_by_definition, 13, ("n_words", "n_removed", "kept_sha256"))):
+        wanted = dict(zip(ordered, define(list(enumerate(t for _, t in ordered)), size).values()))
+        alone = lambda t: define([(0, t)], size)[0] if t is None else (
+            len(t.encode()) if size == 100 else len(t.encode().split()), 0, *((0,) * (size == 100)), sha(t.encode() if size == 100 else b" ".join(t.encode().split())))
+        expected = sorted(str((d, *(wanted[d, t] if (d, t) in wanted else alone(t)))) for d, t in given)
+        got = run(rows).select("doc_id", *columns).collect()
+        assert sorted(str(tuple(r)) for r in got) == expected
+
+
+def test_windows_that_do_not_fit_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        suffix_dedup.deduplicated(rows, window=287)
+
+
 def test_kept_text_is_text(spark):
     text = "".join(map(chr, range(192, 272)))
     # Ā and À share their second byte, so the cut goes through a character.

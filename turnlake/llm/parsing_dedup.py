@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnlake.llm import windows as w
 from turnlake.llm.common import runs_of_rows, text_bytes
@@ -128,10 +129,15 @@ def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False) ->
     A word goes if ``window`` words around it also start in a document with a smaller doc_id; what a
     document repeats of itself stays. Words are compared by 64-bit hashes. ``docs`` needs doc_id (a
     whole number) and text; other columns are ignored. Null text has no words. A row with a null doc_id is
-    returned as it is and removes nothing. Rows that repeat a doc_id are the same document: none
-    removes the other, and each loses what the others lose.
+    returned as it is and removes nothing. Rows that repeat a doc_id and its text are the same document: none
+    removes the other, and each loses what the others lose. Rows that repeat a doc_id with another text are
+    documents of their own: the text with the least 64-bit hash stands at the place of doc_id, the others come
+    behind all documents. An empty table gives an empty one. Texts of any length are cut into stretches, so
+    only reading a text takes memory of its size.
     """
-    spans = w.repeated_spans(docs, words_of(window), lambda block: judge(block, window), "parsing")
+    docs = w.keyed(docs.select("doc_id", "text"), "parsing")
+    spans = w.repeated_spans(docs.select(F.col("_key").alias("doc_id"), "text"), words_of(window), lambda block: judge(block, window), "parsing")
+    spans = spans.withColumnRenamed("doc_id", "_key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,4 +164,4 @@ def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", clean_text string" * with_text
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(finish, schema)
+    return docs.join(spans, "_key", "left").mapInArrow(finish, schema)

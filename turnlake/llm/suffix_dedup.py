@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnlake.llm import windows as w
 from turnlake.llm.common import text_bytes
@@ -157,10 +158,15 @@ def deduplicated(docs: DataFrame, window: int = 100, with_text: bool = False, ca
     A byte goes if some ``window`` bytes around it also start earlier: in a document with a smaller
     doc_id, or earlier in the same. ``docs`` needs doc_id (a whole number) and text; other columns
     are ignored. Null text is empty. A row with a null doc_id is returned as it is and removes nothing.
-    Rows that repeat a doc_id are taken as the same document at the same places: none removes the other,
-    and each loses what the others lose. clean_text leaves out characters that the cut broke.
+    Rows that repeat a doc_id and its text are taken as the same document at the same places: none removes
+    the other, and each loses what the others lose. Rows that repeat a doc_id with another text are documents
+    of their own: the text with the least 64-bit hash stands at the place of doc_id, the others come behind
+    all documents. An empty table gives an empty one. Texts of any length are cut into stretches, so only
+    reading a text takes memory of its size. clean_text leaves out characters that the cut broke.
     """
-    spans = w.repeated_spans(docs, bytes_of(window), lambda block: judge(block, window), "suffix")
+    docs = w.keyed(docs.select("doc_id", "text", *carry), "suffix")
+    spans = w.repeated_spans(docs.select(F.col("_key").alias("doc_id"), "text"), bytes_of(window), lambda block: judge(block, window), "suffix")
+    spans = spans.withColumnRenamed("doc_id", "_key")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,4 +200,4 @@ def deduplicated(docs: DataFrame, window: int = 100, with_text: bool = False, ca
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text
     schema += "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in carry)
-    return docs.select("doc_id", "text", *carry).join(spans, "doc_id", "left").mapInArrow(finish, schema)
+    return docs.join(spans, "_key", "left").mapInArrow(finish, schema)

@@ -300,12 +300,38 @@ def frequent_grams(docs: DataFrame, cells: Cells, one_in: int = 64, share: float
     return table
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_key``, one whole number per document, in the order of doc_id.
+
+    That is doc_id, but for rows that repeat a doc_id with another text. Of the texts of one doc_id the one
+    with the least 64-bit hash stands at the place of doc_id; the others are documents behind all the rest,
+    in the order of doc_id and hash. Rows with the same doc_id and text are one document. Where no doc_id
+    repeats, which its column alone shows, nothing else is read.
+    """
+    docs = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    ids = settled(docs.filter("_key is not null").groupBy("_key").count().filter(F.col("count") > 1).select("_key"), f"{name}-ids")
+    if ids.isEmpty():
+        return docs
+    digest = F.xxhash64("text")
+    texts = settled(docs.filter("text is not null").select("_key", digest.alias("_digest")).join(ids, "_key", "left_semi").distinct(), f"{name}-texts")
+    first = texts.groupBy("_key").agg(F.min("_digest").alias("_first"))
+    behind = F.lit(docs.agg(F.max("_key")).first()[0]) + 1
+    # The numbers follow the order of the sorted rows; written, they stay as they are.
+    others = settled(texts.join(first, "_key").filter("_digest <> _first").orderBy("_key", "_digest").select(
+        "_key", "_digest", (behind + F.monotonically_increasing_id()).alias("_other")), f"{name}-others")
+    marked = docs.withColumn("_digest", F.when(F.col("text").isNotNull(), digest)).join(others, ["_key", "_digest"], "left")
+    return marked.withColumn("_key", F.coalesce("_other", "_key")).drop("_digest", "_other")
+
+
 def repeated_spans(docs: DataFrame, cells: Cells, judge: Callable[[dict], tuple], name: str) -> DataFrame:
     """doc_id and spans (array of start, end in cells; unmerged) covered by repeated windows.
 
     ``judge`` gets the stretches of one block of a shard (doc, start, n, their cells on end, where each
-    begins) and returns (doc, start, end) of what is repeated there.
+    begins) and returns (doc, start, end) of what is repeated there. Rows of one doc_id must have one text
+    (see ``keyed``).
     """
+    if cells.window - cells.gram + 1 > 255:
+        raise ValueError(f"windows have at most {cells.gram + 254} cells for grams of {cells.gram}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     frequent = frequent_grams(docs, cells)
     wide_row = cells.window - 1
