@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from turnlake.llm import quality_model, toxicity
+from turnlake.llm import labelled, quality_model, toxicity
 
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "mi") for b in ("tan", "rel", "sor", "") for c in ("d", "ning", "s", "a")]
 
@@ -83,6 +84,67 @@ def test_block_max_search_is_exact():
         assert len(near) == len(wanted)
 
 
+def test_terms_do_not_depend_on_the_texts_beside():
+    texts = ["bad rotter", "rotten apples", "", None, "x", "y", " led", "été", "à", "end"]
+    beginnings = toxicity.Settings().beginnings
+    for one in (lambda ts: [(int(r), int(t)) for row, term in toxicity.terms(pa.array(ts, pa.string()), beginnings) for r, t in zip(row, term)],
+                lambda ts: list(zip(*(x.tolist() for x in quality_model.indicators(pa.array(ts, pa.string())))))):
+        alone = [(i, t) for i, text in enumerate(texts) for _, t in one([text])]
+        assert sorted(one(texts)) == sorted(alone)
+
+
+def test_scores_are_votes_of_the_plain_nearest_neighbours(spark):
+    """Counts, rarities, cosines, neighbours and votes by their definitions, over the terms the operator chose."""
+    docs, labels, rows, _ = corpus(spark, 400)
+    settings = toxicity.Settings(neighbours=5, block=8)
+    sample = labelled.sample(docs, labels, "toxic", settings.folds, settings.fold, settings.per_class)
+    chosen = toxicity.chosen_terms(sample, settings)
+    _, judge = toxicity.fit(docs, labels, settings)
+    assert len(chosen) and judge.background in [b * 5 for b in settings.backgrounds]
+
+    def counts(text):
+        found = [t for _, ts in toxicity.terms(pa.array([text], pa.string()), settings.beginnings) for t in ts]
+        return np.array([found.count(t) for t in chosen], dtype=float)
+
+    table = {text: counts(text) for text in {r[1] for r in rows}}
+    rarity = np.log((1 + len(rows)) / (1 + sum((table[r[1]] > 0).astype(float) for r in rows))) + 1
+
+    def vector(text):
+        n = table[text]
+        v = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0.0) * rarity
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    examples = {r.doc_id: (r.text, r.label) for r in sample.collect()}
+    ids = judge.index.ids
+    assert sorted(ids) == sorted(examples)
+    dense = np.array([vector(examples[i][0]) for i in ids])
+    label = np.array([examples[i][1] for i in ids], dtype=float)
+    expected = {}
+    for doc, text, *_ in rows:
+        similarity = dense @ vector(text)
+        near = [i for i in np.argsort(-similarity.round(9), kind="stable")[:5] if similarity[i] > 0]
+        weight = similarity[near] / (1 - np.minimum(similarity[near], 0.99))
+        vote = ((weight * label[near]).sum() + judge.background * judge.otherwise) / (weight.sum() + judge.background)
+        expected.setdefault(doc, 1 / (1 + np.exp(-(judge.a * (vote - 0.5) + judge.b))) if near else judge.otherwise)
+    for r in toxicity.scored(docs, labels, settings).collect():
+        assert r.score == pytest.approx(expected[r.doc_id], abs=1e-9), r.doc_id
+
+
+def test_background_is_the_one_that_fits_left_out_votes():
+    """Neighbours that are right ask for little background, far ones that are wrong for much."""
+    index = toxicity.BlockMaxIndex(list(range(20)), np.arange(20) % 2.0, [(np.array([i % 2]), np.array([1.0])) for i in range(20)], np.ones(2), 4)
+    settings = toxicity.Settings(neighbours=3)
+    number = {kind: np.flatnonzero(index.label == kind)[:3] for kind in (0.0, 1.0)}
+    label = np.arange(40) % 2.0
+    near = [(number[y], np.full(3, 0.9)) for y in label]
+    far = [(number[1 - y], np.full(3, 0.05)) if i < 12 else (number[y], np.full(3, 0.9)) for i, y in enumerate(label)]
+    right = toxicity.likeliest(index, settings, 0.5, near, label, np.ones(40))
+    mixed = toxicity.likeliest(index, settings, 0.5, far, label, np.ones(40))
+    assert right.background < mixed.background
+    none = toxicity.likeliest(index, settings, 0.5, [], np.zeros(0), np.zeros(0))
+    assert none.background == settings.backgrounds[-1] * 3
+
+
 def test_dual_descent_reaches_the_optimum():
     draw = np.random.default_rng(0)
     x, y = draw.normal(size=(60, 4)), None

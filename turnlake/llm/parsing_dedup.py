@@ -33,12 +33,7 @@ def word_cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = [], [np.zeros(1, np.int64)]
     for a, b in runs_of_rows(first, 1 << 21):
         part = data[first[a]:first[b]]
-        begins, ends = w.word_bounds(part)
-        # A word that runs on from one text into the next is two words.
-        edges = first[a + 1:b] - first[a]
-        split = edges[(edges > 0) & (edges < len(part))]
-        split = np.unique(split[~w.SPACE[part[split]] & ~w.SPACE[part[split - 1]]])
-        begins, ends = np.sort(np.concatenate((begins, split))), np.sort(np.concatenate((ends, split)))
+        begins, ends = w.word_bounds(part, first[a + 1:b] - first[a])
         hashes.append(w.word_hashes(part, begins, ends))
         counts.append(np.diff(np.searchsorted(begins, first[a:b + 1] - first[a])))
     return (np.concatenate(hashes) if hashes else np.zeros(0, U)), np.cumsum(np.concatenate(counts))

@@ -79,7 +79,7 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for a, b in runs_of_rows(first, 1 << 20):
         part = _LOWER[data[first[a]:first[b]]]
         raw = data[first[a]:first[b]]
-        begins, ends = w.word_bounds(part)
+        begins, ends = w.word_bounds(part, first[a + 1:b] - first[a])
         if not len(begins):
             continue
         rows = np.searchsorted(first[a + 1:b + 1] - first[a], begins, side="right")

@@ -46,6 +46,9 @@ class Settings:
     #: Lengths in bytes of the word beginnings that are terms of their own.
     beginnings: tuple[int, ...] = (4, 5, 6)
     threshold: float = 0.7
+    #: Weights that what texts are like without neighbours may have in a vote, per neighbour asked for. The one under
+    #: which the examples' labels are likeliest, each left out of its own vote, is taken.
+    backgrounds: tuple[float, ...] = (0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.4)
 
 
 #: Lower case, and a blank for whatever is neither letter nor digit nor part of a longer character.
@@ -61,7 +64,7 @@ def terms(column: pa.Array, beginnings: tuple[int, ...]) -> Iterator[tuple[np.nd
     data, first = text_bytes(column)
     for a, b in runs_of_rows(first, 1 << 20):
         part = _PLAIN[data[first[a]:first[b]]]
-        begins, ends = w.word_bounds(part)
+        begins, ends = w.word_bounds(part, first[a + 1:b] - first[a])
         if not len(begins):
             continue
         row = np.searchsorted(first[a + 1:b + 1] - first[a], begins, side="right")
@@ -220,15 +223,15 @@ class Judge:
     neighbours: int
     a: float
     b: float
-    #: What documents without any term get.
+    #: What documents without any term get, and its weight in a vote.
     otherwise: float
+    background: float
 
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
         """Share of label 1 among the neighbours, the nearer the heavier. Examples far off say little:
-        a fixed weight for what texts are like without them keeps such votes near that."""
+        a weight for what texts are like without them keeps such votes near that."""
         weight = similarity / (1.0 - np.minimum(similarity, 0.99))
-        background = 0.2 * self.neighbours
-        return float(((weight * self.index.label[near]).sum() + background * self.otherwise) / (weight.sum() + background))
+        return float(((weight * self.index.label[near]).sum() + self.background * self.otherwise) / (weight.sum() + self.background))
 
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.a * (vote - 0.5) + self.b))))
@@ -262,10 +265,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFra
             rows.append(i)
     silent = np.setdiff1d(np.arange(len(label)), rows)
     otherwise = float(((each * label)[silent].sum() + share) / (each[silent].sum() + 1.0))
-    judge = Judge(index, settings.neighbours, 1.0, 0.0, otherwise)
-    votes = np.array([judge.vote(*x) for x in found])
-    a, b = logistic_curve(votes - 0.5, label[rows], each[rows]) if len(votes) else (1.0, 0.0)
-    return vectors, Judge(index, settings.neighbours, a, b, otherwise)
+    return vectors, likeliest(index, settings, otherwise, found, label[rows], each[rows])
+
+
+def likeliest(index: BlockMaxIndex, settings: Settings, otherwise: float, found: list, label: np.ndarray, each: np.ndarray) -> Judge:
+    """The judge under whose background the labels of the examples are likeliest, given their neighbours without them."""
+    best, judge = -np.inf, Judge(index, settings.neighbours, 1.0, 0.0, otherwise, settings.backgrounds[-1] * settings.neighbours)
+    for per_neighbour in settings.backgrounds if found else ():
+        background = per_neighbour * settings.neighbours
+        plain = Judge(index, settings.neighbours, 1.0, 0.0, otherwise, background)
+        votes = np.array([plain.vote(*x) for x in found])
+        a, b = logistic_curve(votes - 0.5, label, each)
+        p = np.clip(1 / (1 + np.exp(-(a * (votes - 0.5) + b))), 1e-12, 1 - 1e-12)
+        fits = float((each * np.where(label == 1, np.log(p), np.log(1 - p))).sum())
+        if fits > best:
+            best, judge = fits, Judge(index, settings.neighbours, a, b, otherwise, background)
+    return judge
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -180,11 +180,15 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word, and the byte behind it."""
+def word_bounds(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte behind it, of texts on end. ``edges`` are where texts begin: a word
+    that runs on from one text into the next is two words."""
     blank = SPACE[data]
     edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    split = edges[(edges > 0) & (edges < len(data))]
+    split = np.unique(split[~blank[split] & ~blank[split - 1]])
+    return np.sort(np.concatenate((begins, split))), np.sort(np.concatenate((ends, split)))
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
