@@ -53,3 +53,18 @@ def test_bounds_stop_early_and_stay_exact():
         assert found[row == q].tolist() == wanted
         seen.append(score[row == q].tolist())
     assert seen[0] == sorted(seen[0], reverse=True)
+
+
+def test_bounds_settle_vectors_without_structure():
+    """Before the lists are read to their ends, and with the exact result."""
+    draw = np.random.default_rng(6)
+    block = np.floor(draw.normal(size=(3000, 64)) * 32)
+    queries, own = block[::100], np.arange(3000)[::100]
+    original, topk_search.DEPTHS = topk_search.DEPTHS, topk_search.DEPTHS[:-1]
+    try:
+        row, found, _ = topk_search.best_of_block(queries, own, block, np.arange(3000), 5)
+    finally:
+        topk_search.DEPTHS = original
+    for q, me in enumerate(own):
+        wanted = sorted((i for i in range(3000) if i != me), key=lambda i: (-(block[i] @ queries[q]), i))[:5]
+        assert found[row == q].tolist() == wanted

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import settled
 
-#: Shares of each list read, one after another.
-DEPTHS = (0.5, 0.8, 1.0)
+#: Shares of each list read, one after another; close together where vectors without structure are settled.
+DEPTHS = (0.5, 0.8, 0.9, 0.95, 1.0)
 
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int,
