@@ -230,6 +230,38 @@ def test_near_duplicates_by_similarity(spark):
     assert by_id(simhash.near_duplicates(rows), "component_id") == {9: (4,), 4: (4,), 11: (4,), 6: (6,), 8: (8,), 20: (20,), 21: (20,)}
 
 
+def test_near_duplicates_take_rows_of_an_id_as_one(spark):
+    draw = random.Random(31)
+    say = lambda: " ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(60))
+    a, b, c = say(), say(), say()
+    rows = spark.createDataFrame([(5, a), (5, b), (3, b), (7, a + " more"), (9, c), (9, c), (11, c + " more"), (12, say())], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    assert got == {(5, 3), (3, 3), (7, 3), (9, 9), (11, 9), (12, 12)}
+
+
+def test_texts_alone_are_told_from_texts_with_a_similar_one(spark):
+    """Copies do not count for each other, a shared passage does not do, and no text with a similar one is alone."""
+    draw = random.Random(37)
+    say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    passage, texts = say(60), {}
+    for i in range(30):
+        base = say(200)
+        texts[4 * i] = texts[4 * i + 1] = " ".join(base + passage)
+        texts[4 * i + 2] = " ".join(base[:100] + say(5) + base[100:]) if i % 2 else " ".join(say(100) + passage + say(100))
+        texts[4 * i + 3] = " ".join(say(draw.randrange(9)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    import numpy as np
+    rows = simhash.shingle_rows(docs, np.zeros(0, np.uint64), 5, 0.8)
+    lonely = {r.mark for r in simhash.alone(rows).collect()}
+    lost = {r.doc_id for r in rows.collect() if r.mark in lonely}
+    wanted = components_by_brute_force({i: t for i, t in texts.items()})
+    sets = {i: frozenset(shingles_of(t)) for i, t in texts.items()}
+    similar = {i for i in texts for j in texts if sets[i] != sets[j] and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    long = {4 * i + k for i in range(1, 30, 2) for k in range(3)}
+    assert not lost & similar and long <= lost and not long & similar
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == wanted
+
+
 def shingles_of(text):
     words = text.split()
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

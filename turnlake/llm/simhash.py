@@ -287,14 +287,24 @@ def frequent_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int =
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, their number, and keys, the set's prefix."""
-    frequent = frequent_shingles(docs, width)
+def among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which ``values`` the sorted ``ranked`` holds."""
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values if len(ranked) else np.zeros(len(values), bool)
+
+
+#: The part of all shingles, told by their hash, that are counted to see which texts stand alone.
+COUNTED = 0.375
+
+
+def shingle_rows(docs: DataFrame, frequent: np.ndarray, width: int, similarity: float, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, slack (how many of them a similar
+    text may lack) and cells, those to be counted: the part COUNTED without the frequent ones."""
+    bound = np.uint64(int(COUNTED * 2 ** 64))
 
     @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, marks, counts, keys = [], [], [], [np.zeros(0, np.uint64)]
+            prints, marks, slack, cells = [], [], [], [np.zeros(0, np.uint64)]
             for text in batch.column("text"):
                 own = shingle_set(text.as_py() or "", width, seed)
                 total = np.zeros(64, np.int64)
@@ -302,19 +312,66 @@ def prefixes(docs: DataFrame, width: int, similarity: float, seed: int = 42) ->
                     total += _bit_sums(own[i:i + SHINGLES_AT_ONCE], [len(own[i:i + SHINGLES_AT_ONCE])])[0]
                 prints.append(np.packbits(2 * total > len(own)).view(">u8")[0])
                 marks.append((own ^ (own >> np.uint64(31))).sum(dtype=np.uint64))
-                counts.append(len(own))
-                if len(frequent):
-                    common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-                    own = np.concatenate((own[~common], own[common]))
-                keys.append(own[:prefix_length(len(own), similarity)] if len(own) else own)
-            sizes = np.cumsum([len(k) for k in keys]).astype(np.int32)
+                slack.append(prefix_length(len(own), similarity) - 1)
+                own = own[:np.searchsorted(own, bound)]
+                cells.append(own[~among(own, frequent)])
+            sizes = np.cumsum([len(c) for c in cells]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys).view(np.int64)))],
-                ["doc_id", "fingerprint", "mark", "size", "keys"])
+                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(slack, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cells).view(np.int64)))],
+                ["doc_id", "fingerprint", "mark", "slack", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, size long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, slack long, cells array<long>")
+
+
+def alone(rows: DataFrame) -> DataFrame:
+    """Marks of texts that no other text is similar to: more of their shingles are in no other text than ``slack`` allows.
+
+    Which shingles are counted depends on the shingle only, so both sides of a pair count the same ones, and a lack among
+    them is a lack of the whole. Frequent shingles are taken as held by others; what is shuffled is in few texts.
+    Copies have one mark and do not count for each other.
+    """
+    one = Window.partitionBy("shingle")
+    cells = rows.select("mark", "slack", F.size("cells").alias("m"), F.explode("cells").alias("shingle"))
+    lacking = (F.min("mark").over(one) == F.max("mark").over(one)).cast("long")
+    # Each of a mark's copies brings its m cells.
+    return cells.select("mark", "slack", "m", lacking.alias("lack")).groupBy("mark").agg(
+        F.sum("lack").alias("lack"), F.count(F.lit(1)).alias("n"), F.min("slack").alias("slack"), F.min("m").alias("m")).filter(
+        "lack * m > slack * n").select("mark")
+
+
+def shingle_sets(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """``items`` (item) with size and body, the sorted shingles."""
+    texts = docs.select("doc_id", "text").join(items, F.col("doc_id") == F.col("item")).select("item", "text")
+
+    @tidy
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                bodies = [shingle_set(text.as_py() or "", width) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("item"), pa.array([len(b) for b in bodies], pa.int64()),
+                                                  pa.array([b.tobytes() for b in bodies], pa.binary())], ["item", "size", "body"])
+
+    return texts.mapInArrow(sets, "item long, size long, body binary")
+
+
+def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """item, size and shard, one row for each shingle of the set's prefix."""
+    @tidy
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.zeros(0, np.uint64)]
+            for body in batch.column("body"):
+                own = np.frombuffer(body.as_py(), np.uint64)
+                common = among(own, frequent)
+                keys.append(np.concatenate((own[~common], own[common]))[:prefix_length(len(own), similarity) if len(own) else 0])
+            n = [len(k) for k in keys[1:]]
+            item, size = (np.repeat(column(pa.Table.from_batches([batch]), name), n) for name in ("item", "size"))
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(size), pa.array(np.concatenate(keys).view(np.int64))], ["item", "size", "shard"])
+
+    return sets.mapInArrow(of, "item long, size long, shard long")
 
 
 def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, similarity: float) -> np.ndarray:
@@ -405,20 +462,25 @@ def whole_shards(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar items. ``keys``: item, size and shard, its prefix.
-
-    Similar sets are of similar size, so in each shard items are tied to the next smaller one if that is near enough.
-    Tied items form clusters, and each goes to the place of its cluster once with its set. Clusters
-    of more than CLUSTER_ITEMS go by their shards instead: one place for each shard, of shards with the same items one.
-    """
+def tied(keys: DataFrame, similarity: float) -> DataFrame:
+    """Items and shards where a neighbour by size is near enough to be similar; before: the next smaller item, if that is."""
     met = keys.groupBy("shard").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
     by_size = Window.partitionBy("shard").orderBy("size", "item")
     near = lambda small, big: F.coalesce(small >= similarity * big - 1e-9, F.lit(False))
-    ties = keys.join(met.select("shard"), "shard").select(
+    return keys.join(met.select("shard"), "shard").select(
         "item", "shard", F.lag("item").over(by_size).alias("before"), near(F.lag("size").over(by_size), F.col("size")).alias("down"),
-        near(F.col("size"), F.lead("size").over(by_size)).alias("up")).filter("down or up")
-    ties = settled(ties.select("item", "shard", F.when(F.col("down"), F.col("before")).alias("before")), "ties")
+        near(F.col("size"), F.lead("size").over(by_size)).alias("up")).filter("down or up").select(
+        "item", "shard", F.when(F.col("down"), F.col("before")).alias("before"))
+
+
+def similar_links(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar items of ``sets``.
+
+    Similar sets share a shard, a shingle of their prefixes, and are of similar size, so in each shard items are tied to the next
+    smaller one if that is near enough. Tied items form clusters, and each goes to the place of its cluster once with its set. Clusters
+    of more than CLUSTER_ITEMS go by their shards instead: one place for each shard, of shards with the same items one.
+    """
+    ties = settled(tied(prefixes(sets, frequent, similarity), similarity), "ties")
     roots = components(ties.filter("before is not null").select(F.col("item").alias("a"), F.col("before").alias("b")))
     large = settled(roots.groupBy("root").count().filter(F.col("count") > CLUSTER_ITEMS).select("root"), "large-clusters")
     small = roots.join(large, "root", "left_anti").select(F.col("node").alias("item"), F.array("root").alias("shards"))
@@ -430,18 +492,7 @@ def similar_links(docs: DataFrame, keys: DataFrame, width: int, similarity: floa
         F.min("shard").alias("shard")).select("shard")
     split = inside.join(kept, "shard").groupBy("item").agg(F.collect_set("shard").alias("shards"))
     wanted = settled(small.unionByName(split), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("item")).select("item", "text", "shards")
-
-    @tidy
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                bodies = [shingle_set(text.as_py() or "", width).tobytes() for text in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("item"), part.column("shards"), pa.array(bodies, pa.binary())], ["item", "shards", "body"])
-
-    dealt = texts.mapInArrow(sets, "item long, shards array<long>, body binary").select(
-        "item", F.explode("shards").alias("shard"), "body").repartition("shard").sortWithinPartitions("shard")
+    dealt = sets.join(wanted, "item").select("item", F.explode("shards").alias("shard"), "body").repartition("shard").sortWithinPartitions("shard")
 
     @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,16 +514,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """Per document: doc_id and component_id, the smallest doc_id reachable over similar texts.
 
     Two texts are similar if their sets of ``width``-word shingles (as 64-bit hashes) have a Jaccard similarity of
-    ``similarity`` or more, counted on the sets. Similar sets share a shingle of their prefixes, so shards keyed by
-    these hold all similar pairs, and within a cluster of shards pairs are found the same way. Texts with the same
-    shingles are one item. Null and empty texts have none and are copies of each other. A null doc_id is
-    grouped but never the smallest.
+    ``similarity`` or more, counted on the sets. Texts too many of whose shingles no other text holds have no similar one and
+    stay out of the search. The others meet by shards, the shingles of their prefixes, and within a cluster of shards
+    pairs are found the same way. Texts with the same shingles are one item. Null and empty texts have none and are copies
+    of each other; very long ones are taken whole. Rows of one doc_id are one document. A null doc_id is grouped but never the smallest. No rows
+    give no rows.
     """
-    rows = settled(prefixes(docs, width, similarity), "prefixes")
-    items = settled(rows.groupBy("fingerprint", "mark").agg(F.min("doc_id").alias("item")), "items")
-    own = rows.join(items.filter("item is not null").withColumnRenamed("item", "doc_id"), ["fingerprint", "mark", "doc_id"], "left_semi")
-    keys = own.select(F.col("doc_id").alias("item"), "size", F.explode("keys").alias("shard"))
-    roots = components(similar_links(docs, keys, width, similarity))
-    named = items.join(roots, items["item"] == roots["node"], "left").select(
-        "fingerprint", "mark", F.coalesce("root", "item").alias("component_id"))
-    return rows.select("doc_id", "fingerprint", "mark").join(named, ["fingerprint", "mark"]).select("doc_id", "fingerprint", "component_id")
+    frequent = frequent_shingles(docs, width)
+    rows = settled(shingle_rows(docs, frequent, width, similarity), "rows")
+    same = ["fingerprint", "mark"]
+    items = settled(rows.groupBy(*same).agg(F.min("doc_id").alias("item")), "items")
+    left = items.filter("item is not null").join(alone(rows), "mark", "left_anti").select("item").distinct()
+    sets = settled(shingle_sets(docs, left, width), "sets")
+    # An id that names one item and has a row in another ties the two.
+    copies = rows.join(items, same).filter("doc_id <> item").select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
+    again = copies.join(items.select(F.col("item").alias("a")), "a", "left_semi")
+    roots = components(similar_links(sets, frequent, similarity).unionByName(again))
+    named = items.join(roots, items["item"] == roots["node"], "left").select(*same, F.coalesce("root", "item").alias("component_id"))
+    return rows.select("doc_id", *same).join(named, same).select("doc_id", "fingerprint", "component_id")
