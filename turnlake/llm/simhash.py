@@ -333,12 +333,12 @@ def alone(rows: DataFrame) -> DataFrame:
     Copies have one mark and do not count for each other.
     """
     one = Window.partitionBy("shingle")
-    cells = rows.select("mark", "slack", F.size("cells").alias("m"), F.explode("cells").alias("shingle"))
     lacking = (F.min("mark").over(one) == F.max("mark").over(one)).cast("long")
+    counted = rows.select("mark", F.explode("cells").alias("shingle")).select("mark", lacking.alias("lack")).groupBy("mark").agg(
+        F.sum("lack").alias("lack"), F.count(F.lit(1)).alias("n"))
+    limits = rows.groupBy("mark").agg(F.min("slack").alias("slack"), F.min(F.size("cells")).alias("m"))
     # Each of a mark's copies brings its m cells.
-    return cells.select("mark", "slack", "m", lacking.alias("lack")).groupBy("mark").agg(
-        F.sum("lack").alias("lack"), F.count(F.lit(1)).alias("n"), F.min("slack").alias("slack"), F.min("m").alias("m")).filter(
-        "lack * m > slack * n").select("mark")
+    return counted.join(limits, "mark").filter("lack * m > slack * n").select("mark")
 
 
 def shingle_sets(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
