@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.plans.session_analysis import SessionAnalysis
-from turnlake.scan import Ordered, kept, needs_split, running_sum
+from turnlake.scan import Ordered, needs_split, running_sum, settled
 
 ACTIVITIES = ("Paper Theatre", "Paper Circuits", "Bridge Building", "Sound Lab")
 QUESTION_LEXICON = ("is", "der", "de", "es")
@@ -23,19 +23,14 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._held: list[DataFrame] = []
         self._analyses: list[SessionAnalysis] = []
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        self._held.append(kept(df))
-        return self._held[-1]
-
     def release(self) -> None:
-        """Give back all tables kept for this corpus, those of its analyses included."""
+        """Forget all tables made for this corpus, those of its analyses included."""
         for analysis in self._analyses:
             analysis.release()
-        while self._held:
-            self._held.pop().unpersist()
+        for name in [n for n in vars(self) if isinstance(getattr(type(self), n, None), cached_property)]:
+            del self.__dict__[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -58,7 +53,7 @@ class Corpus:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return self._kept(self._turns())
+        return settled(self._turns())
 
     def _turns(self) -> DataFrame:
         spoken = self.utterances.filter(F.col("role") != "system").withColumn(
@@ -106,7 +101,7 @@ class Corpus:
 
     @cached_property
     def recordings(self) -> DataFrame:
-        return self._kept(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
+        return settled(self.utterances.groupBy("session_id").agg(F.max("end").alias("actual_sec"))).select(
             "session_id", "actual_sec", F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
 
     @cached_property

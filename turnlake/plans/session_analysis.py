@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from turnlake.config import DEFAULTS, QUESTION_WORDS, Thresholds
 from turnlake.operators import attribution, corpus, discourse, insight, intervals, metrics, report
-from turnlake.scan import kept, needs_split
+from turnlake.scan import needs_split, settled
 
 
 @dataclass
 class SessionAnalysis:
     """All sessions at once. Each table is declared once and built on first use.
 
-    Tables several branches read (turns with roles, the labelled timeline, the values) are kept on
-    the executors' disks from their first use until ``release``.
+    Tables several branches read (turns with roles, the labelled timeline, the values) are written to the
+    shared folder when they are first asked for, and read from there.
 
     ``measure`` adds ``rms_db`` to the tiles, usually ``intervals.measured`` over a table
     of measurements. ``voice`` gives speech spans of sessions without turns. Sessions without turns take the
@@ -40,7 +40,6 @@ class SessionAnalysis:
     thresholds: Thresholds = field(default_factory=lambda: DEFAULTS)
 
     def __post_init__(self):
-        self._held: list[DataFrame] = []
         self.full_recordings = self.recordings
         if self.minutes is not None:
             edge = float(self.minutes * 60)
@@ -50,22 +49,18 @@ class SessionAnalysis:
         if self.split is None:
             self.split = needs_split(self.turns, ["session_id"])
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        self._held.append(kept(df))
-        return self._held[-1]
-
     def release(self) -> None:
-        """Give back what was kept; tables are computed anew if they are used again."""
-        while self._held:
-            self._held.pop().unpersist()
+        """Forget all tables: they are made anew if they are used again. What is written stays in the shared folder."""
+        for name in [n for n in vars(self) if isinstance(getattr(type(self), n, None), cached_property)]:
+            del self.__dict__[name]
 
     @cached_property
     def main(self) -> DataFrame:
-        return self._kept(intervals.main_speaker(self.turns))
+        return settled(intervals.main_speaker(self.turns))
 
     @cached_property
     def marked(self) -> DataFrame:
-        return self._kept(intervals.mark_roles(self.turns, self.main, self.split))
+        return settled(intervals.mark_roles(self.turns, self.main, self.split))
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -80,7 +75,7 @@ class SessionAnalysis:
             spans = spans.unionByName(rest.select("session_id", "start", "end"))
         merged = intervals.clip_and_union(spans, self.recordings, self.split)
         tiles = intervals.tile(merged, self.recordings, self.split)
-        return self._kept(intervals.classify(self.measure(tiles), self.thresholds))
+        return settled(intervals.classify(self.measure(tiles), self.thresholds))
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -92,7 +87,7 @@ class SessionAnalysis:
             quiet = self.timeline.join(known, "session_id", "left_anti")
             by_loudness = attribution.roles_from_loudness(quiet).drop("segment_ix")
             rows = rows.join(known, "session_id", "left_semi").unionByName(by_loudness)
-        return self._kept(rows)
+        return settled(rows)
 
     @cached_property
     def discourse(self) -> DataFrame:
@@ -100,7 +95,7 @@ class SessionAnalysis:
         if self.voice is not None:
             rest = self.labelled.join(marked.select("session_id").distinct(), "session_id", "left_anti")
             marked = marked.unionByName(discourse.pseudo_turns(rest, self.split))
-        return self._kept(discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds))
+        return settled(discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -113,7 +108,7 @@ class SessionAnalysis:
 
     @cached_property
     def values(self) -> DataFrame:
-        return self._kept(metrics.metric_values(self.facts, self.thresholds))
+        return settled(metrics.metric_values(self.facts, self.thresholds))
 
     @cached_property
     def metrics(self) -> DataFrame:

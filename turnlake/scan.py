@@ -20,7 +20,6 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +48,15 @@ def settled(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the table.
 
     Cuts the plan and the lineage: a lost executor costs a re-read, later steps see true
-    sizes, and columns nobody uses are not read back.
+    sizes, and columns nobody uses are not read back. A table that several branches read is
+    settled, not cached: the plan of a cached table stands whole in every plan that reads it,
+    so over a few such steps plans double and double again, all of it on the driver.
     """
     path = new_folder(df.sparkSession, "turnlake")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` for several branches: computed by the first action that needs it, then read from executors' disks.
-
-    Nothing runs while a query is defined, and a lost executor's part is computed again. Whoever
-    keeps a table releases it with ``unpersist``.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def needs_split(df: DataFrame, key: Sequence[str]) -> bool:
     """Whether some key has more rows than one task should window over.
 
