@@ -904,7 +904,7 @@ def compression_bounds(c):
     cuts = F.sequence(F.lit(0), F.ceil(F.length(text) / 2000).cast("int") - 1)
     piece = F.col("piece")
     looped = docs_.select("doc_id", F.explode(F.transform(cuts, lambda i: F.substr(text, i * 2000 + 1, F.lit(2000)))).alias("piece")).select(
-        "doc_id", tx.compression_ratio(F.repeat(piece, 200)).alias("compression_ratio"), tx.compression_ratio(F.lit("")).alias("_nothing"))
+        "doc_id", tx.compression_ratio(piece, 200).alias("compression_ratio"), tx.compression_ratio(F.lit("")).alias("_nothing"))
     rows = looped.select("doc_id", scoring.looping_alarm().alias("_rings"), "_nothing").groupBy("doc_id").agg(
         F.bool_and("_rings").alias("loop_alarm"), F.max("_nothing").alias("of_nothing"))
     return whole.join(rows, "doc_id").select("doc_id", "within_bounds", "loop_alarm", "of_nothing")

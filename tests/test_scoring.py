@@ -173,3 +173,15 @@ def test_separators_are_white_space(spark):
     df = spark.createDataFrame([("\x1c a\x1db \x1f",)], "t string")
     row = df.select(tx.strip(F.col("t")).alias("s"), tx.words(F.col("t")).alias("w")).first()
     assert row.s == "a\x1db" and row.w == "\x1c a\x1db \x1f".split()
+
+
+def test_repeated_text_is_packed_as_if_it_stood_whole(spark):
+    """The gzip size of a text said many times, of which only one goes to the worker."""
+    import gzip
+    for text in ("ab", "Grüße, " * 30, "".join(chr(97 + i * i % 23) for i in range(2000)), "x" * 70_000):
+        for times in (1, 2, 33, 200):
+            assert tx.gzip_size(text.encode(), times) == len(gzip.compress((text * times).encode()))
+    df = spark.createDataFrame([(1, "la lé "), (2, ""), (3, None)], "id int, text string")
+    got = [r[1] for r in df.select("id", tx.compression_ratio(F.col("text"), 200).alias("ratio")).orderBy("id").collect()]
+    whole = ("la lé " * 200).encode()
+    assert got == [len(whole) / len(gzip.compress(whole)), 0.0, 0.0]

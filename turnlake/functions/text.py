@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Hashable, Mapping, Sequence
 
 import pandas as pd
@@ -132,16 +133,31 @@ def repeated_share(ws: Column, n: int = 4) -> Column:
     return F.when(count < 2 * n, 0.0).otherwise(repeated / (count - n + 1))
 
 
-@F.pandas_udf(T.IntegerType())
-def _gzip_size(text: pd.Series) -> pd.Series:
-    import gzip
-    return text.map(lambda s: len(gzip.compress((s or "").encode("utf-8"))))
+#: About how many bytes of a repeated text are given to the packer at once.
+GZIP_AT_ONCE = 1 << 16
+
+
+def gzip_size(data: bytes, times: int = 1) -> int:
+    """Bytes of the gzip file of ``data`` said ``times`` times; what is packed is fed in parts and never stands whole."""
+    packer, per = zlib.compressobj(9, zlib.DEFLATED, 16 + zlib.MAX_WBITS), max(1, min(times, GZIP_AT_ONCE // max(1, len(data))))
+    goes, rest = divmod(times, per)
+    part = data * per
+    size = sum(len(packer.compress(part)) for _ in range(goes))
+    return size + len(packer.compress(data * rest)) + len(packer.flush())
+
 
+@F.pandas_udf(T.LongType())
+def _gzip_size(text: pd.Series, times: pd.Series) -> pd.Series:
+    return pd.Series([gzip_size((s or "").encode("utf-8"), n) for s, n in zip(text, times)], dtype="int64")
 
-def compression_ratio(text: Column) -> Column:
-    """UTF-8 bytes over gzip bytes; looping text compresses hard."""
+
+def compression_ratio(text: Column, times: int = 1) -> Column:
+    """UTF-8 bytes over gzip bytes, of the text said ``times`` times; looping text compresses hard.
+
+    Only the text itself goes to the Python worker, however often it is said.
+    """
     text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", 0.0).otherwise(F.octet_length(text) / _gzip_size(text))
+    return F.when(text == "", 0.0).otherwise(F.octet_length(text) * F.lit(times).cast("bigint") / _gzip_size(text, F.lit(times)))
 
 
 def script_ratio(text: Column, characters: str = DEVANAGARI) -> Column:
