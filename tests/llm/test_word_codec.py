@@ -86,3 +86,13 @@ def test_tables(spark, texts_table, words, both):
     assert encoded(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     twice = encoded(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string"), PATH)
     assert sorted(r.n_tokens for r in twice.collect()) == [0, 2, 2, 2]
+
+
+def test_a_word_is_merged_once(both, monkeypatch):
+    """However many chunks it stands in, with other signs around it or in other case."""
+    ours, merged = WordCodec(PATH), []
+    parts = ours._parts
+    monkeypatch.setattr(ours, "_parts", lambda w: merged.append(w) or parts(w))
+    text = "Gathering gathering, (gathering) 'GATHERING' gathering. gathering;"
+    assert ours.encode(text) == both[1].encode(text, add_special_tokens=False).ids
+    assert merged.count("gathering") == 1

@@ -7,7 +7,7 @@ ranks next to the gap are looked up again, until no pair has a rank. Scanning is
 of more than ``SHORT`` letters keeps its pairs in a heap over linked parts, which gives the same parts.
 
 Normaliser and word pattern are the tokenizer file's own. ASCII chunks take a plain path of equal effect;
-chunks seen before are remembered in two generations of bounded size.
+chunks and words seen before are remembered, each in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ class WordCodec:
             raise ValueError("a byte has no token")
         self.known: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
+        self.merged: dict[str, tuple[bytes, str]] = {}
+        self.merged_before: dict[str, tuple[bytes, str]] = {}
 
     def _scanned(self, word: str) -> list[str]:
         """Parts of a short word. The suffix belongs to the last letter."""
@@ -120,8 +122,20 @@ class WordCodec:
             words = None
         if words is None:
             words = [w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(chunk))]
-        parts = [p for w in words for p in self._parts(w)]
-        return struct.pack(f"<{len(parts)}I", *[self.ids[p] for p in parts]), " ".join(parts)
+        seen = [self.merged.get(w) or self._merged(w) for w in words]
+        return (b"".join([e[0] for e in seen]), " ".join([e[1] for e in seen])) if len(seen) != 1 else seen[0]
+
+    def _merged(self, word: str) -> tuple[bytes, str]:
+        """Ids and parts of a word. It stands in many chunks, with other signs around it or in other case, and is merged for the first."""
+        entry = self.merged_before.get(word)
+        if entry is None:
+            parts = self._parts(word)
+            entry = struct.pack(f"<{len(parts)}I", *[self.ids[p] for p in parts]), " ".join(parts)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.merged) >= REMEMBERED:
+                self.merged_before, self.merged = self.merged, {}
+            self.merged[word] = entry
+        return entry
 
     def _known(self, chunk: str) -> tuple[bytes, str]:
         entry = self.older.get(chunk)
