@@ -342,3 +342,38 @@ def test_near_duplicates_with_a_repeated_line(spark):
     got = {r.doc_id: (r.component_id, r.fingerprint) for r in simhash.near_duplicates(rows).collect()}
     assert {i: c for i, (c, _) in got.items()} == {i: i - i % 2 for i in texts} == components_by_brute_force(texts)
     assert got[40][1] == got[41][1]
+
+
+def test_trees_find_near_duplicates_first(spark, monkeypatch):
+    """Links of fingerprints, checked on the sets, are found without the search by prefixes; texts of other similarity are not."""
+    draw = random.Random(41)
+    say = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    texts = {}
+    for i in range(20):
+        base = say(1500)
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(base[:700] + ["x"] + base[700:])
+    line = say(8)
+    texts[40], texts[41] = " ".join(line * 9), " ".join(line * 15)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    searched = {}
+
+    def spied(sets, known, frequent, similarity):
+        searched["known"] = {(r.item, r.group) for r in known.collect()}
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(simhash, "similar_links", spied)
+    prints = {r.doc_id: int(r.fingerprint) for r in simhash.near_duplicates(docs).collect()}
+    linked = {2 * i for i in range(20) if ((prints[2 * i] ^ prints[2 * i + 1]) & (2 ** 64 - 1)).bit_count() <= 4}
+    assert len(linked) >= 15 and searched["known"] == {(i + 1, i) for i in linked}
+    # A cloud is not yet a pair: fingerprints within any distance, sets that have nothing in common.
+    apart = spark.createDataFrame([(1, " ".join(say(50))), (2, " ".join(say(50)))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(apart, radius=6).collect()} == {(1, 1), (2, 2)}
+
+
+def test_sets_of_one_group_are_told_from_the_start():
+    """Three sets, the first two known as one: the third joins by the one it is similar to."""
+    a, b = np.arange(100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    body = np.concatenate((a, b, np.arange(1005, 1105, dtype=np.uint64)))
+    first = np.array([0, 100, 200, 300])
+    assert simhash.similar_sets(np.zeros(3, np.int64), first, body, 0.8).tolist() == [0, 1, 1]
+    assert simhash.similar_sets(np.zeros(3, np.int64), first, body, 0.8, np.array([0, 0, 2])).tolist() == [0, 0, 0]

@@ -298,7 +298,7 @@ COUNTED = 0.375
 
 def shingle_rows(docs: DataFrame, frequent: np.ndarray, width: int, similarity: float, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint and mark (a hash of all shingles), both of the distinct shingles, slack (how many of them a similar
-    text may lack) and cells, those to be counted: the part COUNTED without the frequent ones."""
+    text may lack) and cells, those to be counted: the part COUNTED without the frequent ones; m is their number."""
     bound = np.uint64(int(COUNTED * 2 ** 64))
 
     @tidy
@@ -317,26 +317,26 @@ def shingle_rows(docs: DataFrame, frequent: np.ndarray, width: int, similarity:
                 cells.append(own[~among(own, frequent)])
             sizes = np.cumsum([len(c) for c in cells]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(slack, pa.int64()),
+                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(slack, pa.int64()), pa.array(np.diff(sizes), pa.int64()),
                  pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cells).view(np.int64)))],
-                ["doc_id", "fingerprint", "mark", "slack", "cells"])
+                ["doc_id", "fingerprint", "mark", "slack", "m", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, slack long, cells array<long>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fingerprint long, mark long, slack long, m long, cells array<long>")
 
 
-def alone(rows: DataFrame) -> DataFrame:
+def alone(rows: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """Marks of texts that no other text is similar to: more of their shingles are in no other text than ``slack`` allows.
 
     Which shingles are counted depends on the shingle only, so both sides of a pair count the same ones, and a lack among
     them is a lack of the whole. Frequent shingles are taken as held by others; what is shuffled is in few texts.
-    Copies have one mark and do not count for each other.
+    Copies have one mark and do not count for each other. ``told``: the same rows where they are at hand, cells not needed.
     """
     one = Window.partitionBy("shingle")
     lacking = (F.min("mark").over(one) == F.max("mark").over(one)).cast("long")
     counted = rows.select("mark", F.explode("cells").alias("shingle")).select("mark", lacking.alias("lack")).groupBy("mark").agg(
         F.sum("lack").alias("lack"), F.count(F.lit(1)).alias("n"))
-    limits = rows.groupBy("mark").agg(F.min("slack").alias("slack"), F.min(F.size("cells")).alias("m"))
+    limits = (rows if told is None else told).groupBy("mark").agg(F.min("slack").alias("slack"), F.min("m").alias("m"))
     # Each of a mark's copies brings its m cells.
     return counted.join(limits, "mark").filter("lack * m > slack * n").select("mark")
 
@@ -374,12 +374,12 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
     return sets.mapInArrow(of, "item long, size long, shard long")
 
 
-def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, similarity: float) -> np.ndarray:
+def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, similarity: float, label: np.ndarray | None = None) -> np.ndarray:
     """Labels that connect all sets of a shard with an exact Jaccard similarity of ``similarity`` or more.
 
     Set i holds ``shingle[first[i]:first[i + 1]]``, each once. Only sets that share a shingle of their prefixes,
     rarest in the shard first, can be similar. Those lists are walked member by member, so sets already
-    connected meet no more.
+    connected, by ``label`` (smallest set each is known to be connected with) or on the way, meet no more.
     """
     count = len(shard)
     size = np.diff(first)
@@ -401,7 +401,7 @@ def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, simi
     codes = np.sort(owner[several] * width + cell[several])
     begin = np.searchsorted(codes, np.arange(count + 1) * width)
     common = np.diff(begin)
-    label, failed, step = np.arange(count), np.zeros(0, np.int64), 0
+    label, failed, step = np.arange(count) if label is None else label, np.zeros(0, np.int64), 0
     while len(member):
         # Lists of one component have nothing more to say.
         lead = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1])))
@@ -418,8 +418,8 @@ def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, simi
         a, b = a[later], member[later]
         fits = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
         code = np.unique(a[fits] * count + b[fits])
-        code = code[~np.isin(code, failed)]
-        at = 0
+        code = code[~among(code, failed)]
+        at, met = 0, [failed if len(failed) < PAIRS_AT_ONCE else failed[:0]]
         while at < len(code):
             # The pairs whose cells fit into one go, of those not connected meanwhile.
             a, b = np.divmod(code[at:at + 100_000], count)
@@ -438,7 +438,9 @@ def similar_sets(shard: np.ndarray, first: np.ndarray, shingle: np.ndarray, simi
             both = np.bincount(pair, weights=hit, minlength=len(a)).astype(np.int64)
             alike = both / (size[a] + size[b] - both) >= similarity
             label = joined(label, a[alike], b[alike])
-            failed = np.concatenate((failed if len(failed) < PAIRS_AT_ONCE else failed[:0], (a * count + b)[~alike]))
+            met.append((a * count + b)[~alike])
+        # Sorted runs, so this merges; a search in them costs no sort of all that failed.
+        failed = np.sort(np.concatenate(met), kind="stable")
         step += 1
     return label
 
@@ -462,9 +464,40 @@ def whole_shards(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def tied(keys: DataFrame, similarity: float) -> DataFrame:
-    """Items and shards where a neighbour by size is near enough to be similar; before: the next smaller item, if that is."""
-    met = keys.groupBy("shard").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
+def clouds(items: DataFrame, radius: int) -> DataFrame:
+    """item and cloud, for items whose fingerprints are equal or linked by the trees: the cloud is the smallest of them."""
+    linked = components(links(items.select("fingerprint").distinct(), radius))
+    placed = items.filter("item is not null").join(linked, items["fingerprint"] == linked["node"], "left").select(
+        "item", F.coalesce("root", "fingerprint").alias("cloud")).distinct()
+    return placed.join(placed.groupBy("cloud").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cloud").select("item", "cloud", "n")
+
+
+def found_in(dealt: DataFrame, similarity: float) -> DataFrame:
+    """``dealt`` (item, group, shard, body) to links (a, b) that connect the similar items of each shard, b the smallest of
+    them there. Items of one group are known to be connected."""
+    @tidy
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_shards(batches, 8 * CELLS_AT_ONCE):
+            item, bodies = column(table, "item"), table.column("body").to_pylist()
+            _, shard = np.unique(column(table, "shard"), return_inverse=True)
+            _, group = np.unique(column(table, "group"), return_inverse=True)
+            order = np.lexsort((item, shard))
+            first = np.concatenate(([0], np.cumsum([len(bodies[i]) // 8 for i in order])))
+            _, lead, place = np.unique(shard[order] * (int(group.max()) + 1) + group[order], return_index=True, return_inverse=True)
+            label = similar_sets(shard[order], first, np.frombuffer(b"".join(bodies[i] for i in order), np.uint64), similarity, lead[place])
+            item = item[order]
+            tied = item != item[label]
+            pairs = np.unique(np.stack([item[tied], item[label[tied]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long").distinct()
+
+
+def tied(keys: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Items and shards where a neighbour by size is near enough to be similar; before: the next smaller item, if that is.
+    Shards of one group (``known``: item and group, of items with others) have nothing more to say."""
+    group = F.coalesce("group", "item")
+    met = keys.join(known, "item", "left").groupBy("shard").agg(F.min(group).alias("low"), F.max(group).alias("high")).filter("low <> high")
     by_size = Window.partitionBy("shard").orderBy("size", "item")
     near = lambda small, big: F.coalesce(small >= similarity * big - 1e-9, F.lit(False))
     return keys.join(met.select("shard"), "shard").select(
@@ -473,14 +506,14 @@ def tied(keys: DataFrame, similarity: float) -> DataFrame:
         "item", "shard", F.when(F.col("down"), F.col("before")).alias("before"))
 
 
-def similar_links(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar items of ``sets``.
+def similar_links(sets: DataFrame, known: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) that, with what is ``known`` (item and group), connect all similar items of ``sets``.
 
     Similar sets share a shard, a shingle of their prefixes, and are of similar size, so in each shard items are tied to the next
     smaller one if that is near enough. Tied items form clusters, and each goes to the place of its cluster once with its set. Clusters
     of more than CLUSTER_ITEMS go by their shards instead: one place for each shard, of shards with the same items one.
     """
-    ties = settled(tied(prefixes(sets, frequent, similarity), similarity), "ties")
+    ties = settled(tied(prefixes(sets, frequent, similarity), known, similarity), "ties")
     roots = components(ties.filter("before is not null").select(F.col("item").alias("a"), F.col("before").alias("b")))
     large = settled(roots.groupBy("root").count().filter(F.col("count") > CLUSTER_ITEMS).select("root"), "large-clusters")
     small = roots.join(large, "root", "left_anti").select(F.col("node").alias("item"), F.array("root").alias("shards"))
@@ -491,44 +524,36 @@ def similar_links(sets: DataFrame, frequent: np.ndarray, similarity: float) -> D
         F.sum(F.shiftrightunsigned(h, 32)).alias("total"), F.bit_xor(h).alias("mix")).groupBy("n", "low", "high", "total", "mix").agg(
         F.min("shard").alias("shard")).select("shard")
     split = inside.join(kept, "shard").groupBy("item").agg(F.collect_set("shard").alias("shards"))
-    wanted = settled(small.unionByName(split), "wanted")
-    dealt = sets.join(wanted, "item").select("item", F.explode("shards").alias("shard"), "body").repartition("shard").sortWithinPartitions("shard")
-
-    @tidy
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_shards(batches, 8 * CELLS_AT_ONCE):
-            item, bodies = column(table, "item"), table.column("body").to_pylist()
-            _, shard = np.unique(column(table, "shard"), return_inverse=True)
-            order = np.lexsort((item, shard))
-            first = np.concatenate(([0], np.cumsum([len(bodies[i]) // 8 for i in order])))
-            label = similar_sets(shard[order], first, np.frombuffer(b"".join(bodies[i] for i in order), np.uint64), similarity)
-            item = item[order]
-            tied = item != item[label]
-            pairs = np.unique(np.stack([item[tied], item[label[tied]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    wanted = settled(small.unionByName(split).join(known, "item", "left").select("item", F.coalesce("group", "item").alias("group"), "shards"), "wanted")
+    return found_in(sets.join(wanted, "item").select("item", "group", F.explode("shards").alias("shard"), "body"), similarity)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Per document: doc_id and component_id, the smallest doc_id reachable over similar texts.
 
     Two texts are similar if their sets of ``width``-word shingles (as 64-bit hashes) have a Jaccard similarity of
-    ``similarity`` or more, counted on the sets. Texts too many of whose shingles no other text holds have no similar one and
-    stay out of the search. The others meet by shards, the shingles of their prefixes, and within a cluster of shards
-    pairs are found the same way. Texts with the same shingles are one item. Null and empty texts have none and are copies
+    ``similarity`` or more, counted on the sets. First the trees: texts whose fingerprints are linked at ``radius`` bits form
+    clouds, and in a cloud similarity is checked on the sets. Then what fingerprints miss: texts of different groups meet by shards,
+    the shingles of their prefixes, and within a cluster of shards pairs are found the same way; so do clouds of more than CLUSTER_ITEMS.
+    Texts too many of whose shingles no other text holds have no similar one and stay out of both checks.
+    Texts with the same shingles are one item. Null and empty texts have none and are copies
     of each other; very long ones are taken whole. Rows of one doc_id are one document. A null doc_id is grouped but never the smallest. No rows
     give no rows.
     """
     frequent = frequent_shingles(docs, width)
-    rows = settled(shingle_rows(docs, frequent, width, similarity), "rows")
+    cells = shingle_rows(docs, frequent, width, similarity)
+    # The cells are most of the rows' bytes: they are made once more where they are counted rather than written.
+    rows = settled(cells.drop("cells"), "rows")
     same = ["fingerprint", "mark"]
     items = settled(rows.groupBy(*same).agg(F.min("doc_id").alias("item")), "items")
-    left = items.filter("item is not null").join(alone(rows), "mark", "left_anti").select("item").distinct()
+    left = settled(items.filter("item is not null").join(alone(cells, rows), "mark", "left_anti").select("item").distinct(), "left")
     sets = settled(shingle_sets(docs, left, width), "sets")
+    near = clouds(items, radius).filter(F.col("n") <= CLUSTER_ITEMS).select("item", F.col("item").alias("group"), F.col("cloud").alias("shard"))
+    by_trees = settled(found_in(near.join(sets, "item").select("item", "group", "shard", "body"), similarity), "by-trees")
+    known = by_trees.groupBy(F.col("a").alias("item")).agg(F.min("b").alias("group"))
     # An id that names one item and has a row in another ties the two.
     copies = rows.join(items, same).filter("doc_id <> item").select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
     again = copies.join(items.select(F.col("item").alias("a")), "a", "left_semi")
-    roots = components(similar_links(sets, frequent, similarity).unionByName(again))
+    roots = components(by_trees.unionByName(similar_links(sets, known, frequent, similarity)).unionByName(again))
     named = items.join(roots, items["item"] == roots["node"], "left").select(*same, F.coalesce("root", "item").alias("component_id"))
     return rows.select("doc_id", *same).join(named, same).select("doc_id", "fingerprint", "component_id")
