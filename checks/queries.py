@@ -698,7 +698,7 @@ def repetition_rate(c):
 from ({_PUBLISHED}) p join recordings r using (session_id)""")
 def timeline_bars(c):
     sized = c.recordings.withColumn("analysed_sec", F.when(F.col("session_id") % 2 == 0, F.col("actual_sec")).otherwise(0.0))
-    return report.timeline_bars(c.analysis.published_timeline, sized).select(
+    return report.timeline_bars(c.analysis.silent_timeline, sized).select(
         "session_id", "seg_no", "width_percent", "css_class", "label")
 
 

@@ -17,3 +17,10 @@ def test_plans_do_not_hold_the_plans_of_shared_tables(spark):
     analysis.release()
     again = analysis.values
     assert again is not first and sorted(again.collect()) == sorted(first.collect())
+
+
+def test_bars_do_not_read_texts(spark):
+    """Bars show times, kinds and roles; the texts of the published timeline are not collected for them."""
+    from checks.queries import QUERIES
+    plan = QUERIES["timeline_bars"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_join" not in plan

@@ -122,6 +122,11 @@ class SessionAnalysis:
     def published_timeline(self) -> DataFrame:
         return report.published_timeline(self.labelled, self.segments, self.split)
 
+    @cached_property
+    def silent_timeline(self) -> DataFrame:
+        """The published timeline for readers of times, kinds and roles: text is null, so no transcript is joined."""
+        return report.published_timeline(self.labelled, None, self.split)
+
     @cached_property
     def documents(self) -> DataFrame:
         lost = metrics.lost_students(self.marked, self.labelled, self.thresholds)
