@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import QUESTION_LEXICON, Corpus
 from checks.oracle import METRICS, add_mixed_path, duration_text, percent_text, rounded, whole_text, with_ctes
-from turnlake.config import METRIC_KEYS
+from turnlake.config import ACOUSTIC_KEYS, METRIC_KEYS
 from turnlake.functions import numbers, signal
 from turnlake.functions import text as tx
 from turnlake.operators import attribution, discourse, insight, labels, metrics, report, scoring, sequences
@@ -785,7 +785,9 @@ def verdicts(c):
 
 def _metric(prefix: str) -> Callable[[Corpus], DataFrame]:
     def run(c: Corpus) -> DataFrame:
-        rows = c.analysis.metrics.filter(F.col("key").startswith(prefix))
+        acoustic = any(key.startswith(prefix) for key in ACOUSTIC_KEYS)
+        rows = c.analysis.acoustic_metrics if acoustic else c.analysis.metrics
+        rows = rows.filter(F.col("key").startswith(prefix))
         return rows.select("session_id", F.round("value", 9).alias("value"), "unit", "band", "benchmark",
                            F.round("confidence", 9).alias("confidence"))
     return run

@@ -68,6 +68,24 @@ def test_nested_student_turns_keep_their_time(make, split):
     assert sums == {"student": 7.5, "teacher": 52.5}
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_cuts_at_turn_edges_form_no_pairs(spark, make, split):
+    draw = random.Random(5)
+    marks = [sorted({0.0, *(draw.randrange(1, 400) / 4 for _ in range(12))}) for _ in range(6)]
+    tiles = [[(draw.choice(["speech", "speech", "dead"]), a, b) for a, b in zip(m, m[1:])] for m in marks]
+    turns = [[("A", a, a + draw.randrange(0, 60) / 5) for a in (draw.randrange(0, 500) / 5 for _ in range(n))] for n in (60, 40, 9, 2, 1, 0)]
+    turns[0] += [("B", a, b) for _, a, b in turns[0]] + [("C", a, b) for _, a, b in tiles[0]]
+    wanted = []
+    for s, segs in enumerate(tiles):
+        edges = {e for _, a, b in turns[s] for e in (a, b)}
+        for i, (kind, a, b) in enumerate(segs):
+            points = [a, *sorted(e for e in edges if a < e < b), b]
+            wanted += [(s, i, x, y) for x, y in zip(points, points[1:]) if kind == "speech" and y - x >= 0.30]
+    got = iv.cut_at_turn_edges(make.timeline(*tiles), make.turns(*turns), split)
+    assert sorted(tuple(r) for r in got.select("session_id", "segment_ix", "start", "end").collect()) == sorted(wanted)
+    assert split or ("Join" not in (plan := got._jdf.queryExecution().sparkPlan().toString()) and "Aggregate" not in plan)
+
+
 def test_slivers_vanish_and_the_segment_still_tiles(make):
     # The student holds most time, so the teacher here; the hole from 4 to 4.2 is too short to be a piece.
     out = labelled(make, [("dead", 0, 1), ("speech", 1, 10)], [("B", 1, 4), ("A", 4.2, 10)])

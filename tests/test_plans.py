@@ -24,3 +24,16 @@ def test_bars_do_not_read_texts(spark):
     from checks.queries import QUERIES
     plan = QUERIES["timeline_bars"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "array_join" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
+@pytest.mark.parametrize("name", ["metric_teacher_stretch"])
+def test_acoustic_results_look_for_no_question(spark, name):
+    """They rest on the timeline: questions, answers and pauses are not in them, so no text is searched for them."""
+    from checks import queries
+    queries.forget_corpora()
+    queries.QUERIES[name](spark, FOLDER).collect()
+    corpus = queries.corpus_of(spark, FOLDER)
+    assert not any("discourse" in vars(a) for a in corpus._analyses)
+    whole = corpus.analysis.metrics.filter("key < 'M5'")
+    assert sorted(map(str, corpus.analysis.acoustic_metrics.collect())) == sorted(map(str, whole.collect()))

@@ -84,6 +84,8 @@ METRIC_KEYS = (
     "M7_teacher_questions",
     "M8_student_responses",
 )
+# Those that rest on the timeline, not on what was said.
+ACOUSTIC_KEYS = METRIC_KEYS[:4]
 
 # The Devanagari block, as a Java regex character range.
 DEVANAGARI = "\\u0900-\\u097F"

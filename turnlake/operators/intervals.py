@@ -301,17 +301,22 @@ def label_whole_segments(timeline: DataFrame, turns: DataFrame, main: DataFrame)
 
 def cut_at_turn_edges(timeline: DataFrame, turns: DataFrame, split: bool | None = None,
                       t: Thresholds = DEFAULTS) -> DataFrame:
-    """Cut speech segments at every turn edge strictly inside; drop slivers."""
-    speech = timeline.filter(F.col("kind") == "speech").select(
-        "session_id", "segment_ix", "start", "end")
-    edges = turns.select("session_id", F.explode(F.array("start", "end")).alias("at")).distinct()
-    inside = overlap_join(speech, edges.withColumn("at_end", F.col("at")), SESSION,
-                          ("start", "end"), ("at", "at_end")).select("session_id", "segment_ix", "at")
-    ends = speech.select("session_id", "segment_ix", F.explode(F.array("start", "end")).alias("at"))
-    points = Ordered(inside.unionByName(ends), ["session_id", "segment_ix"], ["at"], split)
-    pieces = points.with_columns(end=following(F.col("at"))).df
-    return (pieces.filter(F.col("end") - F.col("at") >= t.min_piece_sec)
-            .withColumnRenamed("at", "start"))
+    """Cut speech segments at every turn edge strictly inside; drop slivers.
+
+    Segments do not overlap, so segments and edges go on one clock, a segment before the edges at
+    its start: an edge belongs to the segment before it if that lasts longer, and a piece ends with
+    the next point or its segment. No pairs are formed. An edge that several turns share makes
+    pieces of no length, which go with the slivers.
+    """
+    tiles = timeline.filter(F.col("kind") == "speech").select(
+        "session_id", F.col("start").alias("at"), F.lit(0).alias("point"), F.struct("segment_ix", "end").alias("tile"))
+    edges = turns.select("session_id", F.explode(F.array("start", "end")).alias("at"), F.lit(1).alias("point"),
+                         F.lit(None).cast(tiles.schema["tile"].dataType).alias("tile"))
+    clock = Ordered(tiles.unionByName(edges), SESSION, ["at", "point"], split).with_columns(
+        _tile=last_value(F.col("tile"), inclusive=True), _next=following(F.col("at")))
+    pieces = clock.df.filter(F.col("at") < F.col("_tile.end")).select(
+        "session_id", "_tile.segment_ix", F.col("at").alias("start"), F.least("_next", "_tile.end").alias("end"))
+    return pieces.filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") >= t.min_piece_sec))
 
 
 def speaker_of_pieces(pieces: DataFrame, turns: DataFrame) -> DataFrame:

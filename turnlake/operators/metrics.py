@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,9 +136,9 @@ def verdict(conf: Column, t: Thresholds = DEFAULTS) -> Column:
 
 
 def session_facts(labelled: DataFrame, sessions: DataFrame, recordings: DataFrame,
-                  stats: DataFrame, totals: DataFrame, split: bool | None = None,
+                  stats: DataFrame, totals: DataFrame | None, split: bool | None = None,
                   t: Thresholds = DEFAULTS) -> DataFrame:
-    """One wide row per session: timeline facts, confidence, gates and discourse counts.
+    """One wide row per session: timeline facts, confidence, gates and, if ``totals`` are given, discourse counts.
 
     ``recordings`` holds the analysed seconds as ``actual_sec``; completeness always compares
     the full file, given by ``sessions.measured_sec``, with the declared length.
@@ -148,8 +150,9 @@ def session_facts(labelled: DataFrame, sessions: DataFrame, recordings: DataFram
     wide = (recordings.select("session_id", F.col("actual_sec").alias("audio_sec"))
             .join(meta, "session_id").join(facts, "session_id")
             .join(stats.select("session_id", "mean_logprob", F.lit(True).alias("has_transcript")),
-                  "session_id", "left")
-            .join(totals, "session_id", "left"))
+                  "session_id", "left"))
+    if totals is not None:
+        wide = wide.join(totals, "session_id", "left")
     wide = confidence(wide.fillna(False, ["has_transcript"]), t)
     usable = F.col("conf_attribution") >= t.role_conf_floor
     return (wide.withColumn("split_usable", usable)
@@ -159,18 +162,24 @@ def session_facts(labelled: DataFrame, sessions: DataFrame, recordings: DataFram
             .withColumn("minutes", F.col("audio_sec") / 60.0))
 
 
-def metric_values(facts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """The seven values per session as columns; null means withheld."""
+def acoustic_values(facts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The four values that rest on the timeline, as columns; null means withheld."""
     usable, minutes = F.col("split_usable"), F.col("minutes")
     spoken = F.col("teacher_sec") + F.col("student_sec")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    enough = F.col("lexical_usable") & (count("waits") >= t.wait_min_samples)
     return facts.withColumns({
         "m1": F.when(usable & (spoken > 0), F.col("teacher_sec") / spoken),
         "m2": F.when(usable & (F.col("roster_total") > 0) & (minutes > 0),
                      F.col("student_turns") / F.col("roster_total") / minutes * 60.0),
         "m3": F.when(usable & (minutes > 0), F.col("switches") / minutes),
         "m4": F.when(usable, F.col("stretch_sec")),
+    })
+
+
+def metric_values(facts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The seven values per session as columns; null means withheld. ``facts`` has the discourse counts too."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    enough = F.col("lexical_usable") & (count("waits") >= t.wait_min_samples)
+    return acoustic_values(facts, t).withColumns({
         "m5": F.when(enough, F.col("median")),
         "m7": F.when(F.col("lexical_usable"), count("questions")),
         "m8": F.when(F.col("lexical_usable"), count("responses")),
@@ -178,8 +187,8 @@ def metric_values(facts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     })
 
 
-def metric_rows(values: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Long form: one row per session and metric."""
+def metric_rows(values: DataFrame, t: Thresholds = DEFAULTS, keys: Sequence[str] = METRIC_KEYS) -> DataFrame:
+    """Long form: one row per session and metric. The acoustic ones need ``acoustic_values`` only."""
     m = {i: F.col(f"m{i}").cast("double") for i in (1, 2, 3, 4, 5, 7, 8)}
     lexical_conf = F.col("split_conf") * F.when(F.col("has_transcript"), t.transcript_discount).otherwise(0.0)
     samples = F.when(F.col("m5").isNotNull(), F.least(
@@ -206,7 +215,7 @@ def metric_rows(values: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         bands[i].alias("band"), F.lit(BENCHMARKS[i]).cast("double").alias("benchmark"),
         confs[i].alias("confidence"), F.lit(FORMULAS[i]).alias("formula"),
         F.lit(EXPLANATIONS[i]).alias("explanation"), notes[i].alias("interpretation"))
-        for i, n in enumerate((1, 2, 3, 4, 5, 7, 8))]
+        for i, n in enumerate((1, 2, 3, 4, 5, 7, 8)) if METRIC_KEYS[i] in keys]
     return values.select("session_id", F.inline(F.array(*rows)))
 
 

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.config import DEFAULTS, QUESTION_WORDS, Thresholds
+from turnlake.config import ACOUSTIC_KEYS, DEFAULTS, QUESTION_WORDS, Thresholds
 from turnlake.operators import attribution, corpus, discourse, insight, intervals, metrics, report
 from turnlake.scan import needs_split, settled
 
@@ -98,18 +98,28 @@ class SessionAnalysis:
         return settled(discourse.discourse(marked, self.segments, self.lexicon, self.split, self.thresholds))
 
     @cached_property
-    def facts(self) -> DataFrame:
+    def acoustic(self) -> DataFrame:
+        """Facts, confidence and the values that rest on the timeline: no question is looked for."""
         stats = metrics.transcript_stats(self.segments, self.transcripts)
-        totals = discourse.discourse_totals(self.discourse)
         sessions = self.sessions.join(self.full_recordings.select(
             "session_id", F.col("actual_sec").alias("measured_sec")), "session_id")
-        return metrics.session_facts(self.labelled, sessions, self.recordings, stats, totals,
-                                     self.split, self.thresholds)
+        facts = metrics.session_facts(self.labelled, sessions, self.recordings, stats, None,
+                                      self.split, self.thresholds)
+        return settled(metrics.acoustic_values(facts, self.thresholds))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.acoustic.join(discourse.discourse_totals(self.discourse), "session_id", "left")
 
     @cached_property
     def values(self) -> DataFrame:
         return settled(metrics.metric_values(self.facts, self.thresholds))
 
+    @cached_property
+    def acoustic_metrics(self) -> DataFrame:
+        """The rows of ``metrics`` that rest on the timeline."""
+        return metrics.metric_rows(self.acoustic, self.thresholds, ACOUSTIC_KEYS)
+
     @cached_property
     def metrics(self) -> DataFrame:
         return metrics.metric_rows(self.values, self.thresholds)
