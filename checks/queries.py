@@ -1134,7 +1134,7 @@ _RATIO = """select session_id, case when mean_role_conf >= 0.15::double and teac
 from ({_RATIO.format('w_talk')}) w join ({_RATIO.format('talk')}) f using (session_id)""")
 def window_bias(c):
     """Talk ratio of the first two minutes against the whole."""
-    return report.window_bias(c.analyse(minutes=2.0).values, c.analysis.values)
+    return report.window_bias(c.analyse(minutes=2.0).acoustic, c.analysis.acoustic)
 
 
 # =========================================================================== functions

@@ -27,7 +27,7 @@ def test_bars_do_not_read_texts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["metric_teacher_stretch"])
+@pytest.mark.parametrize("name", ["metric_teacher_stretch", "window_bias"])
 def test_acoustic_results_look_for_no_question(spark, name):
     """They rest on the timeline: questions, answers and pauses are not in them, so no text is searched for them."""
     from checks import queries
